@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import packing
+from colloquy.llm import cas, cluster, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = cluster.shared_dir(spark, "store")
+    cas.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), store)
+    return cas.digest(spark, store)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing,)}
+    return {f.__name__: f for f in (op1_packing, op2_content_store)}
 
 
 def oracle_sql() -> dict[str, str]:
