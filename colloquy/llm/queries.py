@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import cas, cluster, packing
+from colloquy.llm import cas, cluster, packing, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,12 @@ def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cas.digest(spark, store)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_content_store)}
+    return {f.__name__: f for f in (op1_packing, op2_content_store, op5_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
