@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import cas, cluster, jaccard, packing, substring
+from colloquy.llm import cas, cluster, jaccard, labelled, packing, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +31,20 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_content_store, op5_substring_dedup, op6_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_packing, op2_content_store, op4_quality, op5_substring_dedup, op6_ngram_jaccard, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -83,10 +83,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Texts:
     """Texts of one slice: bytes, text offsets, words with text bounds and hashes."""
 
-    def __init__(self, column: pa.Array, fold: bool = False):
+    def __init__(self, column: pa.Array, fold: bool = False, separators: np.ndarray = IS_SEP):
         self.n, self.fold = len(column), fold
         self.data, self.offs = raw(column)
-        word = ~IS_SEP[self.data]
+        word = ~separators[self.data]
         start, end = word.copy(), word.copy()
         start[1:] &= ~word[:-1]
         end[:-1] &= ~word[1:]
@@ -109,9 +109,16 @@ class Texts:
         """For each word, the index after its text's last word."""
         return np.repeat(self.bounds[1:], self.counts)
 
+    def byte_prefix(self) -> np.ndarray:
+        return prefix((_BYTE_FOLDED if self.fold else _BYTE)[self.data], _R)
+
     def word_hashes(self) -> np.ndarray:
-        p = prefix((_BYTE_FOLDED if self.fold else _BYTE)[self.data], _R)
-        return mix(spans(p, self.start, self.end, _R))
+        return mix(spans(self.byte_prefix(), self.start, self.end, _R))
+
+    def start_hashes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """For each size, hashes of the words' first so many bytes (shorter words: of the whole), and last of the whole words."""
+        p = self.byte_prefix()
+        return [mix(spans(p, self.start, np.minimum(self.start + n, self.end), _R), n) for n in sizes] + [mix(spans(p, self.start, self.end, _R))]
 
     def word(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
