@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import cas, cluster, jaccard, labelled, packing, quality, substring, toxicity
+from colloquy.llm import cas, cluster, decontam, jaccard, labelled, packing, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (labelled.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.array_distinct("found.item_id").alias("item_ids"), F.array_max("found.share").alias("best_share"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_content_store, op4_quality, op5_substring_dedup, op6_ngram_jaccard, op7_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_content_store, op4_quality, op5_substring_dedup, op6_ngram_jaccard, op7_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
