@@ -13,12 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import textvec as tv
 
 
+#: Bits of a text's hash that tell texts under one doc_id apart.
+SHORT = 0x7FFF_FFFF
+
+
 def difference_cover(period: int) -> list[int]:
     """Residues whose pairwise differences give every residue, greedily and then pruned; for a period q*q+q+1 with prime q the perfect set of q+1."""
     if period in PERFECT:
@@ -51,23 +55,30 @@ def anchor_places(texts: tv.Texts, window: int) -> np.ndarray:
     return at[is_cover[(at - begin) % period] & (at + length <= end) & (end - begin >= window)]
 
 
-def deduplicate(docs: DataFrame, window: int = 50, text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_documents: bool = False) -> DataFrame:
     """Remove each word that a window covers whose word sequence also starts in a text with a smaller doc_id.
 
     docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_text (the kept words joined by
     one space), kept_sha256 (of it, in UTF-8): one row per row of docs.
 
     Windows are judged on the input. Whole copies are settled by their smallest doc_id; of other
-    texts only windows around shared anchors are compared, by 128 bits of hash. A hash with very
-    many places is aggregated before it is shuffled and joined back, so groups of any size spread
-    over tasks.
+    texts only windows around shared anchors are compared, by 96 bits of hash. Of places with equal
+    windows in one slice of texts only the smallest doc_id's are shuffled - the others are settled on
+    the spot - and anchors are aggregated before the shuffle, so groups of any size spread over tasks.
 
     A null text has no words. Rows with one doc_id never remove each other's words, repeated rows get equal
     results, and a row with a null doc_id is left as it is and removes nothing. Texts shorter
     than a window are kept whole. An empty table gives no rows; other columns are not read.
+
+    as_documents: returns rows like those of docs instead. A text that loses words becomes its kept
+    text (and a column n_chars its length), others stay as they are, null too; a text that loses
+    its last word goes.
     """
     _, _, length = settings(window)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.col(text).isNull().alias("_null")).alias("rest")
+    names = docs.columns
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+    rows = docs.select(*keys, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), *([rest] if as_documents else []))
     known = rows.filter("doc_id is not null")
 
     def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +98,8 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text") -> DataFr
             doc = batch.column("doc_id").to_numpy()[of]
             yield pa.RecordBatch.from_arrays([tv.as_long(h), pa.array(doc), pa.array((at - t.bounds[of]).astype(np.int32))], names=["h", "doc_id", "pos"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch], settled: bool) -> Iterator[pa.RecordBatch]:
+        """Windows around hits: with settled those that a smaller doc_id of the same slice also has, else the others."""
         for batch in tv.slices(batches, "text"):
             t = tv.Texts(batch.column("text"))
             near = np.zeros(t.n_words + 1, np.int64)
@@ -106,25 +118,54 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text") -> DataFr
             w1 = tv.sequences(tv.sequence_prefix(hashes), start, window)
             w2 = tv.sequences(tv.sequence_prefix(hashes, 7), start, window, 1)
             of = np.searchsorted(t.bounds, start, side="right") - 1
+            doc = batch.column("doc_id").to_numpy()[of]
+            order = np.lexsort((doc, w2, w1))
+            w1, w2, doc, of, start = w1[order], w2[order], doc[order], of[order], start[order]
+            new = np.ones(len(w1), bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
+            use = (doc > least) == settled
+            th = (batch.column("tk").to_numpy()[of] & SHORT).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [tv.as_long(w1), tv.as_long(w2), pa.array(batch.column("doc_id").to_numpy()[of]), pa.array(batch.column("tk").to_numpy()[of]), pa.array((start - t.bounds[of]).astype(np.int32))],
-                names=["w1", "w2", "doc_id", "tk", "pos"],
+                [tv.as_long(w1[use]), pa.array(w2[use].astype(np.uint32).view(np.int32)), pa.array(doc[use]), pa.array(th[use]), pa.array((start - t.bounds[of]).astype(np.int32)[use])],
+                names=["w1", "w2", "doc_id", "th", "pos"],
             )
 
+    def documents(batch: pa.RecordBatch, t: tv.Texts, keep: np.ndarray, removed: np.ndarray) -> pa.RecordBatch:
+        inner = batch.column("rest")
+        new = batch.column("text").to_pylist()
+        empty = inner.field("_null").to_pylist()
+        for i in range(t.n):
+            new[i] = None if empty[i] else t.kept(i, keep).decode("utf-8", "replace") if removed[i] else new[i]
+        columns = []
+        for name in names:
+            if name == text:
+                columns.append(pa.array(new, pa.string()))
+            elif name == "n_chars":
+                old = inner.field("n_chars").to_pylist()
+                columns.append(pa.array([len(new[i]) if removed[i] else old[i] for i in range(t.n)], inner.field("n_chars").type))
+            else:
+                columns.append(inner.field(name))
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array((removed == 0) | (removed < t.counts)))
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.slices(batches, "text"):
             t = tv.Texts(batch.column("text"))
             drop = np.zeros(t.n_words + 1, np.int64)
-            for i, (copy, cut) in enumerate(zip(batch.column("copy").to_pylist(), batch.column("cut").to_pylist(), strict=True)):
-                if copy and t.counts[i] >= window:
-                    drop[t.bounds[i]] += 1
-                    drop[t.bounds[i + 1]] -= 1
-                elif cut:
-                    at = t.bounds[i] + np.array(cut)
-                    np.add.at(drop, at, 1)
-                    np.add.at(drop, at + window, -1)
+            for i, (tk, facts) in enumerate(zip(batch.column("tk").to_pylist(), batch.column("facts").to_pylist(), strict=True)):
+                for fact in facts or []:
+                    if fact["th"] == tk & SHORT and fact["copy"] and t.counts[i] >= window:
+                        drop[t.bounds[i]] += 1
+                        drop[t.bounds[i + 1]] -= 1
+                    elif fact["th"] == tk & SHORT and fact["cut"]:
+                        at = t.bounds[i] + np.array(fact["cut"])
+                        np.add.at(drop, at, 1)
+                        np.add.at(drop, at + window, -1)
             keep = np.cumsum(drop)[:-1] == 0
             removed = t.counts - np.diff(np.concatenate(([0], np.cumsum(keep)))[t.bounds])
+            if as_documents:
+                yield documents(batch, t, keep, removed)
+                continue
             kept = [t.kept(i, keep) for i in range(t.n)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -144,10 +185,16 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text") -> DataFr
     first = identity.groupBy("tk", "tk2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
     copies = identity.join(first, ["tk", "tk2", "n"]).filter("doc_id > rep").select("doc_id", "tk").distinct().withColumn("copy", F.lit(True))
 
-    around = known.join(hits, "doc_id").join(copies, ["doc_id", "tk"], "left_anti")
-    seen = around.mapInArrow(windows, "w1 long, w2 long, doc_id long, tk long, pos int")
-    earliest = seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("w1", "w2", "rep")
-    cut = seen.join(earliest, ["w1", "w2"]).filter("doc_id > rep").groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("cut"))
-
-    facts = cut.join(copies, ["doc_id", "tk"], "full")
-    return rows.join(facts, ["doc_id", "tk"], "left").select("doc_id", "text", "copy", "cut").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    # every join with the texts is on doc_id alone, so that they are shuffled once
+    whole = copies.groupBy("doc_id").agg(F.collect_set("tk").alias("whole"))
+    around = known.join(hits.join(whole, "doc_id", "left"), "doc_id").filter(~F.coalesce(F.array_contains("whole", F.col("tk")), F.lit(False)))
+    shape = "w1 long, w2 int, doc_id long, th int, pos int"
+    settled = around.mapInArrow(lambda batches: windows(batches, True), shape).select("doc_id", "th", "pos")
+    open_ = around.mapInArrow(lambda batches: windows(batches, False), shape).withColumn("rep", F.min("doc_id").over(Window.partitionBy("w1", "w2")))
+    cut = settled.union(open_.filter("doc_id > rep").select("doc_id", "th", "pos")).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("cut"))
+
+    facts = cut.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.col("tk").bitwiseAND(F.lit(SHORT)).cast("int").alias("th"), "copy", F.lit(None).cast("array<int>").alias("cut")))
+    by_doc = facts.groupBy("doc_id").agg(F.collect_list(F.struct("th", "copy", "cut")).alias("facts"))
+    out = docs.schema if as_documents else "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    unknown = rows.filter("doc_id is null").withColumn("facts", F.lit(None).cast("array<struct<th:int,copy:boolean,cut:array<int>>>"))
+    return known.join(by_doc, "doc_id", "left").mapInArrow(finish, out).union(unknown.mapInArrow(finish, out))
