@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import cluster, graph
@@ -196,3 +196,15 @@ def join(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.999,
     )
     unknown = rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_id"))
     return judged.union(unknown)
+
+
+def representatives(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.999, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose doc_id is the smallest of their class (see join); of repeated rows one.
+
+    Texts without words and rows with a null doc_id are in no class and stay.
+    """
+    kept = join(docs, threshold, target_recall, text).filter("doc_id = class_id").select("doc_id").distinct()
+    mine = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    once = Window.partitionBy("doc_id", F.xxhash64(text)).orderBy("doc_id")
+    with_words = F.col(text).isNotNull() & (F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) > 0)
+    return mine.withColumn("_rank", F.row_number().over(once)).filter((F.col("_rank") == 1) | ~with_words).select(*docs.columns).union(docs.filter("doc_id is null"))

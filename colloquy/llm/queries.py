@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import cas, cluster, decontam, jaccard, labelled, packing, quality, substring, toxicity
+from colloquy.llm import cas, chat, cluster, decontam, embed_dedup, hmm, jaccard, labelled, packing, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -43,14 +48,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (labelled.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", F.array_distinct("found.item_id").alias("item_ids"), F.array_max("found.share").alias("best_share"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_content_store, op4_quality, op5_substring_dedup, op6_ngram_jaccard, op7_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op2_content_store, op3_embedding_dedup, op4_quality, op5_substring_dedup, op6_ngram_jaccard, op7_toxicity, op8_hidden_markov, op9_perspectives, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_perspectives": chat.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
