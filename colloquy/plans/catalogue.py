@@ -18,13 +18,19 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from colloquy.plans import dialogue, graphs, ingest, judging, retrieval, time  # noqa: F401  they register themselves
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["hybrid_union_candidates"](spark, sf_dir)
+    return queries()["hybrid_union_candidates"](spark, sf_dir)
