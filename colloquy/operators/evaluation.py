@@ -93,3 +93,13 @@ def streak(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
     last = F.first(value).over(back)
     broken = F.sum(F.when(F.col(value).eqNullSafe(F.col("_last")), 0).otherwise(1)).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return events.withColumn("_last", last).withColumn("_b", broken).filter("_b = 0").groupBy(key).agg(F.count("*").alias("streak"), F.first("_last").alias("value"))
+
+
+def bleu1(rows: DataFrame, keys: list[str], prediction: str, gold: str) -> DataFrame:
+    """keys and BLEU-1 of token arrays, for long texts: token counts of both sides are joined instead of compared one by one."""
+    p = rows.select(*keys, F.explode(prediction).alias("_w")).groupBy(*keys, "_w").agg(F.count("*").alias("_n"))
+    g = rows.select(*keys, F.explode(gold).alias("_w")).groupBy(*keys, "_w").agg(F.count("*").alias("_m"))
+    clipped = p.join(g, [*keys, "_w"]).groupBy(*keys).agg(F.sum(F.least("_n", "_m")).alias("_c"))
+    n, m = F.size(prediction), F.size(gold)
+    score = F.when(F.col("_c").isNull(), 0.0).otherwise(F.when(n > m, 1.0).otherwise(F.exp(1 - m / n)) * F.col("_c") / n)
+    return rows.select(*keys, prediction, gold).join(clipped, keys, "left").select(*keys, score.alias("bleu"))

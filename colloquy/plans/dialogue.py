@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
+from colloquy.operators import evaluation
 from colloquy.operators import turns as ops
 from colloquy.plans.catalogue import query
 from colloquy.sources.tables import table
@@ -127,14 +128,13 @@ select conv_id, message_id, round(case when coalesce(clipped, 0) = 0 then 0.0 el
 from s left join c using (conv_id, message_id)""")
 def bleu1(spark, sf_dir):
     p = ops.turn_pairs(_turns(spark, sf_dir)).filter("user_text <> ''")
-    return p.select("conv_id", "message_id", F.round(tx.bleu1(tx.simple_tokens(F.col("assistant_text")), tx.simple_tokens(F.col("user_text"))), 6).alias("bleu"))
+    rows = p.select("conv_id", "message_id", tx.simple_tokens(F.col("assistant_text")).alias("p"), tx.simple_tokens(F.col("user_text")).alias("g"))
+    return evaluation.bleu1(rows, ["conv_id", "message_id"], "p", "g").withColumn("bleu", F.round("bleu", 6))
 
 
 @query("""with s as (select conv_id, count(*) as turns, (count(*) + 2) // 3 as chunks from conversations group by conv_id)
 select max(ceil(turns / chunks))::bigint as low, min(case when chunks > 1 then (turns - 1) // (chunks - 1) end)::bigint as high from s""")
 def chunk_size_bounds(spark, sf_dir):
-    from colloquy.operators import evaluation
-
     s = _turns(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("turns")).withColumn("chunks", F.floor((F.col("turns") + 2) / 3))
     return evaluation.chunk_bounds(s, "turns", "chunks")
 

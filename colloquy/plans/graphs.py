@@ -123,7 +123,7 @@ k as (select * from (select *, row_number() over (partition by user_id, session_
 select user_id, summary_id, event_id, row_number() over (partition by user_id order by ts, summary_id) as n from k""")
 def prov_merge_latest(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("s"), (F.col("event_id") % 20).cast("string")).alias("session_id"), F.col("event_type").alias("message_id"), F.concat("event_type", F.lit(":"), (F.col("event_id") % 20).cast("string")).alias("summary_id"), "event_id", (F.col("event_id") % 7).cast("int").alias("ts"))
-    return prov.merge_events(e, "user_id", "event_id").select("user_id", "summary_id", "event_id", "n")
+    return prov.merge_events(e, "user_id", "event_id").select("user_id", "summary_id", "event_id", F.col("n").cast("long").alias("n"))
 
 
 @query("select user_id, event_type, event_id, round(value, 4) as value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events) where n = 1")

@@ -90,13 +90,13 @@ def clean_fields(spark, sf_dir):
     return d.select("doc_id", ps.clean_field(noisy).alias("cleaned"))
 
 
-@query("""select event_id, case event_id % 6 when 0 then 1 when 1 then 0 when 2 then 1 when 3 then 0 when 4 then 0 end as verdict, case event_id % 6 when 0 then null when 1 then null when 5 then null else null end as yes_no_null,
+@query("""select event_id, case event_id % 6 when 0 then 1 when 1 then 0 when 2 then 1 when 3 then 0 when 4 then 0 end as verdict,
 case event_id % 3 when 0 then 1 when 1 then 0 end as yes_no from events""")
 def verdict_parsers(spark, sf_dir):
     i = F.col("event_id") % 6
     text = F.element_at(F.array(*map(F.lit, ['{"correct": true}', 'so {"correct": 0.5}', '{"label": "CORRECT"}', '{"label": "wrong"}', "It is incorrect.", "no idea"])), (i + 1).cast("int"))
     plain = F.element_at(F.array(*map(F.lit, ["Yes, it is", "**No**", "maybe"])), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", ps.parse_json_verdict(text).alias("verdict"), F.lit(None).cast("int").alias("yes_no_null"), ps.parse_yes_no(plain).alias("yes_no"))
+    return table(spark, sf_dir, "events").select("event_id", ps.parse_json_verdict(text).alias("verdict"), ps.parse_yes_no(plain).alias("yes_no"))
 
 
 @query("select event_id, case when user_id % 7 < event_id % 5 then (user_id % 7) || ',' || (event_id % 5) when user_id % 7 = event_id % 5 then (user_id % 7)::varchar else (event_id % 5) || ',' || (user_id % 7) end as sessions from events")
