@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import textvec as tv
 
 #: Most labelled texts that a classifier is fitted on, and the longest of them in bytes.
-SAMPLE, LONGEST = 6000, 400_000
+SAMPLE, LONGEST = 5000, 400_000
 
 
 def bucket(doc_id: Column, modulus: int) -> Column:
@@ -19,28 +19,36 @@ def bucket(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, encode: Callable[[pa.Array], list[bytes]], most: int = SAMPLE, longest: int = LONGEST, text: str = "text") -> list[tuple[bytes, int]]:
-    """(encoded text, label) of at most `most` labelled rows for which `learn` holds, the first by a hash of their ids.
+def share(rows: DataFrame, key: Column, most: int, n: int) -> DataFrame:
+    """About `most` of n rows, and never more than twice as many: those with a small hash of the key, so that tasks pass on only what is used."""
+    cut = min(1.0, most / max(1, n))
+    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(cut * (1 << 30)))).limit(2 * most)
 
-    The chosen ids are the only thing broadcast (at most `most` of them); texts are encoded
-    where they lie. Null labels and ids, and texts beyond `longest` bytes, are not used; an id with
-    several labels counts by its largest.
+
+def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = SAMPLE, longest: int = LONGEST, text: str = "text") -> DataFrame:
+    """doc_id, label, text of about `most` labelled rows for which `learn` holds, by a hash of their ids.
+
+    The chosen ids are the only thing broadcast (at most twice `most`). Null labels and ids, and
+    texts beyond `longest` bytes, are not used; an id with several labels counts by its largest.
     """
     spark = docs.sparkSession
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(learn)
-    ids = named.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-    if not ids:
-        return []
-    chosen = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, label int")
+    single = named.groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids = share(single, F.col("doc_id"), most, single.count()).collect()
+    few = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, label int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
+    return rows.join(F.broadcast(few), "doc_id")
+
+
+def sample(rows: DataFrame, encode: Callable[[pa.Array], list[bytes]]) -> list[tuple[bytes, int]]:
+    """(encoded text, label) of rows (doc_id, label, text), one for each id in the order of ids; texts are encoded where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(encode(batch.column("text")), pa.binary())], names=["doc_id", "label", "code"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
-    coded = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, code binary")
-    got = coded.groupBy("doc_id").agg(F.first("label").alias("label"), F.first("code").alias("code")).orderBy("doc_id").collect()
-    return [(bytes(r.code), r.label) for r in got]
+    got = rows.mapInArrow(run, "doc_id long, label int, code binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    return list(zip(got.column("code").to_pylist(), got.column("label").to_pylist(), strict=True))
 
 
 class Adam:

@@ -158,8 +158,8 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, batch: int = 200, decay
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, text: str = "text") -> Model:
-    """Fit on at most labelled.SAMPLE labelled texts with crc32(doc_id) mod modulus other than held_out."""
-    return fit(labelled.sample(docs, labels, "quality", labelled.bucket(F.col("doc_id"), modulus) != held_out, encode, text=text))
+    """Fit on about labelled.SAMPLE labelled texts with crc32(doc_id) mod modulus other than held_out."""
+    return fit(labelled.sample(labelled.chosen(docs, labels, "quality", labelled.bucket(F.col("doc_id"), modulus) != held_out, text=text), encode))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from colloquy.llm import labelled
 from colloquy.llm import textvec as tv
 
 BINS = 1 << 20
-STARTS = (4, 5, 6)
+STARTS = (4, 6)
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 ENDS = np.zeros(256, bool)
@@ -25,7 +25,7 @@ ENDS[[ord(c) for c in ".!?\n"]] = True
 
 
 class Sentences:
-    """Words of a slice by sentence: features of a word are its first 4, 5 and 6 bytes and itself, in lower case, hashed to BINS."""
+    """Words of a slice by sentence: features of a word are its first 4 and 6 bytes and itself, in lower case, hashed to BINS."""
 
     def __init__(self, column: pa.Array):
         t = self.texts = tv.Texts(column, fold=True, separators=NOT_LETTER)
@@ -41,11 +41,34 @@ class Sentences:
         self.bins = [(h & np.uint64(BINS - 1)).astype(np.int32) for h in t.start_hashes(STARTS)]
 
 
-def encode(column: pa.Array) -> list[bytes]:
-    """Per text, the sentence of each word and its features as 32-bit integers."""
-    s = Sentences(column)
-    rows = np.stack([s.sentence.astype(np.int32) - s.bounds[s.texts.text_of_word()].astype(np.int32), *s.bins], 1)
-    return [rows[a:b].tobytes() for a, b in zip(s.texts.bounds[:-1], s.texts.bounds[1:], strict=True)]
+def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text its distinct features with its label, and feature -1 for the text itself."""
+    for batch in tv.slices(batches, "text"):
+        s = Sentences(batch.column("text"))
+        label = np.array(batch.column("label").to_pylist(), np.int32)
+        of = s.texts.text_of_word()
+        both = np.unique(np.concatenate([of * BINS + b for b in s.bins])) if len(of) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([both % BINS, np.full(s.texts.n, -1)]).astype(np.int32)), pa.array(np.concatenate([label[both // BINS], label]))], names=["bin", "label"])
+
+
+def encoder(use: np.ndarray):
+    """Per text its number of sentences, then the sentence and the index in `use` (sorted) of each used feature, as 32-bit integers."""
+
+    def encode(column: pa.Array) -> list[bytes]:
+        s = Sentences(column)
+        of = s.texts.text_of_word()
+        rows = []
+        for b in s.bins:
+            at = np.minimum(np.searchsorted(use, b), max(0, len(use) - 1))
+            hit = np.flatnonzero(use[at] == b) if len(use) else np.zeros(0, np.int64)
+            rows.append(np.stack([of[hit], s.sentence[hit] - s.bounds[of[hit]], at[hit]], 1))
+        rows = np.concatenate(rows).astype(np.int32)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        cut = np.searchsorted(rows[:, 0], np.arange(s.texts.n + 1))
+        sizes = np.diff(s.bounds).astype(np.int32)
+        return [sizes[i : i + 1].tobytes() + rows[cut[i] : cut[i + 1], 1:].tobytes() for i in range(s.texts.n)]
+
+    return encode
 
 
 class Model:
@@ -65,40 +88,20 @@ class Model:
         return np.clip(-np.expm1(-(quiet[s.bounds[1:]] - quiet[s.bounds[:-1]])), 0, 1)
 
 
-def fit(rows: list[tuple[bytes, int]], rounds: int = 150, least_docs: int = 3, least_z: float = 3.0) -> Model:
-    """Weights of features that labelled texts hold with clearly different frequency, by gradient descent on the noisy-or's likelihood."""
+def fit(rows: list[tuple[bytes, int]], use: np.ndarray, first: np.ndarray, rounds: int = 150) -> Model:
+    """Weights of the features `use`, starting at `first`, by gradient descent on the noisy-or's likelihood. rows: as encoder(use) makes them, with labels. With one class or none the model has that class's rate."""
     weights = np.zeros(BINS, np.float32)
     labels = np.array([y for _, y in rows], np.float64)
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    if not n1 or not n0:
-        return Model(weights, 20.0 if n1 else -20.0)
-    held = [np.zeros(BINS, np.int32), np.zeros(BINS, np.int32)]
-    for code, y in rows:
-        held[y][np.unique(np.frombuffer(code, np.int32).reshape(-1, 2 + len(STARTS))[:, 1:])] += 1
-    neg, pos = held
-    share = (pos + neg) / (n1 + n0)
-    z = (pos - n1 * share) / np.sqrt(np.maximum(n1 * share * (1 - share) * n0 / (n1 + n0), 1e-9))
-    use = np.flatnonzero((pos + neg >= least_docs) & (np.abs(z) >= least_z))
-    place = np.full(BINS, -1, np.int64)
-    place[use] = np.arange(len(use))
-    feature, at, text, size = [], [], [], 0
-    for i, (code, _) in enumerate(rows):
-        words = np.frombuffer(code, np.int32).reshape(-1, 2 + len(STARTS))
-        if not len(words):
-            continue
-        found = place[words[:, 1:]]
-        word, column = np.nonzero(found >= 0)
-        feature.append(found[word, column])
-        at.append(words[word, 0] + size)
-        k = int(words[-1, 0]) + 1
-        text.append(np.full(k, i))
-        size += k
-    if not size:
-        return Model(weights, -20.0)
-    feature, at, text = np.concatenate(feature), np.concatenate(at), np.concatenate(text)
-    w = np.clip(np.log((pos[use] + 0.5) / (n1 + 1)) - np.log((neg[use] + 0.5) / (n0 + 1)), -1, 2)
-    b = np.float64(-7.0)
-    adam = labelled.Adam(0.1)
+    if not labels.sum() or labels.sum() == len(labels):
+        return Model(weights, 20.0 if labels.sum() else -20.0)
+    codes = [np.frombuffer(c, np.int32) for c, _ in rows]
+    sentences = np.array([c[0] for c in codes])
+    begin = np.concatenate(([0], np.cumsum(sentences)))
+    size = int(begin[-1])
+    text = np.repeat(np.arange(len(rows)), sentences)
+    at = np.concatenate([c[1::2] + begin[i] for i, c in enumerate(codes)]).astype(np.int64)
+    feature = np.concatenate([c[2::2] for c in codes]).astype(np.int64)
+    w, b, adam = first.astype(np.float64), np.float64(-7.0), labelled.Adam(0.1)
     for _ in range(rounds):
         adam.t += 1
         s = b + np.bincount(at, w[feature], size)
@@ -111,9 +114,25 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 150, least_docs: int = 3, l
     return Model(weights, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, text: str = "text") -> Model:
-    """Fit on at most labelled.SAMPLE labelled texts with crc32(doc_id) mod held_out not 0."""
-    return fit(labelled.sample(docs, labels, "toxic", labelled.bucket(F.col("doc_id"), held_out) != 0, encode, text=text))
+def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, text: str = "text", least_docs: int = 3, least_z: float = 3.0) -> Model:
+    """Fit on about labelled.SAMPLE labelled texts with crc32(doc_id) mod held_out not 0.
+
+    Features that toxic and other texts hold with clearly different frequency are found first, from
+    counts summed across tasks; only these are then encoded, so little reaches the driver: at most
+    BINS counts, and the used features of the sampled texts.
+    """
+    rows = labelled.chosen(docs, labels, "toxic", labelled.bucket(F.col("doc_id"), held_out) != 0, text=text)
+    got = rows.mapInArrow(presence, "bin int, label int").groupBy("bin").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).filter((F.col("n") >= least_docs) | (F.col("bin") < 0)).toArrow()
+    bins, pos, n = (got.column(c).to_numpy().astype(np.float64) for c in ("bin", "pos", "n"))
+    n1 = pos[bins < 0].sum()
+    n0 = n[bins < 0].sum() - n1
+    share = n / max(1.0, n1 + n0)
+    z = (pos - n1 * share) / np.sqrt(np.maximum(n1 * share * (1 - share) * n0 / max(1.0, n1 + n0), 1e-9))
+    keep = np.flatnonzero((bins >= 0) & (np.abs(z) >= least_z))
+    keep = keep[np.argsort(bins[keep])]
+    first = np.clip(np.log((pos[keep] + 0.5) / (n1 + 1)) - np.log((n[keep] - pos[keep] + 0.5) / (n0 + 1)), -1, 2)
+    use = bins[keep].astype(np.int32)
+    return fit(labelled.sample(rows, encoder(use)), use, first)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:

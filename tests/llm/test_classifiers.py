@@ -55,7 +55,8 @@ def test_toxicity_on_held_out(spark):
     kept = toxicity.keep_clean(docs, model)
     assert kept.schema == docs.schema and kept.count() == sum(r.predicted == 0 for r in got)
     assert toxicity.score(docs.limit(0), model).count() == 0
-    one = toxicity.fit([(b"", 0)])
+    one = toxicity.fit([(b"\0\0\0\0", 0)], np.zeros(0, np.int32), np.zeros(0))
+    assert toxicity.train(docs, labels.limit(0)).score(toxicity.Sentences(pa.array(["a b"])))[0] < 0.5
     assert toxicity.score(docs.limit(3), one).count() == 3
 
 
