@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from colloquy.llm import textvec as tv
 
 
+#: Bytes of text within which equal windows are settled on the spot.
+SETTLED_BYTES = 3 << 20
 #: Bits of a text's hash that tell texts under one doc_id apart.
 SHORT = 0x7FFF_FFFF
 
@@ -100,7 +102,7 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
 
     def windows(batches: Iterator[pa.RecordBatch], settled: bool) -> Iterator[pa.RecordBatch]:
         """Windows around hits: with settled those that a smaller doc_id of the same slice also has, else the others."""
-        for batch in tv.slices(batches, "text"):
+        for batch in tv.slices(batches, "text", SETTLED_BYTES):
             t = tv.Texts(batch.column("text"))
             near = np.zeros(t.n_words + 1, np.int64)
             hits = batch.column("hits").to_pylist()
@@ -120,14 +122,13 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
             of = np.searchsorted(t.bounds, start, side="right") - 1
             doc = batch.column("doc_id").to_numpy()[of]
             order = np.lexsort((doc, w2, w1))
-            w1, w2, doc, of, start = w1[order], w2[order], doc[order], of[order], start[order]
-            new = np.ones(len(w1), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-            use = (doc > least) == settled
-            th = (batch.column("tk").to_numpy()[of] & SHORT).astype(np.int32)
+            new = np.ones(len(order), bool)
+            new[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
+            least = doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1] if len(doc) else doc
+            use = np.sort(order[(doc[order] > least) == settled])  # back in the texts' order, in which rows compress well
+            th = (batch.column("tk").to_numpy()[of[use]] & SHORT).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [tv.as_long(w1[use]), pa.array(w2[use].astype(np.uint32).view(np.int32)), pa.array(doc[use]), pa.array(th[use]), pa.array((start - t.bounds[of]).astype(np.int32)[use])],
+                [tv.as_long(w1[use]), pa.array(w2[use].astype(np.uint32).view(np.int32)), pa.array(doc[use]), pa.array(th), pa.array((start - t.bounds[of])[use].astype(np.int32))],
                 names=["w1", "w2", "doc_id", "th", "pos"],
             )
 

@@ -19,7 +19,7 @@ U = np.uint64
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SEP = np.zeros(256, bool)
 IS_SEP[list(SEPARATORS)] = True
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd
 
@@ -42,7 +42,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        p = np.full(max(n, 1 << 20), base, U)
+        p = np.full(max(n + 1, 1 << 18), base, U)
         p[0] = 1
         with np.errstate(over="ignore"):
             got = _powers[base] = np.cumprod(p, dtype=U)
