@@ -86,35 +86,36 @@ def expected(model: Hmm, seq: np.ndarray, bounds: np.ndarray, first: np.ndarray)
     s = len(model.start)
     order, at, running = lanes(bounds)
     first = first[order]
-    n = len(seq)
-    em = model.emit[seq].astype(np.float32)
-    alpha = np.zeros((n, s), np.float32)
-    scale = np.ones(n, np.float32)
+    # tokens by step and then by sequence, so that each step is one range of them
+    off = np.concatenate(([0], np.cumsum(running)))
+    seq = seq[at[tv.ragged(np.zeros(len(running), np.int64), running)] + np.repeat(np.arange(len(running)), running)]
+    em = np.take(np.ascontiguousarray(model.emit.T, np.float32), seq, axis=1)
+    alpha = np.empty_like(em)
+    scale = np.empty(len(seq), np.float32)
     move = model.move.astype(np.float32)
-    run = stationary(model.move)
-    state = np.where(first[:, None], model.start, run).astype(np.float32)
+    state = np.where(first, model.start[:, None], stationary(model.move)[:, None]).astype(np.float32)
     for t, k in enumerate(running.tolist()):
-        p = at[:k] + t
-        a = (state[:k] if t == 0 else state[:k] @ move) * em[p]
-        c = a.sum(1)
-        a /= c[:, None]
-        alpha[p], scale[p] = a, c
+        p = slice(off[t], off[t + 1])
+        a = (state[:, :k] if t == 0 else move.T @ state[:, :k]) * em[:, p]
+        c = a.sum(0)
+        a /= c
+        alpha[:, p], scale[p] = a, c
         state = a
-    beta = np.ones((len(at), s), np.float32)
+    beta = np.ones((s, len(at)), np.float32)
     moves = np.zeros((s, s))
     for t in range(len(running) - 1, 0, -1):
         k = int(running[t])
-        p = at[:k] + t
-        x = beta[:k] * em[p] / scale[p][:, None]
-        moves += alpha[p - 1].T.astype(np.float64) @ x
-        em[p] = beta[:k]  # from here on em holds beta
-        beta[:k] = x @ move.T
-    if len(running):
-        em[at] = beta
+        p = slice(off[t], off[t + 1])
+        x = beta[:, :k] * em[:, p]
+        x /= scale[p]
+        moves += alpha[:, off[t - 1] : off[t - 1] + k] @ x.T
+        em[:, p] = beta[:, :k]  # from here on em holds beta
+        beta[:, :k] = move @ x
+    em[:, : len(at)] = beta
     moves *= model.move
-    gamma = alpha * em
-    emissions = np.stack([np.bincount(seq, gamma[:, j], len(model.emit)) for j in range(s)], 1)
-    starts = gamma[at[first]].sum(0, dtype=np.float64)
+    alpha *= em
+    emissions = np.stack([np.bincount(seq, alpha[j], len(model.emit)) for j in range(s)], 1)
+    starts = alpha[:, : len(at)][:, first].sum(1, dtype=np.float64)
     return starts, moves, emissions, float(np.log(scale, dtype=np.float64).sum())
 
 
@@ -263,19 +264,13 @@ def tail_sums(encoded: DataFrame, counts: DataFrame) -> DataFrame:
     return found.groupBy("rid").agg(F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("log"))
 
 
-def baum_welch(encoded: DataFrame, texts: int, unigram: np.ndarray, states: int, rounds: int, warm_texts: int, warm_rounds: int) -> Hmm:
-    """Rounds over all training texts, from a start fitted on about warm_texts of the texts."""
+def baum_welch(encoded: DataFrame, texts: int, unigram: np.ndarray, states: int, rounds: int) -> Hmm:
+    """Rounds over all training texts, `texts` in number, from a random start."""
     spark = encoded.sparkSession
     training = encoded.filter("not held_out")
-    warm = labelled.share(training, F.col("doc_id"), warm_texts, texts).filter(F.length("seq") <= 40_000).select("seq").collect()
     model = initial(unigram, states)
-    if not warm:
+    if not texts:
         return model
-    seq, bounds = _sequences(pa.array([bytes(r.seq) for r in warm], pa.binary()))
-    cut, first = stretches(seq, bounds)
-    for _ in range(warm_rounds):
-        starts, moves, emissions, _ = expected(model, seq, cut, first)
-        model = improved(starts, moves, emissions, unigram)
     classes = len(unigram)
     schema = "k int, " + ", ".join(f"v{j} double" for j in range(states))
     for _ in range(rounds):
@@ -302,18 +297,18 @@ def baum_welch(encoded: DataFrame, texts: int, unigram: np.ndarray, states: int,
         total = np.zeros((classes + states + 2, states))
         total[got.column("k").to_numpy()] = np.stack([got.column(f"v{j}").to_numpy() for j in range(states)], 1)
         model = improved(total[-2], total[classes : classes + states], total[:classes], unigram)
+        sent.unpersist()
     return model
 
 
-def score(docs: DataFrame, held_out: int = 10, states: int = STATES, rounds: int = 3, warm_texts: int = 1500, warm_rounds: int = 25, head_words: int = HEAD, words: int = WORDS, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: int = 10, states: int = STATES, rounds: int = 3, warm_rounds: int = 25, head_words: int = HEAD, words: int = WORDS, text: str = "text") -> DataFrame:
     """Score every text of docs (doc_id, text), learning from those with crc32(doc_id) mod held_out not 0.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (with a count), train_tokens,
     base_score (unigrams with 0.1 added) and score (the model's log10 probability of the text).
 
-    Word counts, the join of rare words with them and every Baum-Welch round cover all training
-    texts; only the start of Baum-Welch is fitted on about warm_texts, by a hash of their ids.
-    Training cuts texts longer than STRETCH tokens into stretches; scoring does not. Words are told
+    Word counts, the join of rare words with them and all warm_rounds + rounds rounds of Baum-Welch
+    cover all training texts, from a random start. Training cuts texts longer than STRETCH tokens into stretches; scoring does not. Words are told
     apart by 64 bits of hash, A-Z in lower case.
 
     A null or empty text is the end alone. Rows with a null doc_id count as held out. Repeated rows
@@ -330,7 +325,7 @@ def score(docs: DataFrame, held_out: int = 10, states: int = STATES, rounds: int
     voc = vocabulary(counts, texts, head_words, words)
     shared = spark.sparkContext.broadcast((voc, texts))
     encoded = cluster.written(encode(rows, shared), "encoded")
-    model = baum_welch(encoded, texts, voc.unigram, states, rounds, warm_texts, warm_rounds)
+    model = baum_welch(encoded, texts, voc.unigram, states, warm_rounds + rounds)
     final = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

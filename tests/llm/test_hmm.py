@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import hmm
+from colloquy.llm import textvec as tv
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,6 +90,32 @@ def test_score(spark):
     assert hmm.score(docs.limit(0)).count() == 0
 
 
+def test_every_round_covers_all_training_texts(spark):
+    """Scores equal those of rounds over all texts in one place, beyond any sample of texts and with a long one."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcd" if i % 40 else "efgh") for _ in range(rng.randint(1, 6)))) for i in range(4000)]
+    rows.append((4001, " ".join(rng.choice("aei") for _ in range(25_000))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hmm.score(docs, states=3, rounds=1, warm_rounds=5).collect()}
+    at = {w: 1 + i for i, w in enumerate("abcdefghi")}
+    assert zlib.crc32(b"4001") % 10
+    training = [[at[w] for w in t.split()] + [0] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    # classes of the common words are in the order of their counts
+    voc = hmm.vocabulary(hmm.count_words(spark.createDataFrame([(t,) for i, t in rows if zlib.crc32(str(i).encode()) % 10], "text string")), len(training))
+    h = tv.Texts(pa.array([" ".join(at)])).word_hashes()
+    cls = voc.look_up(h, np.zeros(len(h), np.int64))[0]
+    to = np.concatenate(([0], cls))
+    flat = lambda seqs: (to[np.concatenate(seqs)], np.concatenate(([0], np.cumsum([len(s) for s in seqs]))))
+    seq, bounds = flat(training)
+    cut, first = hmm.stretches(seq, bounds)
+    model = hmm.initial(voc.unigram, 3)
+    for _ in range(6):
+        starts, moves, emissions, _ = hmm.expected(model, seq, cut, first)
+        model = hmm.improved(starts, moves, emissions, voc.unigram)
+    want = hmm.log_likelihood(model, *flat([[at[w] for w in t.split()] + [0] for _, t in rows]))
+    assert [got[i] for i, _ in rows] == pytest.approx(want.tolist(), rel=1e-4)
+
+
 def test_probabilities_of_words_sum_to_one(spark):
     """Known words of every class and one unseen word for each class of endings take all the mass."""
     words = [f"w{i % 37}{'abc'[i % 3]}" for i in range(400)]
