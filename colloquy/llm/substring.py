@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import textvec as tv
 
 
-#: Bytes of text within which equal windows are settled on the spot.
+#: Bytes of text within which places with equal windows go on as one row.
 SETTLED_BYTES = 3 << 20
 #: Bits of a text's hash that tell texts under one doc_id apart.
 SHORT = 0x7FFF_FFFF
@@ -65,8 +65,9 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
 
     Windows are judged on the input. Whole copies are settled by their smallest doc_id; of other
     texts only windows around shared anchors are compared, by 96 bits of hash. Of places with equal
-    windows in one slice of texts only the smallest doc_id's are shuffled - the others are settled on
-    the spot - and anchors are aggregated before the shuffle, so groups of any size spread over tasks.
+    windows in one slice of texts only the smallest doc_id's are rows of the shuffle - the others are
+    carried by one of these - and anchors are aggregated before it. Every place goes on exactly once,
+    however the slices are cut, so their order and a task that runs again do not matter.
 
     A null text has no words. Rows with one doc_id never remove each other's words, repeated rows get equal
     results, and a row with a null doc_id is left as it is and removes nothing. Texts shorter
@@ -100,8 +101,8 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
             doc = batch.column("doc_id").to_numpy()[of]
             yield pa.RecordBatch.from_arrays([tv.as_long(h), pa.array(doc), pa.array((at - t.bounds[of]).astype(np.int32))], names=["h", "doc_id", "pos"])
 
-    def windows(batches: Iterator[pa.RecordBatch], settled: bool) -> Iterator[pa.RecordBatch]:
-        """Windows around hits: with settled those that a smaller doc_id of the same slice also has, else the others."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows around hits: a row for each place of the smallest doc_id of the slice; the first holds the places of the others in `more`."""
         for batch in tv.slices(batches, "text", SETTLED_BYTES):
             t = tv.Texts(batch.column("text"))
             near = np.zeros(t.n_words + 1, np.int64)
@@ -124,12 +125,25 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
             order = np.lexsort((doc, w2, w1))
             new = np.ones(len(order), bool)
             new[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
-            least = doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1] if len(doc) else doc
-            use = np.sort(order[(doc[order] > least) == settled])  # back in the texts' order, in which rows compress well
-            th = (batch.column("tk").to_numpy()[of[use]] & SHORT).astype(np.int32)
+            group = np.cumsum(new) - 1
+            head = order[new]
+            others = doc[order] > doc[head][group]
+            more = order[others]
+            count, begin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            count[head] = np.bincount(group[others], minlength=len(head))
+            begin[head] = np.cumsum(count[head]) - count[head]
+            use = np.sort(order[~others])  # back in the texts' order, in which rows compress well
+            more = more[tv.ragged(begin[use], count[use])]
+            th = (batch.column("tk").to_numpy()[of] & SHORT).astype(np.int32)
+            pos = (start - t.bounds[of]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(count[use]))).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(doc[more]), pa.array(th[more]), pa.array(pos[more])], names=["doc_id", "th", "pos"]),
+                mask=pa.array(count[use] == 0),
+            )
             yield pa.RecordBatch.from_arrays(
-                [tv.as_long(w1[use]), pa.array(w2[use].astype(np.uint32).view(np.int32)), pa.array(doc[use]), pa.array(th), pa.array((start - t.bounds[of])[use].astype(np.int32))],
-                names=["w1", "w2", "doc_id", "th", "pos"],
+                [tv.as_long(w1[use]), pa.array(w2[use].astype(np.uint32).view(np.int32)), pa.array(doc[use]), pa.array(th[use]), pa.array(pos[use]), lists],
+                names=["w1", "w2", "doc_id", "th", "pos", "more"],
             )
 
     def documents(batch: pa.RecordBatch, t: tv.Texts, keep: np.ndarray, removed: np.ndarray) -> pa.RecordBatch:
@@ -189,10 +203,11 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
     # every join with the texts is on doc_id alone, so that they are shuffled once
     whole = copies.groupBy("doc_id").agg(F.collect_set("tk").alias("whole"))
     around = known.join(hits.join(whole, "doc_id", "left"), "doc_id").filter(~F.coalesce(F.array_contains("whole", F.col("tk")), F.lit(False)))
-    shape = "w1 long, w2 int, doc_id long, th int, pos int"
-    settled = around.mapInArrow(lambda batches: windows(batches, True), shape).select("doc_id", "th", "pos")
-    open_ = around.mapInArrow(lambda batches: windows(batches, False), shape).withColumn("rep", F.min("doc_id").over(Window.partitionBy("w1", "w2")))
-    cut = settled.union(open_.filter("doc_id > rep").select("doc_id", "th", "pos")).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("cut"))
+    found = around.mapInArrow(windows, "w1 long, w2 int, doc_id long, th int, pos int, more array<struct<doc_id:long,th:int,pos:int>>")
+    ranked = found.withColumn("rep", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).filter("doc_id > rep or more is not null")
+    held = "coalesce(more, array())"
+    later = ranked.selectExpr(f"inline(if(doc_id > rep, concat(array(struct(doc_id, th, pos)), {held}), {held}))")
+    cut = later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("cut"))
 
     facts = cut.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.col("tk").bitwiseAND(F.lit(SHORT)).cast("int").alias("th"), "copy", F.lit(None).cast("array<int>").alias("cut")))
     by_doc = facts.groupBy("doc_id").agg(F.collect_list(F.struct("th", "copy", "cut")).alias("facts"))

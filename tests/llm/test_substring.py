@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +70,24 @@ def test_deduplicate_against_brute_force(spark):
         got = substring.deduplicate(docs, window).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, window)
     assert substring.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_slices_cut_anew_in_every_evaluation_lose_nothing(spark, monkeypatch):
+    """Rows come in any order and are cut anywhere, each time that a plan is run."""
+
+    def slices(batches, column, most=0):
+        rng = random.SystemRandom()
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            rng.shuffle(order)
+            while order:
+                n = rng.randint(1, 8)
+                yield batch.take(pa.array(order[:n]))
+                order = order[n:]
+
+    monkeypatch.setattr(substring, "tv", SimpleNamespace(**{k: getattr(tv, k) for k in ("Texts", "as_long", "ragged", "sequences", "sequence_prefix")}, slices=slices))
+    rng = random.Random(6)
+    passages = [[f"p{rng.randint(0, 300)}" for _ in range(40)] for _ in range(10)]
+    rows = [(i, " ".join([f"d{i}x{j}" for j in range(rng.randint(0, 9))] + rng.choice(passages) + rng.choice(passages) + [f"e{i}"])) for i in range(200)]
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, 12)
