@@ -79,7 +79,7 @@ def relation_id(source: Column, target: Column) -> Column:
 
 
 def normal_name(name: Column) -> Column:
-    """Trimmed, lower case, white space collapsed. Compatibility forms: see functions.udfs.nfkc."""
+    """Trimmed, lower case, white space collapsed. Compatibility forms are folded before it, by models.nfkc, where names are compared."""
     return F.regexp_replace(F.lower(F.trim(name)), "\\s+", " ")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.functions import models
 from colloquy.functions import text as tx
 
 #: Marks of delimited records, and the types an entity can have.
@@ -84,9 +85,10 @@ def similar_candidates(new: DataFrame, lexical: DataFrame, dense: DataFrame) ->
 
 
 def exact_temporal(new: DataFrame, known: DataFrame) -> DataFrame:
-    """Dates and times match by normal name and type only."""
-    k = known.filter(F.col("type").isin("Date", "Time")).select(F.col("id").alias("candidate"), tx.normal_name(F.col("name")).alias("_n"), "type")
-    return new.filter(F.col("type").isin("Date", "Time")).withColumn("_n", tx.normal_name(F.col("name"))).join(k, ["_n", "type"]).select("id", "candidate")
+    """Dates and times match by normal name, with compatibility forms folded, and type only."""
+    name = tx.normal_name(models.nfkc(F.col("name")))
+    k = known.filter(F.col("type").isin("Date", "Time")).select(F.col("id").alias("candidate"), name.alias("_n"), "type")
+    return new.filter(F.col("type").isin("Date", "Time")).withColumn("_n", name).join(k, ["_n", "type"]).select("id", "candidate")
 
 
 def decide(candidates: Column, action: Column, target: Column) -> Column:

@@ -102,3 +102,9 @@ def test_provenance_and_models(spark):
     texts = spark.createDataFrame([("a b",), (None,), ("ﬁn",)], "t string")
     assert [len(r.v) for r in texts.select(models.embedder()("t").alias("v")).collect()] == [64, 64, 64]
     assert texts.select(models.nfkc("t").alias("n")).collect()[2].n == "fin"
+
+
+def test_exact_temporal_folds_compatibility_forms(spark):
+    new = spark.createDataFrame([("a", "２０２３－０２", "Date"), ("b", "ﬁrst　of May ", "Time"), ("c", None, "Date"), ("d", "first of May", "Event")], "id string, name string, type string")
+    known = spark.createDataFrame([("k1", "2023-02", "Date"), ("k2", "First  of may", "Time"), ("k3", None, "Date")], "id string, name string, type string")
+    assert sorted(map(tuple, ingest.exact_temporal(new, known).collect())) == [("a", "k1"), ("b", "k2")]
