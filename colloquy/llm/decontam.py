@@ -116,11 +116,11 @@ class Seeds:
 
 def blocks(benchmark: DataFrame, text: str = "text", most: int = BLOCK_WORDS) -> Iterator[tuple[Seeds, list[int]]]:
     """The items as Seeds in blocks of about `most` words, by a hash of the item."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(text).alias("text")).filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(text).alias("text")).filter("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", "[ \\t-\\r]+")))).first()[0] or 0
     n = max(1, -(-words // most))
     for b in range(n):
-        rows = sorted(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect(), key=lambda r: r.item_id)
+        rows = sorted(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect(), key=lambda r: (r.item_id is not None, r.item_id))
         yield Seeds([r.text for r in rows]), [r.item_id for r in rows]
 
 
@@ -134,7 +134,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_wo
     Words are compared in lower case. A text overlaps with an item if, laid side by side, some 15
     consecutive places of the item hold at least 12 equal words (for items of 8 to 14 words: 80 % of
     all). Every such overlap is found: the masks miss none. Shorter items are too short to tell from
-    chance and are left out, as are null items.
+    chance and are left out, as are null texts. An item with a null id counts, with a null item_id in found.
 
     Returns doc_id, found (item_id, first_word of the best window in the text - negative if the item
     begins before it -, equal, share; ordered), contaminated: one row per row of docs.

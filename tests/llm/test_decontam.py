@@ -56,3 +56,13 @@ def test_overlaps_against_brute_force(spark):
         assert kept.schema == docs.schema and kept.count() == sum(not x for _, x in want)
     assert decontam.overlaps(docs.limit(0), bench).count() == 0
     assert decontam.overlaps(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_items_without_an_id_count(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "so " + item), (2, "so one two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, "another " + item), (None, None), (7, item)], "item_id long, text string")
+    for block in (10_000, 10):
+        got = {r.doc_id: (r.contaminated, {x.item_id for x in r.found}) for r in decontam.overlaps(docs, bench, block_words=block).collect()}
+        assert got == {1: (True, {None, 7}), 2: (False, set())}
+        assert [r.doc_id for r in decontam.keep_clean(docs, bench.filter("item_id is null"), block_words=block).collect()] == [2]
