@@ -1,9 +1,11 @@
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import cas, cluster, tokens
 
@@ -53,3 +55,15 @@ def test_round_trip(spark):
     empty = cluster.shared_dir(spark, "store")
     cas.write(docs.limit(0), WORD, empty)
     assert cas.digest(spark, empty).count() == 0
+
+
+def test_a_lost_recipe_file_is_seen(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(60)], "doc_id long, text string")
+    store = cluster.shared_dir(spark, "store")
+    cas.write(docs, WORD, store)
+    files = {r.f: r.n for r in spark.read.parquet(f"{store}/recipes").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+    assert cas.digest(spark, store).count() == 60 and len(files) > 1
+    os.remove(min(files).removeprefix("file://"))
+    for back in (cas.digest, cas.read):
+        with pytest.raises(ValueError, match="1 shards"):
+            back(spark, store)
