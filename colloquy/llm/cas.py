@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm import tokens
+from colloquy.llm import cluster, tokens
 from colloquy.llm import textvec as tv
 
 LEAST, MEAN, MOST, WINDOW = 32, 256, 1024, 8
-SEEN = 500_000
+SEEN = 150_000
 FAN_OUT = 1024
 
 
@@ -86,7 +86,7 @@ def write(docs: DataFrame, tokenizer: str, store: str, end_id: int = 2, text: st
         encode = tokens.encoder(tokenizer)
         width = np.dtype("<u2" if encode.dtype == np.uint16 and end_id < 1 << 16 else "<u4")
         part, row, seen = TaskContext.get().partitionId(), 0, {}
-        for batch in tv.slices(batches, "text"):
+        for batch in tv.slices(batches, "text", tokens.SLICE_BYTES):
             ids, bounds = encode(batch.column("text"), end_id)
             ids = ids.astype(width)
             chunks, recipes = [], []
@@ -117,7 +117,7 @@ def write(docs: DataFrame, tokenizer: str, store: str, end_id: int = 2, text: st
                 names=["kind", "key", "doc_id", "body", "extra"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = rows.mapInArrow(run, "kind int, key binary, doc_id long, body binary, extra binary")
     once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "body", "extra")))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{store}/data")

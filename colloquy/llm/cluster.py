@@ -7,6 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between Spark and a Python worker; without a bound it is 10,000 rows, however long their texts.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on bounds the bytes of Arrow batches, unless a smaller bound holds already."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_SETTING).lower().removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share: spark.checkpoint.dir, set here only where it is unset (as in tests)."""
@@ -35,3 +48,11 @@ def partitions(df: DataFrame) -> int:
 
 def columns_but(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

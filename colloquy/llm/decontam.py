@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import cluster
 from colloquy.llm import textvec as tv
 
 WINDOW, SHARE, LEAST_ITEM = 15, 0.8, 8
@@ -143,7 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_wo
     documents are not shuffled. A null or empty text overlaps with nothing; repeated rows and null
     ids are judged one by one; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tk"))
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tk"))
     parts = [rows.mapInArrow(_finder(seeds, ids, None), f"doc_id long, tk long, found {FOUND}") for seeds, ids in blocks(benchmark, "text", block_words)]
     if len(parts) == 1:
         all_found = parts[0].select("doc_id", "found")
@@ -177,5 +178,5 @@ def _finder(seeds: Seeds, ids: list[int], whole: str | None):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns as they are, that overlap with no benchmark item."""
     for seeds, ids in blocks(benchmark, "text", block_words):
-        docs = docs.mapInArrow(_finder(seeds, ids, text), docs.schema)
+        docs = cluster.bounded_batches(docs).mapInArrow(_finder(seeds, ids, text), docs.schema)
     return docs

@@ -316,7 +316,7 @@ def score(docs: DataFrame, held_out: int = 10, states: int = STATES, rounds: int
     rows; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(
+    rows = cluster.bounded_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("doc_id").isNull() | (labelled.bucket(F.col("doc_id"), held_out) == 0)).alias("held_out"), F.col(text).alias("text")
     )
     training = rows.filter("not held_out")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import cluster
 from colloquy.llm import textvec as tv
 
 #: Most labelled texts that a classifier is fitted on, and the longest of them in bytes.
@@ -36,7 +37,7 @@ def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most:
     single = named.groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = share(single, F.col("doc_id"), most, single.count()).collect()
     few = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, label int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
     return rows.join(F.broadcast(few), "doc_id")
 
 

@@ -19,6 +19,8 @@ from colloquy.llm import cluster, tokens
 from colloquy.llm import textvec as tv
 
 GROUP_TOKENS = 4 << 20
+#: Pieces in a batch of output.
+BATCH = 512
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -124,30 +126,30 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
         held: list[tuple] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             ids = [x for _, x in held]
-            cols: list[list] = [[] for _ in range(8)]
-            last = -1
-            for doc, start, n, bin_, offset in pack_group([len(x) for x in ids], capacity):
-                piece = ids[doc][start : start + n].astype(width).tobytes()
-                for c, v in zip(cols, (held[doc][0], start, n, zlib.crc32(piece), len(ids[doc]), state["next"] + bin_, offset, piece), strict=True):
-                    c.append(v)
-                last = max(last, bin_)
-            state["next"] += last + 1
-            arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + ([pa.array(cols[7], pa.binary())] if emit_ids else [])
-            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
-
-        for batch in tv.slices(batches, "text"):
+            pieces = pack_group([len(x) for x in ids], capacity)
+            for at in range(0, len(pieces), BATCH):
+                cols: list[list] = [[] for _ in range(8)]
+                for doc, start, n, bin_, offset in pieces[at : at + BATCH]:
+                    piece = ids[doc][start : start + n].astype(width).tobytes()
+                    for c, v in zip(cols, (held[doc][0], start, n, zlib.crc32(piece), len(ids[doc]), state["next"] + bin_, offset, piece), strict=True):
+                        c.append(v)
+                arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + ([pa.array(cols[7], pa.binary())] if emit_ids else [])
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
+            state["next"] += max((p[3] for p in pieces), default=-1) + 1
+
+        for batch in tv.slices(batches, "text", tokens.SLICE_BYTES):
             ids, bounds = encode(batch.column("text"), end_id)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 held.append((doc_id, ids[a:b]))
                 size += b - a
                 if size >= group_tokens:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.repartition(cluster.partitions(rows)).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id")
     return dealt.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm import labelled
+from colloquy.llm import cluster, labelled
 from colloquy.llm import textvec as tv
 
 PASSAGE = 64
@@ -182,5 +182,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [batch.column("doc_id"), pa.array(f["score"]), pa.array((f["score"] >= 0.5).astype(np.int32)), pa.array(best, pa.int32())], names=["doc_id", "score", "predicted", "passage"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, passage int")

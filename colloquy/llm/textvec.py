@@ -8,6 +8,7 @@ All cost a few array passes, whatever the number of words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,10 @@ U = np.uint64
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SEP = np.zeros(256, bool)
 IS_SEP[list(SEPARATORS)] = True
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are worked on at a time; a worker's arrays are some hundred times that.
+SLICE_BYTES = 1 << 18
+#: Powers kept from slice to slice; a longer text's are computed for it alone.
+KEPT_POWERS = 1 << 19
 
 _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd
 
@@ -42,10 +46,12 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        p = np.full(max(n + 1, 1 << 18), base, U)
+        p = np.full(max(n, 1 << 16), base, U)
         p[0] = 1
         with np.errstate(over="ignore"):
-            got = _powers[base] = np.cumprod(p, dtype=U)
+            got = np.cumprod(p, dtype=U)
+        if len(got) <= KEPT_POWERS:
+            _powers[base] = got
     return got[:n]
 
 
@@ -140,17 +146,29 @@ def sequences(p: np.ndarray, start: np.ndarray, length, salt: int = 0) -> np.nda
     return mix(spans(p, start, start + length, _Q), 101 + salt)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark reuses its Python workers, and what one stage has freed is no use to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that no slice has much more than `most` bytes of text; a longer text is a slice alone."""
-    for batch in batches:
-        i = batch.schema.get_field_index(column)
-        size = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        total = np.cumsum(size)
-        at, base = 0, 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
-            yield batch.slice(at, to - at)
-            at, base = to, int(total[to - 1])
+    """The batches cut so that no slice has much more than `most` bytes of text; a longer text is a slice alone. After the last one freed memory goes back to the system."""
+    try:
+        for batch in batches:
+            i = batch.schema.get_field_index(column)
+            size = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total = np.cumsum(size)
+            at, base = 0, 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
+                yield batch.slice(at, to - at)
+                at, base = to, int(total[to - 1])
+    finally:
+        release()
 
 
 def as_long(x: np.ndarray) -> pa.Array:

@@ -14,7 +14,8 @@ import pyarrow as pa
 
 from colloquy.llm import textvec as tv
 
-KEPT_PIECES = 1_200_000
+#: Pieces whose ids a worker keeps, and bytes of text that are encoded at a time.
+KEPT_PIECES, SLICE_BYTES = 1_000_000, 1 << 19
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 _PUNCT = np.zeros(256, bool)

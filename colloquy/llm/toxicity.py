@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm import labelled
+from colloquy.llm import cluster, labelled
 from colloquy.llm import textvec as tv
 
 BINS = 1 << 20
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
                 names=["doc_id", "score", "predicted", "offending"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, offending array<struct<start:int,stop:int,score:double>>")
 
 
@@ -170,4 +170,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in tv.slices(batches, text):
             yield batch.filter(pa.array(model.score(Sentences(batch.column(batch.schema.get_field_index(text)))) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return cluster.bounded_batches(docs).mapInArrow(run, docs.schema)
