@@ -92,9 +92,9 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
 
     Windows are judged on the input. Whole copies are settled by their smallest doc_id; of other
     texts only windows around shared anchors are compared, by 96 bits of hash. A place whose anchor
-    is seen to be shared where it lies does not meet the others of that anchor, and of places with
-    equal windows in one slice of texts only the smallest doc_id's are rows of the shuffle, so
-    very common passages are spread over tasks. Smallest doc_ids of windows are combined before
+    is seen to be shared where it lies does not meet the others of that anchor, and places with
+    equal windows in one slice of texts are one row of the shuffle, so very common passages are
+    spread over tasks. Smallest doc_ids of windows are combined before
     the shuffle, and joined back, which Spark splits where a window is very common.
 
     A null text has no words. Rows with one doc_id never remove each other's words, repeated rows get equal
@@ -134,7 +134,7 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
             )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows around hits: a row for each place of the smallest doc_id of the slice; the first holds the places of the others in `more`."""
+        """Windows around hits: a row for each window of the slice with a place of its smallest doc_id, which holds all its other places in `more`."""
         for batch in tv.slices(batches, "text", SETTLED_BYTES):
             t = tv.Texts(batch.column("text"))
             near = np.zeros(t.n_words + 1, np.int64)
@@ -159,12 +159,11 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
             new[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
             group = np.cumsum(new) - 1
             head = order[new]
-            others = doc[order] > doc[head][group]
-            more = order[others]
+            more = order[~new]
             count, begin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-            count[head] = np.bincount(group[others], minlength=len(head))
+            count[head] = np.bincount(group[~new], minlength=len(head))
             begin[head] = np.cumsum(count[head]) - count[head]
-            use = np.sort(order[~others])  # back in the texts' order, in which rows compress well
+            use = np.sort(head)  # back in the texts' order, in which rows compress well
             more = more[tv.ragged(begin[use], count[use])]
             th = (batch.column("tk").to_numpy()[of] & SHORT).astype(np.int32)
             pos = (start - t.bounds[of]).astype(np.int32)
@@ -243,8 +242,7 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
     found = around.mapInArrow(windows, "w1 long, w2 int, doc_id long, th int, pos int, more array<struct<doc_id:long,th:int,pos:int>>")
     smallest = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"))
     ranked = found.join(smallest, ["w1", "w2"]).filter("doc_id > rep or more is not null")
-    held = "coalesce(more, array())"
-    later = ranked.selectExpr(f"inline(if(doc_id > rep, concat(array(struct(doc_id, th, pos)), {held}), {held}))")
+    later = ranked.selectExpr("inline(filter(concat(array(struct(doc_id, th, pos)), coalesce(more, array())), x -> x.doc_id > rep))")
     cut = later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("cut"))
 
     facts = cut.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.col("tk").bitwiseAND(F.lit(SHORT)).cast("int").alias("th"), "copy", F.lit(None).cast("array<int>").alias("cut")))

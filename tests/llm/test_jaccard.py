@@ -77,3 +77,69 @@ def test_join_against_brute_force(spark, monkeypatch):
         got = sorted([(r.doc_id, r.n_links, r.class_id) for r in jaccard.join(docs).collect()], key=str)
         assert got == brute(rows, 0.8)
     assert jaccard.join(docs.limit(0)).count() == 0
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of 0.8 to 0.86, held against the exact measure of every pair."""
+    rng = random.Random(11)
+    rows, want = [], 0
+    for g in range(500):
+        base = [f"g{g}x{j}" for j in range(rng.randint(60, 240))]
+        other = base[:]
+        for k in range(max(1, len(base) // 48)):  # each change takes five shingles out of both
+            other[(k * len(base)) // max(1, len(base) // 48) + 3] = f"z{k}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        want += len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    assert want > 300
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links > 0").count() / 2
+    assert 0.99 * want <= got <= want
+
+
+def test_nearest_links_by_trial():
+    for n in range(1, 40):
+        all_links = [i / (n + m - i) for m in range(1, 80) for i in range(1, min(n, m) + 1) if 0.8 * (n + m - i) - 1e-9 <= i < n + m - i]
+        assert jaccard.nearest_link(n, 0.8) == (min(all_links) if all_links else None)
+    own = jaccard.own_depths(np.array([3, 6, 8, 1000]), 0.8, 0.999)  # a set of 8 can lie in one of 10; one of 6 is at least 5/6 like its like
+    assert own[0] == jaccard.DEPTH + 1 > own[1] > own[2] == own[3] == jaccard.prefix_depth(0.8, 0.999)
+
+
+def test_a_subtrie_is_joined_like_a_plain_search():
+    """Texts are joined exactly if a chain of pairs shares long enough prefixes and agrees in enough values."""
+    rng = np.random.default_rng(5)
+    floor, longest = 7, jaccard.DEPTH
+    for _ in range(40):
+        n = int(rng.integers(3, 30))
+        rest = np.sort(rng.integers(0, 3, n) * (1 << 32) + rng.integers(0, 2, n) * (1 << 16)).astype(np.uint64)
+        values = rng.integers(0, 2, (n, jaccard.POOL)).astype(np.uint8)
+        own = rng.integers(7, 14, n)
+        root = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                same = floor
+                while same < longest and int(rest[i]) >> 8 * (longest - same - 1) == int(rest[j]) >> 8 * (longest - same - 1):
+                    same += 1
+                if same >= max(own[i], own[j]) and (values[i] == values[j]).sum() >= 84:
+                    root = [root[j] if r == root[i] else r for r in root]
+        mine = list(range(n))
+        for i, j in jaccard.branches(rest, values, own, floor, 84):
+            mine = [mine[i] if r == mine[j] else r for r in mine]
+        assert all((root[i] == root[j]) == (mine[i] == mine[j]) for i in range(n) for j in range(n))
+
+
+def test_large_runs_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RUN_TEXTS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:i] + [f"n{i}"] + base[i + 1 :])) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, low int, blocks int")
+    assert sorted([(r.doc_id, r.n_links, r.class_id) for r in jaccard.join(docs).collect()], key=str) == brute(rows, 0.8)
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 77, 5, "x"), (2, "a b c d e f", 88, 6, "y"), (2, "a b c d e f", 88, 6, "y"), (3, None, 99, 7, None), (None, "a b c d e f", 1, 2, "z"), (None, "a b c d e f", 1, 2, "z"), (3, None, 99, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rank int, rank int, `node.key` string")
+    got = jaccard.representatives(docs)
+    assert got.schema == docs.schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[3], rows[4], rows[4]], key=str)
+    assert jaccard.representatives(docs.limit(0)).count() == 0
