@@ -26,7 +26,9 @@ from colloquy.llm import textvec as tv
 
 STATES, WORDS, ENDINGS, HEAD = 8, 8192, 1024, 262_144
 #: Tokens in a stretch of a text within one training sequence, in a training batch, and in a scoring batch.
-STRETCH, TRAIN_TOKENS, SCORE_TOKENS = 256, 400_000, 4_000_000
+STRETCH, TRAIN_TOKENS, SCORE_TOKENS = 256, 400_000, 1_000_000
+#: Rounds of Baum-Welch that are always made, and nats a token that a further round has to gain.
+LEAST_ROUNDS, SETTLED = 12, 1e-3
 
 
 def ending(t: tv.Texts) -> np.ndarray:
@@ -163,8 +165,14 @@ def initial(unigram: np.ndarray, states: int, seed: int = 12) -> Hmm:
 
 
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint16)).astype(np.int64), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    """Classes of all texts of a binary column, one after another, and the texts' bounds."""
+    n = len(column)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    wide = pa.types.is_large_binary(column.type)
+    offs = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data.view(np.uint16).astype(np.int64), (offs - offs[0]) // 2
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -264,8 +272,8 @@ def tail_sums(encoded: DataFrame, counts: DataFrame) -> DataFrame:
     return found.groupBy("rid").agg(F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("log"))
 
 
-def baum_welch(encoded: DataFrame, texts: int, unigram: np.ndarray, states: int, rounds: int) -> Hmm:
-    """Rounds over all training texts, `texts` in number, from a random start."""
+def baum_welch(encoded: DataFrame, texts: int, unigram: np.ndarray, states: int, rounds: int, least_rounds: int = LEAST_ROUNDS, settled: float = SETTLED) -> Hmm:
+    """Rounds over all training texts, `texts` in number, from a random start, until the likelihood settles: from least_rounds on, until a round gains less than `settled` nats a token; `rounds` at most."""
     spark = encoded.sparkSession
     training = encoded.filter("not held_out")
     model = initial(unigram, states)
@@ -273,12 +281,13 @@ def baum_welch(encoded: DataFrame, texts: int, unigram: np.ndarray, states: int,
         return model
     classes = len(unigram)
     schema = "k int, " + ", ".join(f"v{j} double" for j in range(states))
-    for _ in range(rounds):
+    before = -math.inf
+    for done in range(1, rounds + 1):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((classes + states + 2, states))
-            for batch in batches:
+            for batch in batches:  # all of a task's texts add up here, so a shuffle holds one row a class and task
                 seq, bounds = _sequences(batch.column("seq"))
                 cut, first = stretches(seq, bounds)
                 a = 0
@@ -298,6 +307,10 @@ def baum_welch(encoded: DataFrame, texts: int, unigram: np.ndarray, states: int,
         total[got.column("k").to_numpy()] = np.stack([got.column(f"v{j}").to_numpy() for j in range(states)], 1)
         model = improved(total[-2], total[classes : classes + states], total[:classes], unigram)
         sent.unpersist()
+        now = total[-1, 0] / total[:classes].sum()
+        if done >= least_rounds and now - before < settled:
+            break
+        before = now
     return model
 
 
@@ -307,8 +320,9 @@ def score(docs: DataFrame, held_out: int = 10, states: int = STATES, rounds: int
     Returns doc_id, held_out, n_tokens (words and one end), n_known (with a count), train_tokens,
     base_score (unigrams with 0.1 added) and score (the model's log10 probability of the text).
 
-    Word counts, the join of rare words with them and all warm_rounds + rounds rounds of Baum-Welch
-    cover all training texts, from a random start. Training cuts texts longer than STRETCH tokens into stretches; scoring does not. Words are told
+    Word counts, the join of rare words with them and all rounds of Baum-Welch cover all training
+    texts; rounds go on from a random start until the likelihood settles (see baum_welch), warm_rounds + rounds at most.
+    Training cuts texts longer than STRETCH tokens into stretches; scoring does not. Words are told
     apart by 64 bits of hash, A-Z in lower case.
 
     A null or empty text is the end alone. Rows with a null doc_id count as held out. Repeated rows
