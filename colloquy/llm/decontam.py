@@ -19,6 +19,8 @@ from colloquy.llm import cluster
 from colloquy.llm import textvec as tv
 
 WINDOW, SHARE, LEAST_ITEM = 15, 0.8, 8
+#: Words of an item from which on a text that holds all of it, word for word, overlaps with it.
+LEAST_VERBATIM = 3
 #: Word places within a window. Any three substitutions in 15 words leave one of these whole somewhere (tested).
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
 #: Words of benchmark that are sent to tasks at a time; more are taken in blocks of items.
@@ -26,9 +28,9 @@ BLOCK_WORDS = 200_000
 
 
 def needed(words: int) -> tuple[int, int]:
-    """For an item of so many words: the window compared, and the equal words it needs."""
+    """For an item of so many words: the window compared, and the equal words it needs; all of those of an item below LEAST_ITEM."""
     w = min(words, WINDOW)
-    return w, math.ceil(SHARE * w - 1e-9)
+    return w, math.ceil(SHARE * w - 1e-9) if words >= LEAST_ITEM else w
 
 
 def short_run(words: int) -> int:
@@ -47,13 +49,13 @@ def masked(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 class Seeds:
-    """Seeds of a block of benchmark items: for each mask the sorted hashes with item and place."""
+    """Seeds of a block of benchmark items: for each mask the sorted hashes with item and place. Items of fewer than `least` words have none."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], least: int = LEAST_ITEM):
         t = tv.Texts(pa.array(texts, pa.string()), fold=True)
         self.words, self.bounds, self.sizes = t.word_hashes(), t.bounds, t.counts
         groups: dict[tuple[int, ...], list[np.ndarray]] = {}
-        for i in np.flatnonzero(self.sizes >= LEAST_ITEM).tolist():
+        for i in np.flatnonzero(self.sizes >= least).tolist():
             n = int(self.sizes[i])
             for m in MASKS if n >= WINDOW else (tuple(range(short_run(n))),):
                 groups.setdefault(m, []).append(np.array([i]))
@@ -108,54 +110,57 @@ class Seeds:
             equal = total[starts + w[owner]] - total[starts]
             first = np.concatenate(([0], np.cumsum(n - w + 1)[:-1]))
             best = np.maximum.reduceat(equal, first) if len(first) else equal
-            need = np.ceil(SHARE * w - 1e-9)
+            need = np.where(n < LEAST_ITEM, w, np.ceil(SHARE * w - 1e-9))
             for i in np.flatnonzero(best >= need).tolist():
                 at = int(starts[first[i]] - begin[i] + np.argmax(equal[first[i] : first[i] + n[i] - w[i] + 1]))
                 out.append((int(tx[i]), int(it[i]), int(sh[i]) + at, int(best[i]), float(best[i] / w[i])))
         return out
 
 
-def blocks(benchmark: DataFrame, text: str = "text", most: int = BLOCK_WORDS) -> Iterator[tuple[Seeds, list[int]]]:
-    """The items as Seeds in blocks of about `most` words, by a hash of the item."""
+def blocks(benchmark: DataFrame, text: str = "text", most: int = BLOCK_WORDS, least: int = LEAST_ITEM) -> Iterator[tuple[Seeds, list[int], bool]]:
+    """The items as Seeds in blocks of about `most` words, by a hash of the item, and whether there is only this block. The driver holds one block at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(text).alias("text")).filter("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", "[ \\t-\\r]+")))).first()[0] or 0
     n = max(1, -(-words // most))
     for b in range(n):
         rows = sorted(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect(), key=lambda r: (r.item_id is not None, r.item_id))
-        yield Seeds([r.text for r in rows]), [r.item_id for r in rows]
+        yield Seeds([r.text for r in rows], least), [r.item_id for r in rows], n == 1
 
 
 FOUND = "array<struct<item_id:long,first_word:int,equal:int,share:double>>"
 _FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("equal", pa.int32()), ("share", pa.float64())]))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, least_item: int = LEAST_ITEM) -> DataFrame:
     """The benchmark items that each text of docs (doc_id, text) overlaps with.
 
     Words are compared in lower case. A text overlaps with an item if, laid side by side, some 15
     consecutive places of the item hold at least 12 equal words (for items of 8 to 14 words: 80 % of
-    all). Every such overlap is found: the masks miss none. Shorter items are too short to tell from
-    chance and are left out, as are null texts. An item with a null id counts, with a null item_id in found.
+    all; for shorter ones all). Every such overlap is found: the masks miss none. Items of fewer than
+    least_item words are left out: with LEAST_VERBATIM only those of one or two words, which too many
+    texts hold. Null texts are left out. An item with a null id counts, with a null item_id in found.
 
     Returns doc_id, found (item_id, first_word of the best window in the text - negative if the item
     begins before it -, equal, share; ordered), contaminated: one row per row of docs.
 
-    The benchmark is sent to tasks in blocks of about block_words words, so its size is bounded;
-    documents are not shuffled. A null or empty text overlaps with nothing; repeated rows and null
-    ids are judged one by one; an empty table gives no rows; other columns are not read.
+    Up to about block_words words of benchmark are sent to tasks at once, and documents are not
+    shuffled. A larger benchmark is taken block by block, the overlaps of each written before the next
+    is read. A null or empty text overlaps with nothing; repeated rows and null ids are judged one by
+    one; an empty table gives no rows; other columns are not read.
     """
-    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tk"))
-    parts = [rows.mapInArrow(_finder(seeds, ids, None), f"doc_id long, tk long, found {FOUND}") for seeds, ids in blocks(benchmark, "text", block_words)]
-    if len(parts) == 1:
-        all_found = parts[0].select("doc_id", "found")
-    else:
-        some = parts[0].filter("size(found) > 0")
-        for p in parts[1:]:
-            some = some.union(p.filter("size(found) > 0"))
-        merged = some.groupBy(F.col("doc_id").alias("d"), "tk").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
-        base = rows.select("doc_id", "tk")
-        all_found = base.join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (base.tk == merged.tk), "left").select("doc_id", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
-    return all_found.select("doc_id", F.sort_array("found").alias("found"), (F.size("found") > 0).alias("contaminated"))
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("tk"))
+    some = None
+    for seeds, ids, alone in blocks(benchmark, "text", block_words, least_item):
+        part = rows.mapInArrow(_finder(seeds, ids, None), f"doc_id long, tk long, found {FOUND}")
+        if alone:
+            return part.select("doc_id", F.sort_array("found").alias("found"), (F.size("found") > 0).alias("contaminated"))
+        part = cluster.written(part.filter("size(found) > 0"), "overlaps")
+        some = part if some is None else some.union(part)
+    merged = some.groupBy(F.col("doc_id").alias("d"), F.col("tk").alias("t")).agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
+    base = rows.select("doc_id", "tk")
+    found = F.sort_array(F.coalesce("found", F.array().cast(FOUND)))
+    all_found = base.join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")), "left").select("doc_id", found.alias("found"))
+    return all_found.select("doc_id", "found", (F.size("found") > 0).alias("contaminated"))
 
 
 def _finder(seeds: Seeds, ids: list[int], whole: str | None):
@@ -175,8 +180,15 @@ def _finder(seeds: Seeds, ids: list[int], whole: str | None):
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns as they are, that overlap with no benchmark item."""
-    for seeds, ids in blocks(benchmark, "text", block_words):
-        docs = cluster.bounded_batches(docs).mapInArrow(_finder(seeds, ids, text), docs.schema)
-    return docs
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, least_item: int = LEAST_ITEM) -> DataFrame:
+    """The rows of docs, all columns as they are whatever their names, that overlap with no benchmark item (see overlaps)."""
+    bad = None
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("tk"))
+    for seeds, ids, alone in blocks(benchmark, "text", block_words, least_item):
+        if alone:
+            return docs.mapInArrow(_finder(seeds, ids, text), docs.schema)
+        part = cluster.written(rows.mapInArrow(_finder(seeds, ids, None), f"doc_id long, tk long, found {FOUND}").filter("size(found) > 0").select("doc_id", "tk"), "overlaps")
+        bad = part if bad is None else bad.union(part)
+    d, t = cluster.fresh(docs, "d"), cluster.fresh(docs, "t")
+    bad = bad.distinct().select(F.col("doc_id").alias(d), F.col("tk").alias(t))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(f"`{text}`") == F.col(t)), "left_anti")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from colloquy.llm import cluster
 from colloquy.llm import textvec as tv
 
-#: Most labelled texts that a classifier is fitted on, and the longest of them in bytes.
-SAMPLE, LONGEST = 5000, 400_000
+#: About how many labelled texts a classifier is fitted on, and bytes of text after which no more are taken.
+SAMPLE, SAMPLE_BYTES = 5000, 48 << 20
 
 
 def bucket(doc_id: Column, modulus: int) -> Column:
@@ -26,29 +26,42 @@ def share(rows: DataFrame, key: Column, most: int, n: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(cut * (1 << 30)))).limit(2 * most)
 
 
-def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = SAMPLE, longest: int = LONGEST, text: str = "text") -> DataFrame:
+def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, text: str = "text") -> DataFrame:
     """doc_id, label, text of about `most` labelled rows for which `learn` holds, by a hash of their ids.
 
-    The chosen ids are the only thing broadcast (at most twice `most`). Null labels and ids, and
-    texts beyond `longest` bytes, are not used; an id with several labels counts by its largest.
+    Texts of any length count; rows are taken in the order of the hash until they hold most_bytes of
+    text, the one that reaches it included. The chosen ids are the only thing broadcast (at most twice
+    `most`). Null labels and ids are not used; an id with several labels counts by its largest, an id
+    with several texts by the one with the smallest hash, whichever row comes first.
     """
     spark = docs.sparkSession
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(learn)
     single = named.groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = share(single, F.col("doc_id"), most, single.count()).collect()
-    few = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, label int")
-    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
-    return rows.join(F.broadcast(few), "doc_id")
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+    def of(few: list) -> DataFrame:
+        return rows.join(F.broadcast(spark.createDataFrame([tuple(r) for r in few], "doc_id long, label int")), "doc_id")
+
+    sizes = of(ids).groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("size")).withColumn("hash", F.xxhash64("doc_id")).collect()
+    use, total = set(), 0
+    for r in sorted(sizes, key=lambda r: (r.hash, r.doc_id)):
+        if total >= most_bytes:
+            break
+        use.add(r.doc_id)
+        total += r.size
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    return of([r for r in ids if r.doc_id in use]).groupBy("doc_id", "label").agg(one.alias("text"))
 
 
 def sample(rows: DataFrame, encode: Callable[[pa.Array], list[bytes]]) -> list[tuple[bytes, int]]:
-    """(encoded text, label) of rows (doc_id, label, text), one for each id in the order of ids; texts are encoded where they lie."""
+    """(encoded text, label) of rows (doc_id, label, text) in the order of ids; texts are encoded where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(encode(batch.column("text")), pa.binary())], names=["doc_id", "label", "code"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, code binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(run, "doc_id long, label int, code binary").toArrow().sort_by("doc_id")
     return list(zip(got.column("code").to_pylist(), got.column("label").to_pylist(), strict=True))
 
 

@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
 
     offending: the sentences with a probability of at least `least`, with their first byte,
     the byte after their last word, and their probability. A null or empty text, or one without
-    letters, scores 0. Rows are scored one by one: repeated rows, null ids and texts of any
+    letters, scores 0. A sentence ends at . ! ? or a new line. Rows are scored one by one: repeated rows, null ids and texts of any
     length are kept; an empty table gives no rows; other columns are not read.
     """
 

@@ -66,3 +66,15 @@ def test_items_without_an_id_count(spark):
         got = {r.doc_id: (r.contaminated, {x.item_id for x in r.found}) for r in decontam.overlaps(docs, bench, block_words=block).collect()}
         assert got == {1: (True, {None, 7}), 2: (False, set())}
         assert [r.doc_id for r in decontam.keep_clean(docs, bench.filter("item_id is null"), block_words=block).collect()] == [2]
+
+
+def test_short_items_word_for_word(spark):
+    items = [(1, "alpha beta gamma"), (2, "one two three four five six seven"), (3, "yes"), (4, "yes sir"), (5, "a b c d e f g h")]
+    rows = [(1, "so Alpha  beta\tgamma it is"), (2, "alpha beta delta gamma"), (3, "zero one two three four five six seven"), (4, "one two three four five six eight"), (5, "yes sir"), (6, "a b c d e f z h"), (7, "beta gamma")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, d int, T_ int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1000, 8):
+        got = {r.doc_id: [x.item_id for x in r.found] for r in decontam.overlaps(docs, bench, block_words=block, least_item=decontam.LEAST_VERBATIM).collect()}
+        assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [], 6: [5], 7: []}
+        kept = decontam.keep_clean(docs, bench, block_words=block, least_item=decontam.LEAST_VERBATIM)
+        assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 7]
