@@ -9,6 +9,7 @@ reconstruction.
     <store>/recipes        one file per range of doc_id, ascending: shard, rank, doc_id,
                            addresses, counts, local_start, root
     <store>/manifest       one row per shard: documents, ids, Merkle root
+    <store>/root           one row: shards, documents, ids, root over the shards' roots in order
 """
 
 from __future__ import annotations
@@ -150,6 +151,7 @@ def write(docs: DataFrame, tokenizer: str, store: str, end_id: int = 2, text: st
     ordered.mapInArrow(shards, schema).write.parquet(f"{store}/recipes")
     done = spark.read.schema(schema).parquet(f"{store}/recipes")
     shard_roots(done).write.parquet(f"{store}/manifest")
+    whole(spark.read.schema(SHARD).parquet(f"{store}/manifest")).write.parquet(f"{store}/root")
 
 
 def shard_roots(recipes: DataFrame) -> DataFrame:
@@ -163,6 +165,15 @@ def shard_roots(recipes: DataFrame) -> DataFrame:
     return blocks.groupBy("shard").agg(F.sum("n").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), over("block", "root").alias("root"))
 
 
+SHARD = "shard int, n_docs long, n_tokens long, root string"
+
+
+def whole(manifest: DataFrame) -> DataFrame:
+    """One row of a manifest: its shards, documents, ids and the root over all shards, of which there are as many as partitions."""
+    order = F.transform(F.sort_array(F.collect_list(F.struct("shard", "n_docs", "n_tokens", "root"))), lambda x: F.concat_ws(":", x["shard"], x["n_docs"], x["n_tokens"], x["root"]))
+    return manifest.agg(F.count("*").alias("n_shards"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.sha2(F.array_join(order, "\n"), 256).alias("root"))
+
+
 @lru_cache(4096)
 def _zeros(n: int) -> tuple[bytes, int]:
     z = bytes(n)
@@ -187,9 +198,13 @@ def _links(recipes: DataFrame) -> DataFrame:
 
 
 def _verified(spark: SparkSession, store: str) -> DataFrame:
-    """The recipes, after their roots are held against the manifest, both ways: a shard without recipes is wrong too."""
+    """The recipes, after the manifest is held against the root of the store, and their roots against the manifest, both ways: a shard without recipes is wrong too."""
+    manifest = spark.read.schema(SHARD).parquet(f"{store}/manifest")
+    root = spark.read.schema("n_shards long, n_docs long, n_tokens long, root string").parquet(f"{store}/root").collect()
+    if [tuple(r) for r in root] != [tuple(whole(manifest).first())]:
+        raise ValueError(f"the manifest of {store} does not match its root")
     recipes = spark.read.schema(RECIPE).parquet(f"{store}/recipes")
-    found = shard_roots(recipes).withColumn("side", F.lit(1)).unionByName(spark.read.parquet(f"{store}/manifest").withColumn("side", F.lit(-1)))
+    found = shard_roots(recipes).withColumn("side", F.lit(1)).unionByName(manifest.withColumn("side", F.lit(-1)))
     wrong = found.groupBy("shard", "n_docs", "n_tokens", "root").agg(F.sum("side").alias("side")).filter("side <> 0").select("shard").distinct().count()
     if wrong:
         raise ValueError(f"{wrong} shards of {store} do not match the manifest")
@@ -223,7 +238,7 @@ def digest(spark: SparkSession, store: str) -> DataFrame:
     recipes = _verified(spark, store)
     chunks = spark.read.schema(CHUNK).parquet(f"{store}/data").filter("kind = 1").select("key", "body", "extra").mapInArrow(_check_chunks(False), "key binary, n long, crc long")
     parts = _links(recipes).join(chunks, "key", "left").groupBy("shard", "rank").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
-    base = spark.read.parquet(f"{store}/manifest").select("shard", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = spark.read.schema(SHARD).parquet(f"{store}/manifest").select("shard", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     shape = recipes.select("shard", "rank", "doc_id", "n_tokens", "local_start", "addresses", "root").join(parts, ["shard", "rank"], "left").join(base, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +260,17 @@ def digest(spark: SparkSession, store: str) -> DataFrame:
     return shape.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _check_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for addresses, root in zip(batch.column("addresses").to_pylist(), batch.column("root").to_pylist(), strict=True):
+            if merkle([addresses[i : i + 16] for i in range(0, len(addresses), 16)]) != root:
+                raise ValueError("a recipe does not match its root")
+        yield batch
+
+
 def read(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id and the document's ids as little-endian 32-bit integers, put together from the chunks."""
-    recipes = _verified(spark, store)
+    """doc_id and the document's ids as little-endian 32-bit integers, put together from the chunks; what is missing or changed raises an error, as in digest."""
+    recipes = _verified(spark, store).mapInArrow(_check_recipes, RECIPE)
     chunks = spark.read.schema(CHUNK).parquet(f"{store}/data").filter("kind = 1").select("key", "body", "extra").mapInArrow(_check_chunks(True), "key binary, n long, crc long, ids binary")
     whole = _links(recipes).join(chunks, "key", "left").groupBy("shard", "rank").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, F.coalesce(p["ids"], F.raise_error(F.lit("a chunk of a recipe is missing")).cast("binary"))))

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 PART = 128
 
 
-def rotate(turns: DataFrame, speaker: str = "role", part_turns: int = PART) -> DataFrame:
+def rotate(turns: DataFrame, speaker: str = "role", part_turns: int | None = PART) -> DataFrame:
     """Render turns (conv_id, turn, speaker, text) once for each participant of the conversation.
 
     Returns conv_id, part, perspective, n_turns, n_own, rendered, spans: one row per conversation,
     participant and part of part_turns turn numbers, so a row is bounded however long a dialogue is;
-    parts in order give the whole. Participants are all speakers but "system", lower-cased and trimmed.
+    parts in order give the whole. part_turns=None renders every dialogue whole, in part 0. Participants are all speakers but "system", lower-cased and trimmed.
     spans: "first-after" character places in rendered that the perspective said with the end mark,
     comma-separated; the mask of all else is 0.
 
@@ -35,8 +35,8 @@ def rotate(turns: DataFrame, speaker: str = "role", part_turns: int = PART) -> D
         F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
     ).distinct()
     sides = rows.filter("who <> 'system'").select("conv_id", F.col("who").alias("perspective")).distinct()
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
-    parts = rows.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
+    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long") if part_turns else F.lit(0).cast("long")
+    parts = rows.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "who", "said"))).alias("turns"))
     both = parts.join(sides, "conv_id")
 
     def render(t):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch between Spark and a Python worker; without a bound it is 10,000 rows, however long their texts.
 BATCH_BYTES = 4 << 20
@@ -21,24 +23,56 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def filtered(df: DataFrame, column: str, run: Callable[[str], Callable]) -> DataFrame:
+    """The rows of df that the Arrow function run(name) lets through, where name is that of `column` inside: columns go by number there, so they may have any name."""
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)])
+    return bounded_batches(df).toDF(*inner.names).mapInArrow(run(f"c{df.columns.index(column)}"), inner).toDF(*df.columns)
+
+
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share: spark.checkpoint.dir, set here only where it is unset (as in tests)."""
+    """A new path below the folder that all executors share: spark.checkpoint.dir. Where that is unset a session on one machine (as in tests) gets a folder of its own, any other an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="colloquy-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts its lineage and survives the loss of executors."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path: cuts its lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that shared_dir has given."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all that this process has written to the shared folder; results not computed by then are lost. Returns how many paths went."""
+    paths = list(_made)
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def partitions(df: DataFrame) -> int:

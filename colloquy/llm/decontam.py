@@ -168,7 +168,7 @@ def _finder(seeds: Seeds, ids: list[int], whole: str | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.slices(batches, whole or "text"):
-            t = tv.Texts(batch.column(batch.schema.get_field_index(whole or "text")), fold=True)
+            t = tv.Texts(batch.column(whole or "text"), fold=True)
             found: list[list[dict]] = [[] for _ in range(t.n)]
             for text, item, first, equal, share in seeds.verified(t):
                 found[text].append({"item_id": ids[item], "first_word": first, "equal": equal, "share": share})
@@ -186,7 +186,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_
     rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("tk"))
     for seeds, ids, alone in blocks(benchmark, "text", block_words, least_item):
         if alone:
-            return docs.mapInArrow(_finder(seeds, ids, text), docs.schema)
+            return cluster.filtered(docs, text, lambda name: _finder(seeds, ids, name))  # noqa: B023  called at once
         part = cluster.written(rows.mapInArrow(_finder(seeds, ids, None), f"doc_id long, tk long, found {FOUND}").filter("size(found) > 0").select("doc_id", "tk"), "overlaps")
         bad = part if bad is None else bad.union(part)
     d, t = cluster.fresh(docs, "d"), cluster.fresh(docs, "t")

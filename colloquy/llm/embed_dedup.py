@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from colloquy.llm import cluster, graph
 from colloquy.llm import textvec as tv
 
-#: Vectors that k-means is fitted on, vectors aimed at in a cell, most cells in all, vectors in a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 20_000, 2048, 512, 1024
+#: Vectors that k-means is fitted on, vectors aimed at in a cell, bytes of centroids that are sent to tasks, vectors in a block.
+SAMPLE, CELL, CENTROID_BYTES, BLOCK = 20_000, 2048, 32 << 20, 1024
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -64,19 +64,26 @@ class Cells:
 
 def _unit(column: pa.Array) -> list[np.ndarray | None]:
     """Unit vectors in double precision; None for null, zero, or with a null or non-finite component."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        values = v.values if v.is_valid else None
-        if values is None or len(values) == 0 or values.null_count:
-            out.append(None)
-            continue
-        x = values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-        top = np.abs(x).max() if np.isfinite(x).all() else 0.0
-        if top == 0:
-            out.append(None)
-            continue
-        x = x / top
-        out.append(x / math.sqrt(float(x @ x)))
+    n = len(column)
+    out: list[np.ndarray | None] = [None] * n
+    if not n:
+        return out
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()  # without what null lists may hide
+    end = np.cumsum(size)
+    bad = flat.is_null().to_numpy(zero_copy_only=False)
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+    bad |= ~np.isfinite(values)
+    upto = np.concatenate(([0], np.cumsum(bad)))
+    for width in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero((size == width) & (upto[end] == upto[end - size]))
+        x = values[(end[rows] - width)[:, None] + np.arange(width)]
+        top = np.abs(x).max(1, initial=0)
+        rows, x, top = rows[top > 0], x[top > 0], top[top > 0]
+        x = x / top[:, None]
+        x = x / np.sqrt((x * x).sum(1))[:, None]
+        for i, v in zip(rows.tolist(), x, strict=True):
+            out[i] = v
     return out
 
 
@@ -87,8 +94,9 @@ def link(vectors: DataFrame, threshold: float = 0.98, vector: str = "embedding")
     itself included), kept (vec_id = component_id): one row per row.
 
     Equal vectors of a label are one node with a weight. Cells beyond BLOCK vectors are compared
-    block by block in separate tasks; links are counted there, not listed. k-means is fitted on at
-    most SAMPLE vectors, and only decides which tasks compare which vectors.
+    block by block in separate tasks; links are counted there, not listed. A label has a cell for
+    each CELL vectors, as far as CENTROID_BYTES of centroids and a quarter of its sampled vectors go.
+    k-means is fitted on about SAMPLE vectors, and only decides which tasks compare which vectors.
 
     A null label, a null or empty vector, one of zeros or with a null or non-finite component links
     with nothing; vectors of different length do not link. A row with a null vec_id links with
@@ -120,7 +128,9 @@ def link(vectors: DataFrame, threshold: float = 0.98, vector: str = "embedding")
     signed = cluster.written(rows.filter("vec_id is not null").mapInArrow(sign, "vec_id long, label long, s1 long, s2 long, width int, unit binary"), "vectors")
     nodes = signed.groupBy("label", "width", F.col("s1").alias("node"), "s2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
 
-    large = nodes.groupBy("label", "width").count().filter(F.col("count") > CELL).orderBy(F.desc("count"), "label").limit(MOST_CELLS).collect()
+    counts = nodes.groupBy("label", "width").count()
+    most_cells = CENTROID_BYTES // (8 * (counts.agg(F.max("width")).first()[0] or 1))
+    large = counts.filter(F.col("count") > CELL).orderBy(F.desc("count"), "label").limit(most_cells).collect()
     total = sum(r["count"] for r in large)
     centroids = {}
     if total:
@@ -129,7 +139,7 @@ def link(vectors: DataFrame, threshold: float = 0.98, vector: str = "embedding")
         picked = picked.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))).select("label", "width", "unit").limit(2 * SAMPLE).collect()
         for r in large:
             x = [np.frombuffer(p.unit) for p in picked if p.label == r.label and p.width == r.width]
-            k = min(math.ceil(r["count"] / CELL), max(1, int(MOST_CELLS * r["count"] / total)))
+            k = min(math.ceil(r["count"] / CELL), max(1, int(most_cells * r["count"] / total)), max(1, len(x) // 4))
             if k > 1 and len(x) > k:
                 centroids[(r.label, r.width)] = spherical_kmeans(np.stack(x), k)
     cells = Cells(centroids, threshold)

@@ -11,11 +11,13 @@ from colloquy.llm import cluster
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b); loops and repeats may occur.
 
-    Each round is two joins against per-node minima, which are aggregated before the shuffle, so a
-    node with very many edges costs no more than its edges; written between rounds. The number of
-    rounds grows with the logarithm of the longest chain.
+    Each round is two joins against per-node minima, which are aggregated before the shuffle. The edges
+    of a node with very many meet one row, so Spark's adaptive skew handling can deal them over tasks.
+    Rounds are written, and each deletes the one before; their number grows with the logarithm of
+    the longest chain.
     """
-    e = cluster.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    spark = edges.sparkSession
+    e, path = cluster.written_at(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +25,9 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = cluster.written(small.filter("u <> v").distinct(), name)
+        before = path
+        e, path = cluster.written_at(small.filter("u <> v").distinct(), name)
+        cluster.remove(spark, before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

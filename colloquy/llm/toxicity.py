@@ -164,10 +164,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that score below 0.5."""
+    """The rows of docs, all columns as they are whatever their names, that score below 0.5."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.slices(batches, text):
-            yield batch.filter(pa.array(model.score(Sentences(batch.column(batch.schema.get_field_index(text)))) < 0.5))
+    def below(name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in tv.slices(batches, name):
+                yield batch.filter(pa.array(model.score(Sentences(batch.column(name))) < 0.5))
+
+        return run
 
-    return cluster.bounded_batches(docs).mapInArrow(run, docs.schema)
+    return cluster.filtered(docs, text, below)

@@ -67,3 +67,27 @@ def test_a_lost_recipe_file_is_seen(spark):
     for back in (cas.digest, cas.read):
         with pytest.raises(ValueError, match="1 shards"):
             back(spark, store)
+
+
+@pytest.mark.parametrize("kind,spoil,error", [
+    ("data/kind=1", "remove", "chunk of a recipe is missing"), ("data/kind=1", "change", "does not match its address"), ("recipes", "change", "does not match|is missing"),
+    ("manifest", "remove", "does not match its root"), ("root", "remove", "does not match its root"),
+])
+def test_what_is_lost_or_changed_is_seen(spark, kind, spoil, error):
+    docs = spark.createDataFrame([(i, f"text {i} of {i * 7 % 11} " * (5 * i + 1)) for i in range(40)], "doc_id long, text string")
+    store = cluster.shared_dir(spark, "store")
+    cas.write(docs, WORD, store)
+    folder = f"{store}/{kind}".removeprefix("file://")
+    files = sorted((os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".parquet")), key=os.path.getsize)
+    old = spark.read.parquet(files[-1])
+    if spoil == "change":
+        column = {"data/kind=1": "body", "recipes": "addresses"}[kind]
+        new = old.withColumn(column, F.concat(F.expr(f"substring({column}, 3)"), F.expr(f"substring({column}, 1, 2)"))).collect()
+    for f in files if spoil == "remove" else files[-1:]:
+        os.remove(f)
+    if spoil == "change":
+        spark.createDataFrame(new, old.schema).write.mode("append").parquet(f"{store}/{kind}")
+    spark.catalog.clearCache()
+    for back in (cas.digest, cas.read):
+        with pytest.raises(Exception, match=error):
+            back(spark, store).collect()

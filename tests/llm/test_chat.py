@@ -22,3 +22,11 @@ def test_rotate(spark, tmp_path):
     con.execute(f"create view conversations as select * from '{tmp_path}/c.parquet/*.parquet'")
     assert sorted(map(tuple, got), key=str) == sorted(con.execute(chat.SQL).fetchall(), key=str)
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_whole_dialogues(spark):
+    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(300)] + [(1, None, "a", "late")]
+    (a,) = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns=None).filter("perspective = 'a'").collect()
+    assert (a.part, a.n_turns, a.n_own) == (0, 301, 151)
+    said = [a.rendered[int(x.split("-")[0]) : int(x.split("-")[1])] for x in a.spans.split(",")]
+    assert said == [f"t{i}<|im_end|>" for i in range(0, 300, 2)] + ["late<|im_end|>"]

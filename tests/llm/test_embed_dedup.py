@@ -47,3 +47,17 @@ def test_link_against_brute_force(spark, monkeypatch):
             got = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.link(df, threshold).collect()], key=str)
             assert got == brute(rows, threshold)
     assert embed_dedup.link(df.limit(0)).count() == 0
+
+
+def test_cells_at_their_usual_size(spark):
+    """A label of more than CELL vectors goes through k-means with the default settings, one of 50 has one cell; recall against all pairs is 1."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 4000)] + 0.12 * rng.normal(size=(4000, 16))
+    rows = [(i, 0 if i < 3950 else 1, x[i].tolist()) for i in range(4000)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    same = np.arange(4000) < 3950
+    hit = (unit @ unit.T >= 0.98) & (same[:, None] == same[None, :])
+    np.fill_diagonal(hit, False)
+    got = {r.vec_id: r.n_links for r in embed_dedup.link(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert hit.sum() > 1000 and got == dict(enumerate(hit.sum(1).tolist()))
