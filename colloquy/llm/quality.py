@@ -1,7 +1,7 @@
 """Quality by attention-based multiple-instance learning.
 
-A text is a bag of passages. Each is encoded by what its words and bytes look like, a gated
-attention weighs the passages, and the weighted sum is classified; all weights are learned
+A text is a bag of passages. Each is encoded by its words, hashed to signed bins, and by what its
+words and bytes look like; a gated attention weighs the passages, and the weighted sum is classified; all weights are learned
 together from labels of whole texts.
 """
 
@@ -37,7 +37,10 @@ CLASSES = [
     _byte_class([c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-!?"]),  # symbols
     _byte_class([10]),
 ]
-FEATURES = len(CLASSES) + 8
+SURFACE = len(CLASSES) + 8
+#: Signed bins of the words' hashes, as a power of two.
+WORD_BITS = 5
+FEATURES = SURFACE + (1 << WORD_BITS)
 
 
 class Passages:
@@ -78,6 +81,10 @@ class Passages:
         x[:, m + 3], x[:, m + 4], x[:, m + 5] = mean(length) / 10, mean(length == 1), mean(length > 20)
         x[:, m + 6] = np.sqrt(np.maximum(mean(length**2) - mean(length) ** 2, 0)) / 10
         x[:, m + 7] = np.log1p(n) / 5
+        bins = 1 << WORD_BITS
+        sign = 2.0 * ((h >> np.uint64(63 - WORD_BITS)) & np.uint64(1)) - 1
+        to = of * bins + (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        x[:, SURFACE:] = np.bincount(to, sign, len(first) * bins).reshape(-1, bins) / np.sqrt(n)[:, None]
 
 
 def encode(column: pa.Array) -> list[bytes]:

@@ -1,10 +1,13 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
 from colloquy.llm import labelled, quality, toxicity
+from colloquy.llm import textvec as tv
 
 
 def auc(scores, labels):
@@ -96,3 +99,79 @@ def test_gradients_of_attention():
 def test_sentence_bounds():
     s = toxicity.Sentences(pa.array(["One two. Three! four", "", None, "five\nsix"]))
     assert s.bounds.tolist() == [0, 3, 3, 3, 5]
+
+
+def plain_features(words):
+    """The features of one passage, by loops over its words."""
+    n, out = len(words), []
+    body = " ".join(words).encode()
+    for c in quality.CLASSES:
+        out.append(sum(int(c[b]) for b in body) / len(body))
+    out.append(len(set(words)) / n)
+    out.append(sum(a == b for a, b in zip(words, words[1:])) / n)
+    out.append(sum(a == b for a, b in zip(words, words[2:])) / n)
+    sizes = [len(w.encode()) for w in words]
+    out += [sum(sizes) / n / 10, sum(x == 1 for x in sizes) / n, sum(x > 20 for x in sizes) / n, (sum((x - sum(sizes) / n) ** 2 for x in sizes) / n) ** 0.5 / 10, math.log1p(n) / 5]
+    bins = [0.0] * 32
+    for w in words:
+        h = int(tv.Texts(pa.array([w])).word_hashes()[0])
+        bins[h >> 59] += 2 * (h >> 58 & 1) - 1
+    return out + [b / math.sqrt(n) for b in bins]
+
+
+def test_attention_against_plain_loops(spark):
+    rng = random.Random(5)
+    model = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    p = model.p
+    texts = [" ".join(rng.choice(["a", "bb", "Ccc", "d1", "e!", "ü", "x" * 25]) for _ in range(n)) for n in (1, 63, 64, 65, 200)] + ["", None]
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        encoded, weight = [], []
+        for a in range(0, len(words), 64):
+            x = plain_features(words[a : a + 64])
+            h = [math.tanh(sum(v * p["We"][k, j] for k, v in enumerate(x)) + p["be"][j]) for j in range(quality.HIDDEN)]
+            e = 0.0
+            for j in range(quality.GATE):
+                t, u = (sum(h[k] * p[m][k, j] for k in range(quality.HIDDEN)) for m in ("V", "U"))
+                e += math.tanh(t) / (1 + math.exp(-u)) * p["a"][j]
+            encoded.append(h)
+            weight.append(math.exp(e))
+        z = [sum(w * h[j] for w, h in zip(weight, encoded)) / sum(weight) if weight else 0.0 for j in range(quality.HIDDEN)]
+        want = 1 / (1 + math.exp(-sum(z[j] * p["w"][j] for j in range(quality.HIDDEN)) - p["b"][0]))
+        assert abs(got[i].score - want) < 1e-5
+        assert got[i].passage == (64 * weight.index(max(weight)) if weight else None)
+
+
+def test_noisy_or_against_plain_loops(spark):
+    rng = random.Random(6)
+    weights = np.array([rng.gauss(0, 1) for _ in range(1 << 10)] * (toxicity.BINS >> 10), np.float32)
+    model = toxicity.Model(weights, -1.5)
+    texts = ["One two. three! four?\nfive SIX seven", "alone", "", None, "... ---", "a-b c'd 12 e. f", "über. Größe ü! ÿ", "w " * 300]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        quiet, offending = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", text or ""):
+            words = re.findall(r"[A-Za-z\x80-\U0010ffff]+", m[0])
+            if not words:
+                continue
+            z = -1.5
+            for w in words:
+                raw = re.sub(rb"[A-Z]", lambda x: x[0].lower(), w.encode())
+                for n, salt in ((4, 4), (6, 6), (len(raw), 0)):
+                    z += weights[int(plain_hash(raw[:n], salt)) & (toxicity.BINS - 1)]
+            one = 1 / (1 + math.exp(-z))
+            quiet *= 1 - one
+            if one >= 0.5:
+                offending.append(one)
+        assert abs(got[i].score - (1 - quiet)) < 1e-6
+        assert [round(x.score, 4) for x in got[i].offending] == [round(x, 4) for x in offending]
+
+
+def plain_hash(raw, salt):
+    """Polynomial of the bytes' values, by Python's integers."""
+    total, power = 0, 1
+    for b in raw:
+        total += int(tv._BYTE[b]) * power
+        power = power * tv._R % 2**64
+    return tv.mix(np.array([total % 2**64], np.uint64), salt)[0]
