@@ -11,13 +11,20 @@ STOPWORDS = (
     "these those as by into over under up down"
 ).split()
 
-TOKEN = "[a-z]+"
+#: Shapes of dates that are kept as they stand, year first, or month and day between white space.
+DATE_TOKENS = ("\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}", "(?<!\\S)\\d{1,2}/\\d{1,2}(?!\\S)")
 
 
 def tokens(text: Column, least: int = 3) -> Column:
     """Lower-case letter runs of at least `least` letters that are not stopwords, in order, repeats kept."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(STOPWORDS))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z]{{{least},}}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(STOPWORDS))
+
+
+def dated_tokens(text: Column, least: int = 3) -> Column:
+    """tokens, with dates as tokens of their own."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("|".join([*DATE_TOKENS, f"[a-z]{{{least},}}"])), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(STOPWORDS))
 
 
 def content_terms(text: Column) -> Column:

@@ -1,51 +1,110 @@
-"""Okapi BM25 as joins: postings, document frequencies, scores, cutoffs."""
+"""Okapi BM25 as joins over stored postings: document frequencies, scores, cutoffs.
+
+The text is read and split once; postings are written, and everything after reads those.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
+from colloquy.sources import store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Most asked terms that are sent to tasks; more are joined.
+SENT_TERMS = 200_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files have fewer parts than there are cores."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column] = tx.tokens) -> DataFrame:
     """key, term, tf, dl; counts are combined in the map tasks before the shuffle."""
-    terms = docs.select(key, tx.tokens(F.col(text)).alias("_terms")).select(key, F.size("_terms").alias("dl"), F.explode("_terms").alias("term"))
-    return terms.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    return _posted(docs, key, text, split, False).select(key, "dl", "term", "tf")
+
+
+def _posted(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column], lengths: bool) -> DataFrame:
+    """Postings; lengths: and one row a document without a term."""
+    terms = spread(docs.select(key, text)).select(key, split(F.col(text)).alias("_terms"))
+    every = F.concat(F.array(F.lit(None).cast("string")), "_terms") if lengths else F.col("_terms")
+    return terms.select(key, F.size("_terms").alias("dl"), F.explode(every).alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count("*").alias("df"))
+    return posted.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+
+
+@dataclass
+class Index:
+    """Stored postings (key, dl, term, tf; one row a document without a term), the number of documents, their mean length, and the mean raw frequency weight of all terms."""
 
+    posted: DataFrame
+    key: str
+    n: int
+    avgdl: float
+    mean: float
 
-def inverse_frequency(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, df, idf; a negative idf becomes EPSILON times the mean over the vocabulary. n_docs: one row (n)."""
-    raw = document_frequency(posted).crossJoin(n_docs).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    def weight(self, df: Column) -> Column:
+        """Inverse frequency; a negative one becomes EPSILON times the mean over the vocabulary."""
+        raw = F.log(F.lit(self.n) - df + 0.5) - F.log(df + 0.5)
+        return F.when(raw < 0, F.lit(EPSILON * self.mean)).otherwise(raw)
+
+    def scores(self, queries: DataFrame, query_key: str, query_text: str, split: Callable[[Column], Column] = tx.tokens) -> DataFrame:
+        """query_key, key, score of all pairs that share a term; a repeated query term counts each time. Only postings of asked terms leave their task."""
+        asked = queries.select(query_key, F.explode(split(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+        terms = asked.select("term").distinct()
+        small = asked.count() <= SENT_TERMS
+        hit = self.posted.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+        idf = document_frequency(hit).select("term", self.weight(F.col("df")).alias("idf"))
+        wanted = asked.join(idf, "term")
+        gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
+        return hit.join(F.broadcast(wanted) if small else wanted, "term").groupBy(query_key, self.key).agg(F.round(F.sum(gain), 6).alias("score"))
+
+
+def opened(posted: DataFrame, key: str) -> Index:
+    """An index over stored postings: what is not stored is computed anew from them."""
+    whole = posted.filter("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    raw = F.log(F.lit(whole.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = document_frequency(posted).agg(F.avg(raw).alias("mean")).first().mean if whole.n else None
+    return Index(posted, key, whole.n, whole.avgdl or 1.0, mean or 0.0)
+
+
+def build(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column] = tx.tokens) -> Index:
+    """The text is split once and its postings are written to the shared folder."""
+    spark: SparkSession = docs.sparkSession
+    posted = _posted(docs, key, text, split, True)
+    path = store.shared_dir(spark, "postings")
+    posted.write.parquet(path)
+    return opened(spark.read.schema(posted.schema).parquet(path), key)
 
 
 def scores(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """query_key, key, score of all pairs that share a term; a repeated query term counts each time.
+    return build(docs, key, text).scores(queries, query_key, query_text)
+
 
-    The one-row collection statistics are the only unconditional joins.
-    """
-    posted = postings(docs, key, text)
-    stats = docs.select(F.size(tx.tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = inverse_frequency(posted, stats.select("n"))
-    asked = queries.select(query_key, F.explode(tx.tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    hit = posted.join(asked, "term").join(idf, "term").crossJoin(stats.select("avgdl"))
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(query_key, key).agg(F.round(F.sum(gain), 6).alias("score"))
+def field_scores(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The larger of a document's scores over several fields, each an index of its own; of several queries under one key the largest too."""
+    every = None
+    for field in fields:
+        one = build(docs, key, field).scores(queries, query_key, query_text)
+        every = one if every is None else every.union(one)
+    return every.groupBy(query_key, key).agg(F.max("score").alias("score"))
 
 
 def relative_cutoff(scored: DataFrame, query_key: str, share: float = 0.6, rounded: bool = True) -> DataFrame:
-    """Rows at or above share of the query's best score. rounded: the cutoff to one decimal, half to even, so a small best may let all or none pass; nothing passes without a positive best."""
-    best = F.max("score").over(Window.partitionBy(query_key))
-    cut = F.bround(best * share, 1) if rounded else best * share
-    return scored.withColumn("_best", best).withColumn("cutoff", cut).filter((F.col("_best") > 0) & (F.col("score") >= F.col("cutoff"))).drop("_best")
+    """Rows at or above share of the query's best score. rounded: the cutoff to one decimal, half to even, so a small best may let all or none pass; nothing passes without a positive best.
+
+    The best scores are combined in the map tasks and joined back, so no query's rows are sorted in one task."""
+    best = scored.groupBy(query_key).agg(F.max("score").alias("_best")).filter("_best > 0")
+    cut = F.bround(F.col("_best") * share, 1) if rounded else F.col("_best") * share
+    return scored.join(best, query_key).withColumn("cutoff", cut).filter(F.col("score") >= F.col("cutoff")).drop("_best")
 
 
 def top(scored: DataFrame, query_key: str, key: str, k: int, score: str = "score") -> DataFrame:

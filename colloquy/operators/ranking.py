@@ -38,11 +38,15 @@ def top_misses(audit: DataFrame, group: str, key: str, score: str, k: int = 3) -
 
 def quota_cut(scored: DataFrame, query: str, source: str, key: str, score: str, per_source: int, k: int) -> DataFrame:
     """The first per_source of each source are guaranteed, even beyond k; the best others fill up to k. Guaranteed rows come first."""
+    # two ranks with a limit, which Spark cuts in each task: what is guaranteed, and the k best, of which only what is left over counts
     by_source = Window.partitionBy(query, source).orderBy(F.desc(score), key)
-    marked = scored.withColumn("guaranteed", F.row_number().over(by_source) <= per_source)
-    sure = F.sum(F.col("guaranteed").cast("int")).over(Window.partitionBy(query))
+    sure = scored.withColumn("_n", F.row_number().over(by_source)).filter(F.col("_n") <= per_source).drop("_n").withColumn("guaranteed", F.lit(True))
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), key))).filter(F.col("_n") <= k).drop("_n")
+    others = best.join(sure.select(query, key), [query, key], "left_anti").withColumn("guaranteed", F.lit(False))
+    both = sure.unionByName(others.select(*sure.columns))
+    total = F.sum(F.col("guaranteed").cast("int")).over(Window.partitionBy(query))
     within = F.row_number().over(Window.partitionBy(query, "guaranteed").orderBy(F.desc(score), key))
-    kept = marked.withColumn("_sure", sure).withColumn("_n", within).filter(F.col("guaranteed") | (F.col("_n") <= k - F.col("_sure")))
+    kept = both.withColumn("_sure", total).withColumn("_n", within).filter(F.col("guaranteed") | (F.col("_n") <= k - F.col("_sure")))
     return kept.withColumn("position", F.when(F.col("guaranteed"), F.col("_n")).otherwise(F.col("_sure") + F.col("_n"))).drop("_sure", "_n")
 
 
