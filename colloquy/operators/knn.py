@@ -9,41 +9,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from colloquy.sources import store
 
+#: Queries that are sent to tasks at a time, and corpus rows that a task multiplies with them at a time.
+BLOCK, SLICE = 4096, 512
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that hold a usable vector, and the unit vectors."""
-    ok, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and all(x is not None for x in v):
-            a = np.asarray(v, np.float64)
-            n = np.sqrt((a * a).sum())
-            if np.isfinite(n) and n > 0:
-                ok.append(i)
-                out.append(a / n)
-    return np.array(ok, np.int64), np.array(out)
+
+def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold a usable vector of `width` numbers (that of the first usable one if not given), and the unit vectors."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    values = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64) if len(flat) else np.zeros(0)
+    end = np.cumsum(size)
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(values))))
+    ok = np.flatnonzero((size > 0) & (bad[end] == bad[end - size]))
+    if not len(ok):
+        return ok, np.zeros((0, width or 0))
+    width = width or int(size[ok[0]])
+    ok = ok[size[ok] == width]
+    x = values[(end[ok] - width)[:, None] + np.arange(width)]
+    norm = np.sqrt((x * x).sum(1))
+    use = np.isfinite(norm) & (norm > 0)
+    return ok[use], x[use] / norm[use, None]
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", threshold: float | None = None, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
     """qid, id, score (cosine, six decimals), rank: the k nearest corpus rows of each query, ties by id.
 
-    Queries are sent to tasks in blocks of at most `block` vectors, however many there are; a task
-    multiplies its corpus rows with the block and passes on at most k rows of each query and batch, so the
-    shuffle holds k rows a query and batch. The threshold is applied after the k are chosen.
-    Null, zero and incomplete vectors are nobody's neighbour.
+    Queries are sent to tasks in blocks of at most `block` vectors; of several blocks the driver holds one
+    at a time, and its neighbours are written to the shared folder before the next is read. A task multiplies
+    the block with SLICE corpus rows at a time, keeps the k best of each query, and passes those on at its
+    end, so the shuffle holds k rows a query and task. The threshold is applied after the k are chosen.
+    Null, zero and incomplete vectors, and those of another length, are nobody's neighbour.
     """
+    spark = queries.sparkSession
     asked = queries.select(F.col(key).cast("long").alias("qid"), F.col(vector).alias("v"))
+    every = corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     n = max(1, -(-asked.count() // block))
-    parts = []
+    found = None
     for b in range(n):
         rows = (asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else asked).orderBy("qid").toArrow()
         ok, q = _matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())))
         ids = rows.column("qid").to_numpy()[ok] if len(ok) else np.zeros(0, np.int64)
-        parts.append(corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(_nearest(ids, q, k, skip_self), "qid long, id long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+        part = every.mapInArrow(_nearest(ids, q, k, skip_self), "qid long, id long, score double")
+        if n > 1:
+            path = store.shared_dir(spark, "nearest")
+            part.write.parquet(path)
+            part = spark.read.schema(part.schema).parquet(path)
+        found = part if found is None else found.union(part)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best if threshold is None else best.filter(F.col("score") >= threshold)
@@ -51,18 +64,31 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", ve
 
 def _nearest(ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the k best so far, by query: query, id, score
+        row, own, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(ids), -np.inf)
         for batch in batches:
-            ok, x = _matrix(batch.column("v"))
-            if not len(ok) or not len(ids):
-                continue
-            own = batch.column("id").to_numpy()[ok]
-            s = np.round(q @ x.T, 6) + 0.0
-            if skip_self:
-                s[ids[:, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            score = np.take_along_axis(s, order, 1)
-            row, col = np.nonzero(score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[order[row, col]]), pa.array(score[row, col])], names=["qid", "id", "score"])
+            for at in range(0, batch.num_rows if len(ids) else 0, SLICE):
+                part = batch.slice(at, SLICE)
+                ok, x = _matrix(part.column("v"), q.shape[1])
+                if not len(ok):
+                    continue
+                new = part.column("id").to_numpy()[ok]
+                s = np.round(q @ x.T, 6) + 0.0
+                if skip_self:
+                    s[ids[:, None] == new[None, :]] = -np.inf
+                i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                row, own, score = np.concatenate((row, i)), np.concatenate((own, new[j])), np.concatenate((score, s[i, j]))
+                order = np.lexsort((own, -score, row))
+                row, own, score = row[order], own[order], score[order]
+                first = np.searchsorted(row, np.arange(len(ids)))
+                keep = np.arange(len(row)) - first[row] < k
+                row, own, score = row[keep], own[keep], score[keep]
+                count = np.bincount(row, minlength=len(ids))
+                full = count >= k
+                last = np.cumsum(count) - 1
+                least[full] = score[last[full]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own), pa.array(score)], names=["qid", "id", "score"])
 
     return run
 

@@ -51,10 +51,10 @@ def previous_user_asof(spark, sf_dir):
     return ops.previous_user(_turns(spark, sf_dir))
 
 
-@query(f"with {POS}, target as (select conv_id, pos as p0 from pos where contains(lower(text), 'that') and turn % 3 = 0) select distinct p.conv_id, p.turn, p.pos from pos p join target t on p.conv_id = t.conv_id and abs(p.pos - t.p0) <= 1")
+@query(f"with {POS}, target as (select conv_id, pos as p0 from pos where contains(lower(text), 'that')) select distinct p.conv_id, p.turn, p.pos from pos p join target t on p.conv_id = t.conv_id and abs(p.pos - t.p0) <= 1")
 def turn_window_k(spark, sf_dir):
     pos = ops.positions(_turns(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
-    targets = pos.filter(F.contains(F.lower("text"), F.lit("that")) & (F.col("turn") % 3 == 0)).select("conv_id", F.col("pos").alias("pos0"))
+    targets = pos.filter(F.contains(F.lower("text"), F.lit("that"))).select("conv_id", F.col("pos").alias("pos0"))
     return ops.neighbour_window(pos, targets, 1).select("conv_id", "turn", "pos")
 
 
@@ -70,20 +70,26 @@ def sid_from_turn(spark, sf_dir):
     return t.select("conv_id", "turn", ops.turn_sid(F.col("conv_id"), F.col("turn"), F.col("role")).alias("sid"))
 
 
-_SIDS = "known as (select distinct 'c' || conv_id || ':' || case when role = 'user' then turn + 1 else turn end || ':' || case when role = 'user' then 'u' else 'a' end as sid from conversations where role <> 'system')"
+_SIDS = """known as (select distinct 'c' || conv_id || ':' || case when role = 'user' then turn + 1 else turn end || ':' || case when role = 'user' then 'u' else 'a' end as sid from conversations where role <> 'system'
+  union select 'k' || conv_id || ':' || (turn // 3) || 't' || turn from conversations where role <> 'system')"""
 
 
-@query(f"""with {_SIDS}, asked as (select distinct case when conv_id % 3 = 0 then 'c' || conv_id || ':' || turn || ':a' when conv_id % 3 = 1 then 'c' || conv_id || ':' || turn else turn || ':a' end as raw from conversations where turn = 1),
+@query(f"""with {_SIDS}, asked as (select distinct case when (conv_id + turn) % 4 = 0 then 'c' || conv_id || ':' || turn || ':a' when (conv_id + turn) % 4 = 1 then 'c' || conv_id || ':' || turn
+    when (conv_id + turn) % 4 = 2 then 'k' || conv_id || ':' || (turn // 3) else turn || ':a' end as raw from conversations where role <> 'system'),
+tails as (select sid, array_to_string(string_split(sid, ':')[i + 1:], ':') as raw from (select sid, unnest(range(1, len(string_split(sid, ':')))) as i from known)),
 hit as (select raw, sid, 1 as step from asked join known on sid = raw
-  union all select raw, sid, 2 from asked join known on regexp_matches(sid, ':[ua]$') and regexp_replace(sid, ':[ua]$', '') = raw
-  union all select raw, any_value(sid), 4 from asked join known on ends_with(sid, ':' || raw) group by raw having count(*) = 1)
+  union all select raw, sid, 2 from asked join (select sid, regexp_replace(sid, ':[ua]$', '') as raw from known where regexp_matches(sid, ':[ua]$')) using (raw)
+  union all select raw, sid, 3 from asked join (select sid, regexp_replace(sid, 't[0-9]+$', '') as raw from known where regexp_matches(sid, 't[0-9]+$')) using (raw)
+  union all select raw, any_value(sid), 4 from asked join tails using (raw) group by raw having count(*) = 1)
 select raw, sid, step from (select *, min(step) over (partition by raw) as best from hit) where step = best""")
 def sid_resolve(spark, sf_dir):
-    t = _turns(spark, sf_dir)
-    known = t.filter("role <> 'system'").select(F.concat(F.lit("c"), ops.turn_sid(F.col("conv_id"), F.col("turn"), F.col("role"))).alias("sid"))
-    c, n = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    raw = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("c"), c, F.lit(":"), n, F.lit(":a"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("c"), c, F.lit(":"), n)).otherwise(F.concat(n, F.lit(":a")))
-    return ops.resolve_sids(t.filter("turn = 1").select(raw.alias("raw")), known)
+    t = _turns(spark, sf_dir).filter("role <> 'system'")
+    c, n, chunk = F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.floor(F.col("turn") / 3).cast("string")
+    own = t.select(F.concat(F.lit("c"), ops.turn_sid(F.col("conv_id"), F.col("turn"), F.col("role"))).alias("sid"))
+    known = own.union(t.select(F.concat(F.lit("k"), c, F.lit(":"), chunk, F.lit("t"), n)))
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    raw = F.when(kind == 0, F.concat(F.lit("c"), c, F.lit(":"), n, F.lit(":a"))).when(kind == 1, F.concat(F.lit("c"), c, F.lit(":"), n)).when(kind == 2, F.concat(F.lit("k"), c, F.lit(":"), chunk)).otherwise(F.concat(n, F.lit(":a")))
+    return ops.resolve_sids(t.select(raw.alias("raw")), known)
 
 
 @query("select conv_id, turn, role from conversations where regexp_matches(text, '(?i)\\bth(at|is)\\b.*\\bof\\b', 's')")

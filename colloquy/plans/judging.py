@@ -163,9 +163,9 @@ def norm_answer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.normal_answer(F.col("text")).alias("answer"))
 
 
-@query("select doc_id, regexp_replace(lower(trim(substring(text, 1, 80))), '\\s+', ' ', 'g') as name, case when length(text) > 100 then substring(text, 1, 100) || '…' else text end as short from documents")
+@query("select doc_id, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') as name, case when length(text) > 100 then substring(text, 1, 100) || '…' else text end as short from documents")
 def normalised_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normal_name(F.substring("text", 1, 80)).alias("name"), tx.truncated(F.col("text"), 100).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normal_name(F.col("text")).alias("name"), tx.truncated(F.col("text"), 100).alias("short"))
 
 
 @query("select user_id, case when count(*) filter (where event_type = 'view') = 0 then 'zero_entities' when count(*) filter (where event_type in ('purchase', 'signup')) = 0 then 'zero_delta' else 'ok' end as verdict from events group by user_id")

@@ -133,10 +133,13 @@ def hybrid_union_candidates(spark, sf_dir):
     return lex.union(dense).groupBy("question", "id").agg(F.array_join(F.sort_array(F.collect_list("channel")), "+").alias("channels"))
 
 
-@query(f"{_HYBRID} select question, id from lex intersect select question, id from dense")
+@query(f"""with {BM25}, {COSINE.strip()},
+lex as (select item_id as question, doc_id as id from (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scored) where r <= 100),
+dense as (select (qid // 100)::bigint as question, id from near where rank <= 100)
+select question, id from lex intersect select question, id from dense""")
 def candidate_intersection(spark, sf_dir):
-    lex, dense = _channels(spark, sf_dir)
-    return lex.select("question", "id").intersect(dense.select("question", "id"))
+    lex = bm25.top(_scored(spark, sf_dir), "item_id", "doc_id", 100).select(F.col("item_id").alias("question"), F.col("doc_id").alias("id"))
+    return lex.intersect(_near(spark, sf_dir, 100).select(F.floor(F.col("qid") / 100).alias("question"), "id"))
 
 
 @query(f"{_HYBRID} select question, id from dense d where not exists (select 1 from lex l where l.question = d.question and l.id = d.id)")
@@ -171,13 +174,13 @@ def quota_rank_cut(spark, sf_dir):
     return ranking.quota_cut(p, "item_id", "source", "doc_id", "score", 1, 25).select("item_id", "doc_id", "source", "score", "guaranteed", "position")
 
 
-@query(f"""with {COSINE}, pool as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as n from near where rank <= 60 and id % 2 = 0),
+@query(f"""with {COSINE}, pool as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as n from near where rank <= 60),
 chosen as (select qid, id, score, 'pool' as slot from pool where n <= 5),
 extra as (select qid, id, score, 'extra' as slot from near n where rank <= 20 and score >= 0.2 and not exists (select 1 from chosen c where c.qid = n.qid and c.id = n.id))
 select *, row_number() over (partition by qid order by score desc, id) as rank from (select * from chosen union all select * from extra)""")
 def extra_slot_selection(spark, sf_dir):
     near = _near(spark, sf_dir, 60)
-    pool = near.filter("id % 2 = 0").select("qid", "id", "score")
+    pool = near.select("qid", "id", "score")
     return ranking.extra_slots(pool, near.filter("rank <= 20").select("qid", "id", "score"), "qid", "id", "score", 5, 0.2)
 
 

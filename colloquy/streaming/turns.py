@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from colloquy.sources.store import Files
+
 TURN = "conv_id long, turn long, role string, text string, ts timestamp"
 
 
@@ -34,29 +36,30 @@ def sessions(stream: DataFrame, keys: list[str], gap: str = "30 minutes", ts: st
 PAIR = "conv_id long, message_id long, user_text string, assistant_text string"
 
 
-def pair(stream: DataFrame) -> DataFrame:
-    """Turn pairs as they complete: the pending user turn of a conversation is the only state, dropped after two hours without a turn.
+def pair(stream: DataFrame, ts: str = "ts", wait_ms: int = 7_200_000) -> DataFrame:
+    """Turn pairs as they complete: the pending user turn of a conversation is the only state, kept until the watermark has passed its time by wait_ms.
 
-    Turns of a conversation are taken in order of their number within a trigger; an assistant turn without a user turn before
-    it is paired with an empty text, other roles are passed over.
+    The stream needs a watermark on `ts`. Turns of a conversation are taken in order of their number within a trigger; an
+    assistant turn without a user turn before it is paired with an empty text, other roles are passed over.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        waiting = state.get[0] if state.exists else None
+        waiting, latest = state.get if state.exists else (None, 0)
         rows = []
         for t in pd.concat(list(batches)).sort_values("turn").itertuples(index=False):
+            latest = max(latest, int(getattr(t, ts).timestamp() * 1000))
             if t.role == "user":
                 waiting = t.text
             elif t.role == "assistant":
                 rows.append((key[0], t.turn, waiting or "", t.text))
                 waiting = None
-        state.update((waiting,))
-        state.setTimeoutDuration(7_200_000)
+        state.update((waiting, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait_ms)
         yield pd.DataFrame(rows, columns=["conv_id", "message_id", "user_text", "assistant_text"])
 
-    return stream.groupBy("conv_id").applyInPandasWithState(step, PAIR, "waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("conv_id").applyInPandasWithState(step, PAIR, "waiting string, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_static(stream: DataFrame, static: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,7 +69,8 @@ def with_static(stream: DataFrame, static: DataFrame, keys: list[str]) -> DataFr
 def upsert_to(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> DataStreamWriter:
     """Each micro-batch merged into the next snapshot of a table: its last row per key replaces the old one.
 
-    A snapshot is named by its batch, so a batch that runs again after a failure writes the same one.
+    A snapshot is named by its batch, so a batch that runs again after a failure writes the same one; the
+    snapshot before the last is deleted, the last is kept for a batch that runs again.
     """
     def merge(batch: DataFrame, number: int) -> None:
         from colloquy.sources.tables import last_by_key
@@ -76,5 +80,7 @@ def upsert_to(stream: DataFrame, path: str, keys: list[str], order: str, checkpo
             old = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/batch={number - 1}")
             new = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:
+            Files(batch.sparkSession).remove(f"{path}/batch={number - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
