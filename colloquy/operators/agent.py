@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import jsons, models
+
+NAMES = ("GREP", "READ", "VECTOR", "FINAL")
 #: Commands a step can give; the last line that holds one counts.
 COMMAND = re.compile(r"^\W*(GREP|READ|VECTOR|FINAL)\W*[:(]?\s*(.*?)\)?\s*$", re.I)
+#: Marks of channel formats, and ids as they stand in prose.
+CHANNEL = re.compile(r"to=(?:[\w.]*\.)?(GREP|READ|VECTOR|FINAL)\b(.*)", re.I | re.S)
+MARK = re.compile(r"<\|[^|]*\|>")
+SID = re.compile(r"[\w-]+(?::[\w-]+)+")
+QUOTED = re.compile(r"([\"'`“])(.+?)[\"'`”]")
 
 
 def partition(rows: DataFrame, seed: str, final: str) -> DataFrame:
@@ -21,40 +31,106 @@ def partition(rows: DataFrame, seed: str, final: str) -> DataFrame:
 
 
 def select(mode: str, seed, final, cap: int):
-    """filter: final ids among the seeds; fetch_only: the seeds, then new ids; filter_fetch: as given. At most cap."""
+    """filter: final ids among the seeds; fetch_only: the seeds, then new ids; filter_fetch: as given. At most cap; the seeds where nothing is left."""
     chosen = {"filter": F.array_intersect(final, seed), "fetch_only": F.array_distinct(F.concat(seed, final)), "filter_fetch": F.array_distinct(final)}[mode]
-    return F.slice(chosen, 1, cap)
+    return F.slice(F.when(F.size(chosen) > 0, chosen).otherwise(seed), 1, cap)
+
+
+def _chosen(mode: str, seed: list[str], final: list[str], cap: int) -> list[str]:
+    """select, for lists."""
+    every = {"filter": [s for s in final if s in seed], "fetch_only": [*seed, *final], "filter_fetch": final}[mode]
+    return list(dict.fromkeys(every or seed))[:cap]
+
+
+def _from_channel(response: str) -> tuple[str, str] | None:
+    """A command addressed as to=NAME, with a JSON payload or plain text after it; the last one counts."""
+    at = list(re.finditer(r"to=", response, re.I))
+    for start in reversed([m.start() for m in at]):
+        m = CHANNEL.match(response[start:])
+        if not m:
+            continue
+        name, tail = m[1].upper(), m[2]
+        found = re.search(r"\{.*\}", tail, re.S)
+        try:
+            strings, ints = jsons.leaves(json.loads(found[0]) if found else None)
+        except ValueError:
+            strings, ints = [], []
+        if strings:
+            name = next((s.strip().upper() for s in reversed(strings) if s.strip().upper() in NAMES), name)
+            args = [s for s in strings if s.strip().upper() not in NAMES]
+            if name == "READ":
+                sid = next((s for s in args if ":" in s), None)
+                return (name, f"{sid} {next((i for i in ints if 0 < i <= 10), 2)}") if sid else None
+            if name == "FINAL":
+                return name, " ".join(s for s in args if ":" in s)
+            return (name, args[0]) if args else None
+        plain = re.sub(r"\b(?:json|commentary|response)\b", " ", MARK.sub(" ", tail.split("\n")[0]), flags=re.I).strip().lstrip("=").strip().strip("\"'`")
+        return (name, plain) if plain or name == "FINAL" else None
+    return None
 
 
 def parse_command(response: str | None) -> tuple[str, str] | None:
-    """Name and argument of the last line that is a command, or of a JSON object with name and arguments."""
-    for line in reversed((response or "").strip().splitlines()):
+    """Name and argument: of a command addressed to a channel, of the last line that is one, or of a JSON object with name and arguments."""
+    text = response or ""
+    channel = _from_channel(text)
+    if channel:
+        return channel
+    for line in reversed(text.strip().splitlines()):
         m = COMMAND.match(line.strip())
         if m:
             return m[1].upper(), m[2].strip()
     try:
-        found = json.loads(re.search(r"\{.*\}", response or "", re.S)[0])
+        found = json.loads(re.search(r"\{.*\}", text, re.S)[0])
         arg = found.get("arguments", found.get("arg", ""))
-        return str(found["name"]).upper(), arg if isinstance(arg, str) else json.dumps(arg)
+        return str(found["name"]).split(".")[-1].upper(), arg if isinstance(arg, str) else json.dumps(arg)
     except (TypeError, ValueError, KeyError):
         return None
 
 
-def refine(seeds: DataFrame, corpus: DataFrame, script: DataFrame, calls: int = 6, cap: int = 8, window: int = 1) -> DataFrame:
-    """Run a question's commands over its turns: GREP finds, READ takes neighbours, FINAL names the ids kept.
+def narrated_command(reasoning: str | None) -> tuple[str, str] | None:
+    """The command that prose names last: READ and FINAL with ids after it, GREP and VECTOR with a quoted text after it or else anywhere; prose that names none is none."""
+    text = reasoning or ""
+    named = list(re.finditer(r"\b(GREP|READ|VECTOR|FINAL)\b", text))
+    if not named:
+        return None
+    name, after = named[-1][1], text[named[-1].end() :]
+    if name in ("READ", "FINAL"):
+        sids = SID.findall(after)
+        return None if not sids else (name, f"{sids[0]} 2") if name == "READ" else (name, " ".join(sids))
+    quoted = QUOTED.search(after) or QUOTED.search(text)
+    return (name, quoted[2]) if quoted else None
+
+
+def embedded(texts: list[str]) -> list[list[float]]:
+    """Stand-in embedder of the VECTOR tool."""
+    return [models.hash_vector(t) for t in texts]
 
-    seeds: question, sid; corpus: question, sid, pos, text; script: question, step, command. Three commands in a row that
-    cannot be read, or the same one twice, end the loop; without a FINAL that keeps something the seeds stay. Returns
-    question, sid, origin. A group is one question's turns and commands.
+
+def refine(
+    seeds: DataFrame, corpus: DataFrame, script: DataFrame, calls: int = 6, cap: int = 8, window: int = 1, mode: str = "filter_fetch", embed: Callable[[list[str]], list[list[float]]] = embedded, topn: int = 3, least: float = 0.2
+) -> DataFrame:
+    """Run a question's commands over its turns: GREP finds by pattern, VECTOR by likeness, READ takes neighbours, FINAL names the ids kept.
+
+    seeds: question, sid; corpus: question, sid, pos, text; script: question, step, command, and where it has
+    one reasoning, from which a narrated command is read if the command is none. Three commands in a row that
+    cannot be read, or the same one twice, end the loop; so do `calls` commands, after which the next
+    response counts if it is a FINAL. Ids are chosen by mode (see select); without one that is kept the seeds
+    stay. VECTOR takes the 3 x topn turns most like its text, from `least` on, and of these the first topn that are no seeds.
+    READ takes a number of turns to either side after the id. Returns question, sid, origin. A group is one question's turns and commands.
     """
     def loop(key, texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        turns = texts[texts["kind"] == "turn"].sort_values("pos")
-        start = texts[texts["kind"] == "seed"]["sid"].tolist()
+        turns = texts[texts["kind"] == "turn"].sort_values(["pos", "sid"])
+        start = sorted(texts[texts["kind"] == "seed"]["sid"].tolist())
         known = dict(zip(turns["sid"], turns["pos"], strict=True))
         found, final, bad, last = [], None, 0, None
-        for response in given.sort_values("step")["command"].tolist()[:calls]:
-            command = parse_command(response)
-            if command is None:
+        responses = list(given.sort_values("step")[["command", "reasoning"]].itertuples(index=False))
+        for n, (response, reasoning) in enumerate(responses[: calls + 1]):
+            command = parse_command(response) or narrated_command(reasoning)
+            if n == calls:
+                if command and command[0] == "FINAL":  # the forced one
+                    final = [s for s in re.split(r"[,\s]+", command[1]) if s in known]
+                break
+            if command is None or command[0] not in NAMES:
                 bad += 1
                 if bad == 3:
                     break
@@ -69,15 +145,40 @@ def refine(seeds: DataFrame, corpus: DataFrame, script: DataFrame, calls: int =
                 except re.error:
                     hit = re.compile(re.escape(arg), re.I)
                 found += [s for s, t in zip(turns["sid"], turns["text"], strict=True) if hit.search(t or "")]
-            elif name == "READ" and arg in known:
-                found += [s for s, p in known.items() if abs(p - known[arg]) <= window]
+            elif name == "VECTOR" and len(turns):
+                like = np.round(np.array(embed([t or "" for t in turns["text"]])) @ np.array(embed([arg])[0]), 6)
+                best = [turns["sid"].iloc[i] for i in np.lexsort((turns["sid"], -like)) if like[i] >= least][: 3 * topn]
+                found += [s for s in best if s not in start][:topn]
+            elif name == "READ":
+                sid, _, size = arg.partition(" ")
+                around = int(size) if size.strip().isdigit() else window
+                found += [s for s, p in known.items() if sid in known and abs(p - known[sid]) <= around]
             elif name == "FINAL":
                 final = [s for s in re.split(r"[,\s]+", arg) if s in known]
                 break
-        kept = list(dict.fromkeys(final or start))[:cap]
+        kept = _chosen(mode, start, final, cap) if final else start[:cap]
         rows = [(key[0], s, "seed" if s in start else "found" if s in found else "named") for s in kept]
         return pd.DataFrame(rows, columns=["question", "sid", "origin"])
 
     q = corpus.schema["question"].dataType.simpleString()
     both = corpus.select("question", "sid", F.col("pos").cast("long").alias("pos"), "text", F.lit("turn").alias("kind")).unionByName(seeds.select("question", "sid", F.lit(0).cast("long").alias("pos"), F.lit("").alias("text"), F.lit("seed").alias("kind")))
-    return both.groupBy("question").cogroup(script.groupBy("question")).applyInPandas(loop, f"question {q}, sid string, origin string")
+    said = script if "reasoning" in script.columns else script.withColumn("reasoning", F.lit(None).cast("string"))
+    return both.groupBy("question").cogroup(said.groupBy("question")).applyInPandas(loop, f"question {q}, sid string, origin string")
+
+
+def recovered(kept: DataFrame, seeds: DataFrame, verdicts: DataFrame, cap: int) -> DataFrame:
+    """What refine kept, and discarded seeds with a KEEP among verdicts (question, sid, verdict), in the order of ids, as far as cap goes; no verdict drops."""
+    size = kept.groupBy("question").agg(F.count("*").alias("_n"))
+    keep = verdicts.filter(F.upper(F.trim("verdict")).startswith("KEEP")).select("question", "sid").distinct()
+    again = seeds.select("question", "sid").distinct().join(kept.select("question", "sid"), ["question", "sid"], "left_anti").join(keep, ["question", "sid"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("question").orderBy("sid"))
+    fits = again.withColumn("_r", place).join(size, "question", "left").filter(F.col("_r") + F.coalesce("_n", F.lit(0)) <= cap)
+    return kept.select("question", "sid", "origin").union(fits.select("question", "sid", F.lit("recovered")))
+
+
+def replayed(contexts: DataFrame, refined: DataFrame, texts: DataFrame, enabled: bool = True) -> DataFrame:
+    """Saved contexts (question, context) with the lines of the ids that refinement kept, in its order; a question without any, or with the agent off, keeps its context."""
+    if not enabled:
+        return contexts.withColumn("refined", F.lit(False))
+    lines = refined.join(texts.select("sid", "text", "pos"), "sid").groupBy("question").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sid", "text"))), lambda x: x["text"]), "\n").alias("_c"))
+    return contexts.join(lines, "question", "left").select("question", F.coalesce("_c", "context").alias("context"), F.col("_c").isNotNull().alias("refined"))
