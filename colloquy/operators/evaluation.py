@@ -103,3 +103,78 @@ def bleu1(rows: DataFrame, keys: list[str], prediction: str, gold: str) -> DataF
     n, m = F.size(prediction), F.size(gold)
     score = F.when(F.col("_c").isNull(), 0.0).otherwise(F.when(n > m, 1.0).otherwise(F.exp(1 - m / n)) * F.col("_c") / n)
     return rows.select(*keys, prediction, gold).join(clipped, keys, "left").select(*keys, score.alias("bleu"))
+
+
+def reachability(rows: DataFrame, category: str, flags: list[str]) -> DataFrame:
+    """Per category and for all (TOTAL): questions, how many have each flag, and their share."""
+    sums = [F.sum(F.col(f).cast("int")).alias(f) for f in flags]
+    got = rows.rollup(category).agg(F.count("*").alias("n"), *sums, F.grouping(category).alias("_all"))
+    return got.select(F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(category)).alias(category), "n", *flags, *(F.round(F.try_divide(f, "n"), 6).alias(f"{f}_share") for f in flags))
+
+
+def flips_within(rows: DataFrame, key: str, before: str, after: str, a: int, b: int, last: Column) -> DataFrame:
+    """Rows judged a by one column and b by another, those for which `last` holds at the end; place is the order."""
+    found = rows.filter((F.col(before) == a) & (F.col(after) == b)).withColumn("_late", last.cast("int"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("_late").orderBy(key))).withColumnRenamed("_late", "late")
+
+
+def merged_runs(parts: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of per-sample files, each of a key once; a key that the merged file holds comes from there."""
+    columns = merged.columns
+    return merged.unionByName(parts.select(*columns).join(merged.select(*keys), keys, "left_anti")).dropDuplicates(keys)
+
+
+def first_and_last(records: DataFrame, key: str, order: str, first: list[str], last: list[str]) -> DataFrame:
+    """Per key the columns `first` of its first record and `last` of its last one, as replays read them."""
+    return records.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in first), *(F.max_by(c, order).alias(c) for c in last))
+
+
+def event_groups(log: DataFrame, request: str, event: str, order: str) -> DataFrame:
+    """Per request and type of event: how many, the first and the last by order."""
+    return log.groupBy(request, event).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
+
+
+def contains_any(text: Column, parts: list[str]) -> Column:
+    """Whether a text holds any of the parts, in any case; without parts every text does."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*(F.lit(p.lower()) for p in parts)), lambda p: F.contains(low, p)) if parts else F.lit(True)
+
+
+def gold_answer(answer: Column, adversarial: Column) -> Column:
+    """The answer, else the adversarial one, else empty; a blank one counts as missing."""
+    return F.coalesce(F.when(F.trim(answer) != "", answer), F.when(F.trim(adversarial) != "", adversarial), F.lit(""))
+
+
+def completion(planned: DataFrame, done: DataFrame, group: str, key: str) -> DataFrame:
+    """Per group of planned keys how many there are and how many are done."""
+    marked = planned.join(done.select(key).distinct().withColumn("_done", F.lit(1)), key, "left")
+    return marked.groupBy(group).agg(F.count("*").alias("total"), F.count("_done").alias("done"))
+
+
+def diagnosis_bundle(evaluated: DataFrame, judged: DataFrame, key: str, verdict: str, flags: Column, cause: Column) -> DataFrame:
+    """Evaluated questions with their verdict: flags for all, the cause for wrong ones alone."""
+    both = evaluated.join(judged.select(key, verdict), key, "left")
+    return both.select(key, verdict, flags.alias("flags"), F.when(F.col(verdict) == 0, cause).alias("cause"))
+
+
+def text_variants(retrieved: DataFrame, texts: dict[str, DataFrame], question: str, key: str, order: str) -> DataFrame:
+    """variant, question, context: a fixed retrieved set with its texts swapped; texts: per variant key and text; a key without a text there is left out."""
+    every = None
+    for name, table in texts.items():
+        got = retrieved.join(table.select(key, "text"), key).groupBy(question).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("context"))
+        got = got.select(F.lit(name).alias("variant"), question, "context")
+        every = got if every is None else every.union(got)
+    return every
+
+
+def raw_text(raw: Column, text: Column, looked_up: Column, summary: Column) -> Column:
+    """The first of these that is not blank."""
+    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in (raw, text, looked_up, summary)))
+
+
+def scored_items(rows: DataFrame, file: str, order: str, usual: str, abstention: str, answers: list[str]) -> DataFrame:
+    """The first row of each file with its verdict - of the abstention column for files named ..._abs - and its answer, the first column that is not blank; rows whose verdict is no 0 or 1 go."""
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy(order))).filter("_n = 1")
+    verdict = as_binary(F.when(F.col(file).endswith("_abs"), F.col(abstention)).otherwise(F.col(usual)))
+    answer = F.coalesce(*(F.when(F.trim(F.col(a)) != "", F.col(a)) for a in answers))
+    return first.select(file, verdict.alias("verdict"), answer.alias("answer")).filter("verdict is not null")

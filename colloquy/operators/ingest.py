@@ -115,3 +115,60 @@ def repair_dates(found: DataFrame, hints: DataFrame, key: str) -> DataFrame:
     renamed = named.join(h, [key, "_p"], "left").select(key, F.when(F.col("type").isin("Date", "Time") & ~F.col("name").rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.coalesce("display", "name")).otherwise(F.col("name")).alias("name"), "type", F.col("name").alias("old_name"))
     missing = hints.select(key, F.col("display").alias("name")).distinct().join(renamed.filter(F.col("type").isin("Date", "Time")), [key, "name"], "left_anti")
     return renamed.unionByName(missing.select(key, "name", F.lit("Date").alias("type"), F.lit(None).cast("string").alias("old_name")))
+
+
+def turn_summaries(pairs: DataFrame, key: str, user: str, assistant: str, compress, rewrite=None) -> DataFrame:
+    """key, raw_text, summary: "User: ..." and "Assistant: ..." lines (the user's alone without an answer), compressed, then with phrases of time rewritten; compress and rewrite map columns."""
+    said = F.concat(F.lit("User: "), F.coalesce(user, F.lit("")))
+    raw = F.when(F.trim(F.coalesce(assistant, F.lit(""))) == "", said).otherwise(F.concat(said, F.lit("\nAssistant: "), F.col(assistant)))
+    short = compress(F.col("raw_text"))
+    return pairs.select(key, raw.alias("raw_text")).select(key, "raw_text", (rewrite(short) if rewrite else short).alias("summary"))
+
+
+def two_steps(answers: DataFrame, key: str, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """Entities of the first answer, then relations of the second between them; without an entity the second answer is not read."""
+    found = entities(strict_records(answers, key, first), key)
+    some = answers.join(found.select(key).distinct(), key, "left_semi")
+    both = F.concat(F.col(first), F.lit(RECORD), F.col(second)) if first != second else F.col(first)
+    text = F.concat(F.substring_index(F.col(first), DONE, 1), F.lit(RECORD), F.col(second)) if first != second else both
+    return found, relations(strict_records(some.withColumn("_both", text), key, "_both"), key)
+
+
+OPS = ("input_name", "input_type", "action", "target_existing_id", "canonical_name", "canonical_type", "merged_description")
+
+
+def operation_block(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n and the seven fields of each line between ===BEGIN=== and ===END===, fields parted by ||; lines with fewer are skipped, NULL as a target is null."""
+    body = F.regexp_extract(F.coalesce(text, F.lit("")), "(?s)===BEGIN===\\s*(.*?)\\s*===END===", 1)
+    lines = rows.select(key, F.posexplode(F.split(body, "\n")).alias("n", "_line")).withColumn("_f", F.split(F.trim("_line"), "\\|\\|"))
+    fields = [F.when(F.col("_f")[i] == "NULL", None).otherwise(F.col("_f")[i]).alias(c) if c == "target_existing_id" else F.col("_f")[i].alias(c) for i, c in enumerate(OPS)]
+    return lines.filter(F.size("_f") >= len(OPS)).select(key, "n", *fields)
+
+
+def apply_operations(known: DataFrame, operations: DataFrame) -> DataFrame:
+    """id, name, type, description, prov of the known entities after ADD and UPDATE operations.
+
+    operations: seq, id, name, type, description, prov (array of strings), target (null: add). An update of an unknown
+    target adds. The last description by seq counts; name and type stay as first known; provenance is merged without
+    repeats. An entity is one group, which holds its operations only.
+    """
+    ops = operations.withColumn("_to", F.coalesce("target", "id")).join(known.select(F.col("id").alias("_to"), F.lit(True).alias("_known")), "_to", "left")
+    new = ops.select(F.when(F.col("_known"), F.col("_to")).otherwise(F.col("id")).alias("id"), F.col("seq").cast("long").alias("seq"), "name", "type", "description", "prov")
+    both = known.select("id", F.lit(-1).cast("long").alias("seq"), "name", "type", "description", "prov").unionByName(new)
+    first = F.min(F.struct("seq", "name", "type"))
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("prov"))))
+    return both.groupBy("id").agg(first["name"].alias("name"), first["type"].alias("type"), F.max(F.struct("seq", "description"))["description"].alias("description"), merged.alias("prov"))
+
+
+def with_fallback(rows: DataFrame, key: str, primary: str, raw: str) -> DataFrame:
+    """key, n, name, type, description, attempt: entities of the primary text, or of the raw text (attempt 2) where the primary gives none."""
+    one = entities(strict_records(rows, key, primary), key).withColumn("attempt", F.lit(1))
+    rest = rows.join(one.select(key).distinct(), key, "left_anti")
+    return one.unionByName(entities(strict_records(rest, key, raw), key).withColumn("attempt", F.lit(2)))
+
+
+def require_all(rows: DataFrame, done: DataFrame, key: str) -> None:
+    """Raise an error where a row has come to nothing in every attempt."""
+    failed = rows.select(key).distinct().join(done.select(key).distinct(), key, "left_anti").count()
+    if failed:
+        raise ValueError(f"{failed} rows could not be taken in")

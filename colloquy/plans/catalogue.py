@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from colloquy.plans import dialogue, graphs, ingest, judging, more, retrieval, time  # noqa: F401  they register themselves
+    from colloquy.plans import dialogue, expanding, graphs, ingest, judging, more, retrieval, time  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
