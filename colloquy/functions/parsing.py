@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,3 +106,9 @@ def sentence_chunks(text: str | None, most: int) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def chunked(text: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([sentence_chunks(t, int(m)) for t, m in zip(text, most, strict=True)])
+
+
+def facts(rows: DataFrame, key: str, answer: str, raw: str) -> DataFrame:
+    """key, facts, n: the facts of a JSON list that are not blank, joined by a bar; the raw text where there is none."""
+    found = F.filter(F.coalesce(json_list(F.col(answer)), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    return rows.select(key, F.when(F.size(found) > 0, F.array_join(found, " | ")).otherwise(F.col(raw)).alias("facts"), F.size(found).cast("long").alias("n"))

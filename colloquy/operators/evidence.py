@@ -41,6 +41,17 @@ def append_fetched(contexts: DataFrame, fetched: DataFrame, query: str) -> DataF
     return contexts.join(add, query, "left").withColumn("context", F.concat("context", F.when(F.col("_more").isNotNull(), F.concat(F.lit("\n=== Additional Evidence ===\n"), "_more")).otherwise(""))).drop("_more")
 
 
+def append_scores(scores: DataFrame, path: str) -> None:
+    """Scores go to the end of a log; each batch appears whole."""
+    scores.write.mode("append").option("header", True).csv(path)
+
+
+def scores_of(spark, path: str, schema, requests: list[str], column: str = "request_id") -> DataFrame:
+    """Rows of a score log for the given requests, ids compared as trimmed text."""
+    rows = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return rows.withColumn(column, F.trim(column)).filter(F.col(column).isin([r.strip() for r in requests]))
+
+
 def relation_endpoints(label: Column) -> Column:
     """source, target, description of a label source -> target | description."""
     head, tail = F.split_part(label, F.lit(" | "), F.lit(1)), F.split_part(label, F.lit(" | "), F.lit(2))

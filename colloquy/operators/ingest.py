@@ -172,3 +172,8 @@ def require_all(rows: DataFrame, done: DataFrame, key: str) -> None:
     failed = rows.select(key).distinct().join(done.select(key).distinct(), key, "left_anti").count()
     if failed:
         raise ValueError(f"{failed} rows could not be taken in")
+
+
+def without_speaker(line: Column) -> Column:
+    """A line without the name of up to twenty characters and the colon that it begins with."""
+    return F.regexp_replace(line, "^[^:]{1,20}:\\s*", "")

@@ -70,3 +70,20 @@ def agent_statistics(records: DataFrame, group: str, fallback: str, kept: str, a
     return records.groupBy(group).agg(
         F.count("*").alias("n"), F.round(100 * F.avg(F.col(fallback).isNotNull().cast("int")), 2).alias("fallback_pct"), F.round(F.avg(F.size(kept)), 4).alias("mean_kept"), F.round(F.avg(F.size(added)), 4).alias("mean_added")
     )
+
+
+def needs_rerun(rows: DataFrame, failed: Column, context: str) -> DataFrame:
+    """Rows that failed, or whose context is blank or missing."""
+    return rows.filter(F.coalesce(failed, F.lit(False)) | (F.trim(F.coalesce(context, F.lit(""))) == ""))
+
+
+def first_question(rows: DataFrame, key: str, order: str, question: str, dates: list[str], missing: str) -> DataFrame:
+    """Per key its first question and a date: the first value of the first of the date columns that has one."""
+    found = [F.min_by(d, F.when(F.col(d).isNotNull(), F.col(order))) for d in dates]
+    return rows.groupBy(key).agg(F.min_by(question, order).alias(question), F.coalesce(*found, F.lit(missing)).alias("date"))
+
+
+def planned(datasets: DataFrame, place: str, name: str, child: str, places: list[int], without: list[str]) -> DataFrame:
+    """child, datasets: names at the given places, in order, without those of excluded children."""
+    kept = datasets.filter(F.col(place).isin(places) & ~F.col(child).isin(without))
+    return kept.groupBy(child).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place, name))), lambda x: x[name]), ",").alias("datasets"))

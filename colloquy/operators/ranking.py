@@ -84,3 +84,8 @@ def sweep_k(ranked: DataFrame, gold: DataFrame, query: str, key: str, rank: str,
     marked = ranked.join(gold.select(query, key).distinct().withColumn("_gold", F.lit(1)), [query, key], "left")
     kept = marked.join(F.broadcast(ks), F.col(rank) <= F.col("k"))
     return kept.groupBy("k").agg(F.sum(F.coalesce("_gold", F.lit(0))).alias("hits"), F.count("*").alias("kept")).select("k", "hits", "kept", F.try_divide("hits", F.lit(total)).alias("recall"), F.try_divide("hits", "kept").alias("precision"))
+
+
+def top_of(scored: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:
+    """The k best of each query, ties by key."""
+    return scored.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), key))).filter(F.col("_n") <= k).drop("_n")
