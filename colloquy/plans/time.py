@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import temporal as t
 from colloquy.operators import ranking
+from colloquy.operators.bm25 import spread
 from colloquy.plans.catalogue import query
 from colloquy.sources.tables import table
 
@@ -89,7 +90,7 @@ PHRASES = ("We met last Tuesday", "back in March 2022 and two weeks ago", "befor
 
 
 def _phrases(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts"))
     return e.select("event_id", F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("event_id") % len(PHRASES) + 1).cast("int")).alias("text"), F.col("ts").cast("timestamp").alias("ref"))
 
 

@@ -70,3 +70,21 @@ SECRET = re.compile(r"key|token|secret|password|credential", re.I)
 
 def masked(settings: dict[str, str]) -> dict[str, str]:
     return {k: "***" if SECRET.search(k) and v else v for k, v in settings.items()}
+
+
+def write_evaluation(rows: DataFrame, path: str) -> None:
+    """Evaluated rows as CSV with a header, also where there are none."""
+    (rows.coalesce(1) if rows.isEmpty() else rows).write.mode("overwrite").option("header", True).csv(path)
+
+
+def traces(stages: DataFrame, request: str, order: str, stage: str, names: str, skipped: str) -> DataFrame:
+    """request, trace: one text of numbered stages per request, with the names that each kept or why it was skipped."""
+    line = F.concat(F.col(order).cast("string"), F.lit(". "), F.col(stage), F.lit(": "), F.when(F.col(skipped).isNotNull(), F.concat(F.lit("skipped ("), F.col(skipped), F.lit(")"))).otherwise(F.coalesce(names, F.lit("-"))))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"])
+    return stages.groupBy(request).agg(F.array_join(lines, "\n").alias("trace"))
+
+
+def export_traces(stages: DataFrame, path: str, request: str, order: str, stage: str, names: str, skipped: str) -> None:
+    """One JSON object per request with its stages in order, and the text of traces."""
+    grouped = stages.groupBy(request).agg(F.sort_array(F.collect_list(F.struct(order, stage, names, skipped))).alias("stages"))
+    grouped.join(traces(stages, request, order, stage, names, skipped), request).write.mode("overwrite").json(path)
