@@ -96,11 +96,7 @@ def grep(turns: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """Case-insensitive search. A pattern that is no regular expression is taken literally; without any hit, turns that hold all its words of three letters or more at a left boundary."""
     import re
 
-    try:
-        re.compile(pattern)
-        expr = "(?i)" + pattern
-    except re.error:
-        expr = "(?i)" + re.escape(pattern)
+    expr = "(?i)" + (pattern if is_pattern(turns.sparkSession, pattern) else re.escape(pattern))
     hits = turns.filter(F.col(text).rlike(expr))
     words = [w for w in re.findall(r"\w+", pattern) if len(w) >= 3]
     none = F.expr("count(*) = 0")
@@ -109,6 +105,17 @@ def grep(turns: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     return hits.union(fallback.join(F.broadcast(empty.filter("_none")), F.lit(True), "left_semi"))
 
 
+def is_pattern(spark, pattern: str) -> bool:
+    """Whether the engine that runs patterns can read this one."""
+    from pyspark.errors import PySparkException
+
+    try:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 def all_words(text: Column, words: list[str]) -> Column:
     out = F.lit(True)
     for w in words:

@@ -66,6 +66,38 @@ def flatten_samples(samples: DataFrame) -> DataFrame:
     return kept.select("sample", "session", (F.row_number().over(w) - 1).alias("pos"), F.col("t.dia_id").alias("dia_id"), "line")
 
 
+def raw_turn_index(turns: DataFrame, index: str = "turn_index") -> DataFrame:
+    """Turns by session and number; rows whose number is no whole number are skipped, of equal numbers the first by pos counts."""
+    numbered = turns.withColumn(index, F.col(index).cast("string").try_cast("int")).filter(F.col(index).isNotNull())
+    return numbered.withColumn("_n", F.row_number().over(Window.partitionBy("session_id", index).orderBy("pos"))).filter("_n = 1").drop("_n")
+
+
+def scalars(rows: DataFrame, json: str, required: dict[str, str]) -> DataFrame:
+    """Fields of a JSON object as text: numbers are written out, a missing, blank, boolean or nested one fails with its name. required: column -> field."""
+    v = F.try_parse_json(F.col(json))
+    out = rows
+    for name, field in required.items():
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+        text = F.try_variant_get(v, f"$.{field}", "string")
+        ok = text.isNotNull() & (F.trim(text) != "") & ~kind.rlike("^(BOOLEAN|ARRAY|OBJECT|VOID)")
+        out = out.withColumn(name, F.when(ok, text).otherwise(F.raise_error(F.concat(F.lit(f"{field} is missing or no plain value in "), F.coalesce(F.col(json), F.lit("null"))))))
+    return out
+
+
+def without_adversarial(questions: DataFrame) -> DataFrame:
+    """Normal questions but those of the adversarial category."""
+    return questions.filter(F.col("category") != CATEGORIES[5])
+
+
+def benchmark_of(columns: list[str]) -> str:
+    """Which benchmark a run's file belongs to, by its columns; an error where they tell nothing or both."""
+    low = {c.lstrip("\ufeff").lower() for c in columns}
+    found = [name for name, marks in BENCHMARKS.items() if marks <= low]
+    if len(found) != 1:
+        raise ValueError(f"cannot tell the benchmark from {sorted(low)}: {found or 'none'} fit")
+    return found[0]
+
+
 def normal_questions(qa: DataFrame, aliases: tuple[str, ...] = ("question", "trigger", "query")) -> DataFrame:
     """question from the first alias there is, evidence as an array, category as a label."""
     labels = F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))
@@ -78,7 +110,8 @@ def normal_questions(qa: DataFrame, aliases: tuple[str, ...] = ("question", "tri
     )
 
 
-#: Labels of question categories.
+#: Columns that tell a benchmark's files, and labels of question categories.
+BENCHMARKS = {"dialogue": {"sample", "category_label"}, "haystack": {"question_id", "question_type"}}
 CATEGORIES = {1: "multi_hop", 2: "temporal", 3: "open_domain", 4: "single_hop", 5: "adversarial"}
 
 
@@ -103,6 +136,14 @@ def runs(spark: SparkSession, root: str, suffix: str = "*.csv") -> DataFrame:
     return main.select("path", "length", F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("run"), F.regexp_extract("path", "/([^/]+)\\.[^/.]+$", 1).alias("sample"))
 
 
+def held_to_pins(digests: DataFrame, pins: dict[str, str]) -> None:
+    """Raise an error where a pinned file is missing or has another SHA-256; digests: as file_digests gives them."""
+    found = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in digests.filter(F.regexp_extract("path", "([^/]+)$", 1).isin(list(pins))).collect()}
+    wrong = sorted(n for n, d in pins.items() if found.get(n) != d.lower())
+    if wrong:
+        raise ValueError(f"not as pinned: {wrong}")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of files, to hold against pinned ones."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -108,3 +108,43 @@ def test_exact_temporal_folds_compatibility_forms(spark):
     new = spark.createDataFrame([("a", "２０２３－０２", "Date"), ("b", "ﬁrst　of May ", "Time"), ("c", None, "Date"), ("d", "first of May", "Event")], "id string, name string, type string")
     known = spark.createDataFrame([("k1", "2023-02", "Date"), ("k2", "First  of may", "Time"), ("k3", None, "Date")], "id string, name string, type string")
     assert sorted(map(tuple, ingest.exact_temporal(new, known).collect())) == [("a", "k1"), ("b", "k2")]
+
+
+def test_pins_scalars_and_raw_turns(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.txt").write_text("alpha")
+    digests = tables.file_digests(spark, str(tmp_path))
+    tables.held_to_pins(digests, {"a.txt": hashlib.sha256(b"alpha").hexdigest().upper()})
+    for pins in ({"a.txt": "00"}, {"b.txt": "00"}):
+        with pytest.raises(ValueError, match="not as pinned"):
+            tables.held_to_pins(digests, pins)
+    good = spark.createDataFrame([('{"q": "x", "n": 5}',), ('{"q": "y", "n": 2.5}',)], "j string")
+    assert [(r.q, r.n) for r in tables.scalars(good, "j", {"q": "q", "n": "n"}).collect()] == [("x", "5"), ("y", "2.5")]
+    for bad in ('{"q": true}', '{"q": ["a"]}', '{"q": " "}', "{}", "no json", None):
+        with pytest.raises(Exception, match="missing or no plain value"):
+            tables.scalars(spark.createDataFrame([(bad,)], "j string"), "j", {"q": "q"}).collect()
+    turns = spark.createDataFrame([("s", "1", 0), ("s", "x", 1), ("s", "1", 2), ("s", "2", 3), ("s", None, 4)], "session_id string, turn_index string, pos int")
+    assert sorted((r.turn_index, r.pos) for r in tables.raw_turn_index(turns).collect()) == [(1, 0), (2, 3)]
+    assert tables.benchmark_of(["﻿Question_ID", "question_type"]) == "haystack"
+    for columns in (["x"], ["sample", "category_label", "question_id", "question_type"]):
+        with pytest.raises(ValueError, match="cannot tell"):
+            tables.benchmark_of(columns)
+    qa = spark.createDataFrame([("a", None, None, "5"), ("b", None, None, "2")], "question string, answer string, evidence string, category string")
+    assert [r.question for r in tables.without_adversarial(tables.normal_questions(qa)).collect()] == ["b"]
+
+
+def test_manifests_see_changed_data(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, part string, v string")
+    sinks.with_manifest(df, f"{tmp_path}/m", "part", "v1")
+    assert sinks.is_complete(spark, f"{tmp_path}/m", "v1")
+    df.withColumn("v", __import__("pyspark.sql.functions").sql.functions.lit("other")).write.mode("overwrite").partitionBy("part").parquet(f"{tmp_path}/m/data")
+    assert not sinks.is_complete(spark, f"{tmp_path}/m", "v1")
+
+
+def test_grep_reads_patterns_like_the_engine(spark):
+    from colloquy.operators import turns as ops
+
+    t = spark.createDataFrame([(1, "a (?P<n>x) b"), (2, "xx"), (3, "the (was] with")], "i int, text string")
+    assert [r.i for r in ops.grep(t, "(?P<n>x)").collect()] == [1] and sorted(r.i for r in ops.grep(t, "X+").collect()) == [1, 2]
+    assert [r.i for r in ops.grep(t, "the (was] with").collect()] == [3]
