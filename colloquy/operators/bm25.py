@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
@@ -78,11 +78,8 @@ def opened(posted: DataFrame, key: str) -> Index:
 
 def build(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column] = tx.tokens) -> Index:
     """The text is split once and its postings are written to the shared folder."""
-    spark: SparkSession = docs.sparkSession
     posted = _posted(docs, key, text, split, True)
-    path = store.shared_dir(spark, "postings")
-    posted.write.parquet(path)
-    return opened(spark.read.schema(posted.schema).parquet(path), key)
+    return opened(store.written(posted, "postings"), key)
 
 
 def scores(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -37,7 +37,7 @@ def top_misses(audit: DataFrame, group: str, key: str, score: str, k: int = 3) -
 
 
 def quota_cut(scored: DataFrame, query: str, source: str, key: str, score: str, per_source: int, k: int) -> DataFrame:
-    """The first per_source of each source are guaranteed, even beyond k; the best others fill up to k. Guaranteed rows come first."""
+    """The first per_source of each source are guaranteed, even beyond k; the best others fill up to k. Guaranteed rows come first. scored is read twice: a stored table spares computing it again."""
     # two ranks with a limit, which Spark cuts in each task: what is guaranteed, and the k best, of which only what is left over counts
     by_source = Window.partitionBy(query, source).orderBy(F.desc(score), key)
     sure = scored.withColumn("_n", F.row_number().over(by_source)).filter(F.col("_n") <= per_source).drop("_n").withColumn("guaranteed", F.lit(True))

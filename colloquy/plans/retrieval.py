@@ -10,6 +10,7 @@ from colloquy.functions import vector as vec
 from colloquy.operators import bm25, knn, ranking
 from colloquy.operators import turns as turn_ops
 from colloquy.plans.catalogue import query
+from colloquy.sources import store
 from colloquy.sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -171,7 +172,7 @@ n as (select *, sum(guaranteed::int) over (partition by item_id) as sure, row_nu
 select item_id, doc_id, source, score, guaranteed, (case when guaranteed then n else sure + n end)::bigint as position from n where guaranteed or n <= 25 - sure""")
 def quota_rank_cut(spark, sf_dir):
     p = _scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return ranking.quota_cut(p, "item_id", "source", "doc_id", "score", 1, 25).select("item_id", "doc_id", "source", "score", "guaranteed", "position")
+    return ranking.quota_cut(store.written(p, "scored"), "item_id", "source", "doc_id", "score", 1, 25).select("item_id", "doc_id", "source", "score", "guaranteed", "position")
 
 
 @query(f"""with {COSINE}, pool as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as n from near where rank <= 60),
