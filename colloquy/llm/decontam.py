@@ -25,6 +25,8 @@ LEAST_VERBATIM = 3
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
 #: Words of benchmark that are sent to tasks at a time; more are taken in blocks of items.
 BLOCK_WORDS = 200_000
+#: Pairs of a place in a text and one in an item that are looked at together.
+PAIRS = 500_000
 
 
 def needed(words: int) -> tuple[int, int]:
@@ -81,10 +83,13 @@ class Seeds:
             ok = lo < len(keys)
             ok[ok] = keys[lo[ok]] == h[ok]
             at = at[ok & (at + m[-1] < last[: len(h)])]
-            lo, hi = lo[at], np.searchsorted(keys, h[at], side="right")
-            k = tv.ragged(lo, hi - lo)
-            at = np.repeat(at, hi - lo)
-            out.append(np.stack([of[at], item[k], at - t.bounds[of[at]] - place[k]], 1))
+            lo = lo[at]
+            size = np.searchsorted(keys, h[at], side="right") - lo
+            # a seed that many items hold meets many places: so many pairs at a time, each kept once
+            cut = np.searchsorted(np.cumsum(size), np.arange(PAIRS, int(size.sum()) + PAIRS, PAIRS), side="right") if len(size) else []
+            for a, b in zip([0, *cut], [*cut, len(at)], strict=True):
+                k, x = tv.ragged(lo[a:b], size[a:b]), np.repeat(at[a:b], size[a:b])
+                out.append(np.unique(np.stack([of[x], item[k], x - t.bounds[of[x]] - place[k]], 1), axis=0))
         found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
         return found[:, 0], found[:, 1], found[:, 2]
 

@@ -78,3 +78,17 @@ def test_short_items_word_for_word(spark):
         assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [], 6: [5], 7: []}
         kept = decontam.keep_clean(docs, bench, block_words=block, least_item=decontam.LEAST_VERBATIM)
         assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 7]
+
+
+def test_common_seeds_in_portions(spark, monkeypatch):
+    """Items that share their words meet a text that repeats them, a few pairs at a time."""
+    monkeypatch.setattr(decontam, "PAIRS", 7)
+    words = "a b c d e f g h i j k l m n o".split()
+    items = [(i, " ".join([*words, f"x{i}"])) for i in range(30)]
+    seeds = decontam.Seeds([t for _, t in items])
+    import pyarrow as pa
+
+    from colloquy.llm import textvec as tv
+
+    text, item, shift = seeds.hits(tv.Texts(pa.array([" ".join(words * 3), "z z", " ".join(words)]), fold=True))
+    assert sorted(zip(text.tolist(), item.tolist(), shift.tolist())) == sorted([(0, i, s) for i in range(30) for s in (0, 15, 30)] + [(2, i, 0) for i in range(30)])
