@@ -143,3 +143,24 @@ def test_representatives_keep_columns_of_any_name(spark):
     assert got.schema == docs.schema
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[3], rows[4], rows[4]], key=str)
     assert jaccard.representatives(docs.limit(0)).count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(5, i) for i in range(1000, 1400)] + [(1399, 2000)] + [(3000 + i, 2000) for i in range(50)] + [(9000, 9001)] + [(rng.randint(4000, 4200), rng.randint(4000, 4200)) for _ in range(150)]
+    root = {n: n for e in edges for n in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for hub, most in ((20, 100), (20, 1), (3, 1000)):
+        monkeypatch.setattr(graph, "HUB", hub)
+        monkeypatch.setattr(graph, "MOST_HUBS", most)
+        got = {r.node: r.component for r in graph.components(df).collect()}
+        assert got == {n: find(n) for n in root if any(n in e and e[0] != e[1] for e in edges)}
