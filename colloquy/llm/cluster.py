@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch between Spark and a Python worker; without a bound it is 10,000 rows, however long their texts.
@@ -80,6 +80,11 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def running(*keys: str, by: str) -> WindowSpec:
+    """The rows of a key up to the current one."""
+    return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def columns_but(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
 

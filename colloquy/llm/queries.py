@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import cas, chat, cluster, decontam, embed_dedup, hmm, jaccard, labelled, packing, quality, substring, toxicity
+from colloquy.llm import cas, chat, cluster, decontam, embed_dedup, hmm, jaccard, labelled, negatives, packing, quality, secrets, substring, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.array_distinct("found.item_id").alias("item_ids"), F.array_max("found.share").alias("best_share"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"), secrets.Ledger(spark, cluster.shared_dir(spark, "ledger")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_content_store, op3_embedding_dedup, op4_quality, op5_substring_dedup, op6_ngram_jaccard, op7_toxicity, op8_hidden_markov, op9_perspectives, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_packing, op2_content_store, op3_embedding_dedup, op4_quality, op5_substring_dedup, op6_ngram_jaccard, op7_toxicity, op8_hidden_markov, op9_perspectives, op10_decontamination, op11_hard_negatives, op12_secrets, op13_whitening)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_perspectives": chat.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op9_perspectives": chat.SQL, "op11_hard_negatives": negatives.SQL, "op12_secrets": secrets.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
