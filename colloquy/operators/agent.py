@@ -1,26 +1,16 @@
-"""Iterative refinement of evidence by scripted or model-made commands."""
+"""Refinement of evidence by the calls of a model, as joins over all questions at once."""
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions import jsons, models
-
-NAMES = ("GREP", "READ", "VECTOR", "FINAL")
-#: Commands a step can give; the last line that holds one counts.
-COMMAND = re.compile(r"^\W*(GREP|READ|VECTOR|FINAL)\W*[:(]?\s*(.*?)\)?\s*$", re.I)
-#: Marks of channel formats, and ids as they stand in prose.
-CHANNEL = re.compile(r"to=(?:[\w.]*\.)?(GREP|READ|VECTOR|FINAL)\b(.*)", re.I | re.S)
-MARK = re.compile(r"<\|[^|]*\|>")
-SID = re.compile(r"[\w-]+(?::[\w-]+)+")
-QUOTED = re.compile(r"([\"'`“])(.+?)[\"'`”]")
+from colloquy.functions import models, replies
+from colloquy.functions import vector as vec
+from colloquy.operators import turns as turn_ops
+from colloquy.sources import store
 
 
 def partition(rows: DataFrame, seed: str, final: str) -> DataFrame:
@@ -36,134 +26,95 @@ def select(mode: str, seed, final, cap: int):
     return F.slice(F.when(F.size(chosen) > 0, chosen).otherwise(seed), 1, cap)
 
 
-def _chosen(mode: str, seed: list[str], final: list[str], cap: int) -> list[str]:
-    """select, for lists."""
-    every = {"filter": [s for s in final if s in seed], "fetch_only": [*seed, *final], "filter_fetch": final}[mode]
-    return list(dict.fromkeys(every or seed))[:cap]
-
-
-def _from_channel(response: str) -> tuple[str, str] | None:
-    """A command addressed as to=NAME, with a JSON payload or plain text after it; the last one counts."""
-    at = list(re.finditer(r"to=", response, re.I))
-    for start in reversed([m.start() for m in at]):
-        m = CHANNEL.match(response[start:])
-        if not m:
-            continue
-        name, tail = m[1].upper(), m[2]
-        found = re.search(r"\{.*\}", tail, re.S)
-        try:
-            strings, ints = jsons.leaves(json.loads(found[0]) if found else None)
-        except ValueError:
-            strings, ints = [], []
-        if strings:
-            name = next((s.strip().upper() for s in reversed(strings) if s.strip().upper() in NAMES), name)
-            args = [s for s in strings if s.strip().upper() not in NAMES]
-            if name == "READ":
-                sid = next((s for s in args if ":" in s), None)
-                return (name, f"{sid} {next((i for i in ints if 0 < i <= 10), 2)}") if sid else None
-            if name == "FINAL":
-                return name, " ".join(s for s in args if ":" in s)
-            return (name, args[0]) if args else None
-        plain = re.sub(r"\b(?:json|commentary|response)\b", " ", MARK.sub(" ", tail.split("\n")[0]), flags=re.I).strip().lstrip("=").strip().strip("\"'`")
-        return (name, plain) if plain or name == "FINAL" else None
-    return None
-
-
-def parse_command(response: str | None) -> tuple[str, str] | None:
-    """Name and argument: of a command addressed to a channel, of the last line that is one, or of a JSON object with name and arguments."""
-    text = response or ""
-    channel = _from_channel(text)
-    if channel:
-        return channel
-    for line in reversed(text.strip().splitlines()):
-        m = COMMAND.match(line.strip())
-        if m:
-            return m[1].upper(), m[2].strip()
-    try:
-        found = json.loads(re.search(r"\{.*\}", text, re.S)[0])
-        arg = found.get("arguments", found.get("arg", ""))
-        return str(found["name"]).split(".")[-1].upper(), arg if isinstance(arg, str) else json.dumps(arg)
-    except (TypeError, ValueError, KeyError):
-        return None
-
-
-def narrated_command(reasoning: str | None) -> tuple[str, str] | None:
-    """The command that prose names last: READ and FINAL with ids after it, GREP and VECTOR with a quoted text after it or else anywhere; prose that names none is none."""
-    text = reasoning or ""
-    named = list(re.finditer(r"\b(GREP|READ|VECTOR|FINAL)\b", text))
-    if not named:
-        return None
-    name, after = named[-1][1], text[named[-1].end() :]
-    if name in ("READ", "FINAL"):
-        sids = SID.findall(after)
-        return None if not sids else (name, f"{sids[0]} 2") if name == "READ" else (name, " ".join(sids))
-    quoted = QUOTED.search(after) or QUOTED.search(text)
-    return (name, quoted[2]) if quoted else None
-
-
-def embedded(texts: list[str]) -> list[list[float]]:
-    """Stand-in embedder of the VECTOR tool."""
-    return [models.hash_vector(t) for t in texts]
+def controlled(script: DataFrame, calls: int) -> DataFrame:
+    """The calls of a script that take place: question, n, tool, text, ids, turns.
+
+    script: question, step, command, and where it has one reasoning, from which a call is read if the command is none. A question's session ends with
+    its FINAL, with three replies in a row that cannot be read, with a call that repeats the one before, and after `calls` replies, where the next one
+    counts if it is a FINAL.
+    """
+    prose = F.col("reasoning") if "reasoning" in script.columns else F.lit(None).cast("string")
+    by = Window.partitionBy("question").orderBy("step")
+    read = script.select("question", "step", F.row_number().over(by).alias("n"), replies.read(F.col("command"), prose).alias("c")).filter(F.col("n") <= calls + 1)
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    legible = F.col("c.tool").isNotNull()
+    before = F.last(F.when(legible, F.col("c")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    told = read.withColumn("legible", F.count(F.when(legible, 1)).over(upto)).withColumn("repeat", F.coalesce(legible & F.col("c").eqNullSafe(before) & before.isNotNull(), F.lit(False)))
+    bad = F.row_number().over(Window.partitionBy("question", "legible").orderBy("step")) - F.when(F.col("legible") > 0, 1).otherwise(0)
+    ends = F.col("repeat") | (~legible & (bad == 3)) | F.coalesce(F.col("c.tool") == "FINAL", F.lit(False)) | (F.col("n") > calls)
+    stop = F.min(F.when(F.col("ends"), F.col("n"))).over(Window.partitionBy("question"))
+    lived = told.withColumn("ends", ends).withColumn("stop", stop).filter(legible & ~F.col("repeat"))
+    return lived.filter((F.col("n") < F.coalesce("stop", F.lit(calls + 2))) | ((F.col("n") == F.col("stop")) & (F.col("c.tool") == "FINAL"))).select("question", "n", "c.*")
+
+
+def grepped(asked: DataFrame, corpus: DataFrame, lines: int) -> DataFrame:
+    """question, n, sid: the first `lines` turns that match the text of each call (question, n, text), dates of turns included where corpus has them.
+
+    Quotes are no part of a pattern. A call without a hit that has two words of three characters or more finds the turns that hold them all, each from its start on.
+    """
+    hay = F.concat(F.when(F.col("date").isNotNull(), F.concat(F.lit("["), F.col("date"), F.lit("] "))).otherwise(""), F.coalesce("body", F.lit(""))) if "date" in corpus.columns else F.coalesce("body", F.lit(""))
+    turns = corpus.withColumnRenamed("text", "body").withColumn("hay", hay).select("question", "sid", "pos", "hay")
+    calls = asked.select("question", "n", F.trim(F.regexp_replace("text", "[\"“”]", " ")).alias("pattern"))
+    hits = turns.join(calls, "question").filter(replies.found_by(F.col("hay"), F.col("pattern"))).select("question", "n", "sid", "pos")
+    words = F.regexp_extract_all("pattern", F.lit("[A-Za-z0-9][A-Za-z0-9'-]{2,}"), F.lit(0))
+    empty = calls.join(hits.select("question", "n").distinct(), ["question", "n"], "left_anti").select("question", "n", words.alias("words")).filter(F.size("words") >= 2)
+    every = F.forall("words", lambda w: F.regexp_like(F.col("hay"), F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), w)))
+    both = hits.union(turns.join(empty, "question").filter(every).select("question", "n", "sid", "pos"))
+    first = Window.partitionBy("question", "n").orderBy("pos", "sid")
+    return both.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= lines).select("question", "n", "sid")
+
+
+def likened(asked: DataFrame, corpus: DataFrame, seeds: DataFrame, embed: Callable[[Column], Column], topn: int, least: float) -> DataFrame:
+    """question, n, sid: of the 3 x topn turns most like the text of each call, from `least` on, the first topn that are no seeds. Only turns of questions that ask are embedded."""
+    turns = corpus.join(asked.select("question").distinct(), "question", "left_semi").select("question", "sid", embed(F.coalesce("text", F.lit(""))).alias("v"))
+    score = F.round(vec.dot(F.col("v"), F.col("q")), 6)
+    like = turns.join(asked.select("question", "n", embed(F.col("text")).alias("q")), "question").select("question", "n", "sid", score.alias("score")).filter(F.col("score") >= least)
+    best = Window.partitionBy("question", "n").orderBy(F.desc("score"), "sid")
+    pool = like.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 3 * topn)
+    new = pool.join(seeds, ["question", "sid"], "left_anti").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= topn)
+    return new.select("question", "n", "sid")
+
+
+def neighbours(met: DataFrame, corpus: DataFrame, around: int) -> DataFrame:
+    """question, n, sid: the turns about the first id of each call that resolves, as many to a side as it says, else `around`; a position is met by equality. met: question, n, turns, place, sid."""
+    first = met.withColumn("p", F.min("place").over(Window.partitionBy("question", "n"))).filter("place = p")
+    at = first.join(corpus.select("question", "sid", "pos"), ["question", "sid"])
+    k = F.coalesce("turns", F.lit(around))
+    band = at.select("question", "n", F.explode(F.sequence(F.col("pos") - k, F.col("pos") + k)).alias("pos")).distinct()
+    return corpus.select("question", "sid", "pos").join(band, ["question", "pos"]).select("question", "n", "sid")
 
 
 def refine(
-    seeds: DataFrame, corpus: DataFrame, script: DataFrame, calls: int = 6, cap: int = 8, window: int = 1, mode: str = "filter_fetch", embed: Callable[[list[str]], list[list[float]]] = embedded, topn: int = 3, least: float = 0.2
+    seeds: DataFrame, corpus: DataFrame, script: DataFrame, calls: int = 6, cap: int = 8, around: int = 2, mode: str = "filter_fetch", embed: Callable[[Column], Column] | None = None, topn: int = 3, least: float = 0.2, lines: int = 30
 ) -> DataFrame:
-    """Run a question's commands over its turns: GREP finds by pattern, VECTOR by likeness, READ takes neighbours, FINAL names the ids kept.
-
-    seeds: question, sid; corpus: question, sid, pos, text; script: question, step, command, and where it has
-    one reasoning, from which a narrated command is read if the command is none. Three commands in a row that
-    cannot be read, or the same one twice, end the loop; so do `calls` commands, after which the next
-    response counts if it is a FINAL. Ids are chosen by mode (see select); without one that is kept the seeds
-    stay. VECTOR takes the 3 x topn turns most like its text, from `least` on, and of these the first topn that are no seeds.
-    READ takes a number of turns to either side after the id. Returns question, sid, origin. A group is one question's turns and commands.
+    """Evidence of each question after the calls of its script: question, sid, origin (seed, found or named).
+
+    seeds: question, sid; corpus: question, sid, pos, text, and where it has one date; script: see controlled. GREP finds by pattern, VECTOR by likeness, READ takes
+    neighbours, FINAL names the ids kept, which are resolved as READ's are. Ids are chosen by mode: filter takes those among the seeds, fetch_only the seeds and
+    then new ids, filter_fetch all, in their order and at most cap; where none is left, the seeds stay. Calls do not depend on what earlier ones
+    found, so each tool is one join over all questions; what a call can see is its question's turns. The calls and the ids that they name are written once.
     """
-    def loop(key, texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        turns = texts[texts["kind"] == "turn"].sort_values(["pos", "sid"])
-        start = sorted(texts[texts["kind"] == "seed"]["sid"].tolist())
-        known = dict(zip(turns["sid"], turns["pos"], strict=True))
-        found, final, bad, last = [], None, 0, None
-        responses = list(given.sort_values("step")[["command", "reasoning"]].itertuples(index=False))
-        for n, (response, reasoning) in enumerate(responses[: calls + 1]):
-            command = parse_command(response) or narrated_command(reasoning)
-            if n == calls:
-                if command and command[0] == "FINAL":  # the forced one
-                    final = [s for s in re.split(r"[,\s]+", command[1]) if s in known]
-                break
-            if command is None or command[0] not in NAMES:
-                bad += 1
-                if bad == 3:
-                    break
-                continue
-            if command == last:
-                break
-            bad, last = 0, command
-            name, arg = command
-            if name == "GREP":
-                try:
-                    hit = re.compile(arg, re.I)
-                except re.error:
-                    hit = re.compile(re.escape(arg), re.I)
-                found += [s for s, t in zip(turns["sid"], turns["text"], strict=True) if hit.search(t or "")]
-            elif name == "VECTOR" and len(turns):
-                like = np.round(np.array(embed([t or "" for t in turns["text"]])) @ np.array(embed([arg])[0]), 6)
-                best = [turns["sid"].iloc[i] for i in np.lexsort((turns["sid"], -like)) if like[i] >= least][: 3 * topn]
-                found += [s for s in best if s not in start][:topn]
-            elif name == "READ":
-                sid, _, size = arg.partition(" ")
-                around = int(size) if size.strip().isdigit() else window
-                found += [s for s, p in known.items() if sid in known and abs(p - known[sid]) <= around]
-            elif name == "FINAL":
-                final = [s for s in re.split(r"[,\s]+", arg) if s in known]
-                break
-        kept = _chosen(mode, start, final, cap) if final else start[:cap]
-        rows = [(key[0], s, "seed" if s in start else "found" if s in found else "named") for s in kept]
-        return pd.DataFrame(rows, columns=["question", "sid", "origin"])
-
-    q = corpus.schema["question"].dataType.simpleString()
-    both = corpus.select("question", "sid", F.col("pos").cast("long").alias("pos"), "text", F.lit("turn").alias("kind")).unionByName(seeds.select("question", "sid", F.lit(0).cast("long").alias("pos"), F.lit("").alias("text"), F.lit("seed").alias("kind")))
-    said = script if "reasoning" in script.columns else script.withColumn("reasoning", F.lit(None).cast("string"))
-    return both.groupBy("question").cogroup(said.groupBy("question")).applyInPandas(loop, f"question {q}, sid string, origin string")
+    turns = corpus.withColumn("pos", F.col("pos").cast("long"))
+    start = seeds.select("question", "sid").distinct()
+    said = store.written(controlled(script, calls), "calls")
+    ids = said.select("question", "n", "tool", "turns", F.posexplode("ids").alias("place", "raw"))
+    met = store.written(ids.join(turn_ops.resolved(ids.select("question", "raw"), turns.select("question", "sid"), ["question"]), ["question", "raw"]), "ids")
+    of = lambda tool: said.filter(F.col("tool") == tool)
+    hits = grepped(of("GREP"), turns, lines).union(likened(of("VECTOR"), turns, start, embed or models.embedder(), topn, least)).union(neighbours(met.filter("tool = 'READ'"), turns, around)).select("question", "sid").distinct()
+    final = met.filter("tool = 'FINAL'").groupBy("question", "sid").agg(F.min("place").cast("long").alias("place"))
+    ranked = start.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy("sid")).cast("long"))
+    if mode == "filter":
+        chosen = final.join(start, ["question", "sid"], "left_semi")
+    elif mode == "fetch_only":
+        asking = final.select("question").distinct()
+        first = ranked.join(asking, "question", "left_semi").withColumn("place", F.col("place") - (1 << 40))
+        chosen = first.unionByName(final).groupBy("question", "sid").agg(F.min("place").alias("place"))
+    else:
+        chosen = final
+    chosen = chosen.select("question", "sid", "place").union(ranked.join(chosen.select("question").distinct(), "question", "left_anti").select("question", "sid", "place"))
+    kept = chosen.withColumn("r", F.row_number().over(Window.partitionBy("question").orderBy("place", "sid"))).filter(F.col("r") <= cap)
+    marked = kept.join(start.withColumn("s", F.lit(True)), ["question", "sid"], "left").join(hits.withColumn("f", F.lit(True)), ["question", "sid"], "left")
+    return marked.select("question", "sid", F.when(F.col("s"), "seed").when(F.col("f"), "found").otherwise("named").alias("origin"))
 
 
 def recovered(kept: DataFrame, seeds: DataFrame, verdicts: DataFrame, cap: int) -> DataFrame:

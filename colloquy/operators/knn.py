@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.sources import store
-
 #: Queries that are sent to tasks at a time, and corpus rows that a task multiplies with them at a time.
 BLOCK, SLICE = 4096, 512
 
@@ -36,27 +34,20 @@ def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", threshold: float | None = None, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
     """qid, id, score (cosine, six decimals), rank: the k nearest corpus rows of each query, ties by id.
 
-    Queries are sent to tasks in blocks of at most `block` vectors; of several blocks the driver holds one
-    at a time, and its neighbours are written to the shared folder before the next is read. A task multiplies
-    the block with SLICE corpus rows at a time, keeps the k best of each query, and passes those on at its
-    end, so the shuffle holds k rows a query and task. The threshold is applied after the k are chosen.
+    Up to `block` queries are sent to tasks: a task multiplies them with SLICE corpus rows at a time, keeps the k best of each query, and
+    passes those on at its end, so the shuffle holds k rows a query and task. More queries stay where they are and meet the
+    corpus through an index (see vector_index). The threshold is applied after the k are chosen.
     Null, zero and incomplete vectors, and those of another length, are nobody's neighbour.
     """
-    spark = queries.sparkSession
     asked = queries.select(F.col(key).cast("long").alias("qid"), F.col(vector).alias("v"))
-    every = corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    n = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(n):
-        rows = (asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else asked).orderBy("qid").toArrow()
-        ok, q = _matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())))
-        ids = rows.column("qid").to_numpy()[ok] if len(ok) else np.zeros(0, np.int64)
-        part = every.mapInArrow(_nearest(ids, q, k, skip_self), "qid long, id long, score double")
-        if n > 1:
-            path = store.shared_dir(spark, "nearest")
-            part.write.parquet(path)
-            part = spark.read.schema(part.schema).parquet(path)
-        found = part if found is None else found.union(part)
+    if asked.limit(block + 1).count() > block:
+        from colloquy.operators import vector_index
+
+        return vector_index.top_k(queries, corpus, k, key, vector, threshold, skip_self)
+    rows = asked.orderBy("qid").toArrow()
+    ok, q = _matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())))
+    ids = rows.column("qid").to_numpy()[ok] if len(ok) else np.zeros(0, np.int64)
+    found = corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(_nearest(ids, q, k, skip_self), "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best if threshold is None else best.filter(F.col("score") >= threshold)

@@ -75,6 +75,18 @@ def turn_sid(session: Column, index: Column, role: Column) -> Column:
     return F.format_string("%s:%d:%s", session.cast("string"), F.when(role == "user", index + 1).otherwise(index), F.when(role == "user", "u").otherwise("a"))
 
 
+def _direct(a: DataFrame, sids: DataFrame, by: list[str]) -> DataFrame:
+    """by, raw, sid, step: exact, else the :u and :a entries of a pair, else the turns of a chunk (raw + t + number), all by equality."""
+    exact = a.join(sids.withColumn("raw", F.col("sid")), [*by, "raw"]).select(*by, "raw", "sid", F.lit(1).alias("step"))
+    pair = a.join(sids.filter(F.col("sid").rlike(":[ua]$")).select(*by, "sid", F.regexp_replace("sid", ":[ua]$", "").alias("raw")), [*by, "raw"]).select(*by, "raw", "sid", F.lit(2).alias("step"))
+    chunk = a.join(sids.filter(F.col("sid").rlike("t[0-9]+$")).select(*by, "sid", F.regexp_replace("sid", "t[0-9]+$", "").alias("raw")), [*by, "raw"]).select(*by, "raw", "sid", F.lit(3).alias("step"))
+    return exact.union(pair).union(chunk)
+
+
+def _first_step(every: DataFrame, by: list[str]) -> DataFrame:
+    return every.withColumn("_s", F.min("step").over(Window.partitionBy(*by, "raw"))).filter("step = _s").select(*by, "raw", "sid", "step")
+
+
 def resolve_sids(asked: DataFrame, known: DataFrame) -> DataFrame:
     """asked (raw) to known (sid): exact, else the :u and :a entries of a pair, else the turns of a chunk (raw + t + number), else the one sid that ends in : + raw.
 
@@ -82,14 +94,31 @@ def resolve_sids(asked: DataFrame, known: DataFrame) -> DataFrame:
     """
     sids = known.select("sid").distinct()
     a = asked.select("raw").distinct()
-    exact = a.join(sids, a.raw == sids.sid).select("raw", "sid", F.lit(1).alias("step"))
-    pair = a.join(sids.filter(F.col("sid").rlike(":[ua]$")).select("sid", F.regexp_replace("sid", ":[ua]$", "").alias("raw")), "raw").select("raw", "sid", F.lit(2).alias("step"))
-    chunk = a.join(sids.filter(F.col("sid").rlike("t[0-9]+$")).select("sid", F.regexp_replace("sid", "t[0-9]+$", "").alias("raw")), "raw").select("raw", "sid", F.lit(3).alias("step"))
     tails = sids.select("sid", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("sid", ":")) - 1)), lambda i: F.array_join(F.slice(F.split("sid", ":"), i + 1, F.lit(100)), ":"))).alias("raw")).filter("raw <> ''")
     one = tails.groupBy("raw").agg(F.min("sid").alias("sid"), F.count_distinct("sid").alias("n")).filter("n = 1")
     tail = a.join(one, "raw").select("raw", "sid", F.lit(4).alias("step"))
-    every = exact.union(pair).union(chunk).union(tail)
-    return every.withColumn("_s", F.min("step").over(Window.partitionBy("raw"))).filter("step = _s").select("raw", "sid", "step")
+    return _first_step(_direct(a, sids, []).union(tail), [])
+
+
+def resolved(asked: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """by, raw, sid, step of asked (by, raw) among known (by, sid): exact, pair or chunk; where none of these holds, the session of raw (what stands before its
+    first colon) is read as the end of a session's name, and if that is one session only, raw is resolved once more under its whole name (steps 11 to 13).
+
+    Names meet by equality: every session lists the ends of its name. Blanks around raw do not count; a raw that nothing resolves has no row.
+    """
+    sids = known.select(*by, "sid").distinct()
+    a = asked.select(*by, "raw", F.trim("raw").alias("_raw")).distinct()
+    tidy = a.select(*by, F.col("_raw").alias("raw")).distinct()
+    direct = _first_step(_direct(tidy, sids, by), by)
+    left = tidy.join(direct.select(*by, "raw").distinct(), [*by, "raw"], "left_anti")
+    at = F.locate(":", F.col("raw"))
+    split = left.filter((at > 1) & (at < F.length("raw"))).select(*by, "raw", F.substring_index("raw", ":", 1).alias("end"), F.expr("substr(raw, locate(':', raw) + 1)").alias("rest"))
+    names = sids.select(*by, F.substring_index("sid", ":", 1).alias("session")).distinct()
+    ends = names.filter(F.length("session") > 1).select(*by, "session", F.explode(F.transform(F.sequence(F.lit(2), F.length("session")), lambda i: F.substr(F.col("session"), i))).alias("end"))
+    whole = split.join(ends, [*by, "end"]).groupBy(*by, "raw", "rest").agg(F.min("session").alias("session"), F.count("*").alias("n")).filter("n = 1")
+    again = whole.select(*by, F.col("raw").alias("_first"), F.concat_ws(":", "session", "rest").alias("raw"))
+    second = again.join(_first_step(_direct(again.select(*by, "raw").distinct(), sids, by), by), [*by, "raw"]).select(*by, F.col("_first").alias("raw"), "sid", (F.col("step") + 10).alias("step"))
+    return a.join(direct.union(second).withColumnRenamed("raw", "_raw"), [*by, "_raw"]).select(*by, "raw", "sid", "step")
 
 
 def grep(turns: DataFrame, pattern: str, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import agent, evidence
 from colloquy.operators import ingest as ops
+from colloquy.operators import turns as turn_ops
 from colloquy.plans.catalogue import query
 from colloquy.sources.tables import table
 
@@ -70,7 +71,9 @@ def context_seeds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.seed_sids(text).alias("s")).select("doc_id", F.col("s").isNotNull().alias("found"), F.size("s").cast("long").alias("n"))
 
 
-@query()
+@query("""with t as (select conv_id, turn, text from conversations where role <> 'system'), f as (select * from t where turn = 1)
+select conv_id as question, conv_id || ':' || turn as sid, case when contains(lower(text), 'that') then 'found' else 'named' end as origin from f
+union all select conv_id, conv_id || ':' || turn, 'seed' from t where turn = 0 and conv_id not in (select conv_id from f)""")
 def agent_refine(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").filter("role <> 'system'")
     sid = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -78,3 +81,13 @@ def agent_refine(spark, sf_dir):
     seeds = corpus.filter("pos = 0").select("question", "sid")
     script = corpus.filter("pos = 1").select("question", F.lit(1).alias("step"), F.lit("GREP: that").alias("command")).union(corpus.filter("pos = 1").select("question", F.lit(2), F.concat(F.lit("FINAL: "), "sid")))
     return agent.refine(seeds, corpus, script)
+
+
+@query("""with t as (select conv_id, turn, text, role, 'talk_' || conv_id || ':' || turn as sid from conversations), n as (select distinct conv_id from t),
+ends as (select distinct conv_id, substr('talk_' || conv_id, i::int) as e from n, range(2, 40) r(i) where i <= length('talk_' || conv_id)), one as (select e, min(conv_id) as conv_id from ends group by e having count(*) = 1)
+select t.conv_id || ':' || turn as raw, 'talk_' || o.conv_id || ':' || turn as sid, 11 as step from t join one o on o.e = t.conv_id::text where exists (select 1 from t k where k.conv_id = o.conv_id and k.turn = t.turn)""")
+def sid_resolve_sessions(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    asked = t.select(F.lit(0).alias("all"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("raw"))
+    known = t.select(F.lit(0).alias("all"), F.concat(F.lit("talk_"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("sid"))
+    return turn_ops.resolved(asked, known, ["all"]).drop("all")

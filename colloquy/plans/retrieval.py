@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions import vector as vec
-from colloquy.operators import bm25, knn, ranking
+from colloquy.operators import bm25, knn, ranking, vector_index
 from colloquy.operators import turns as turn_ops
 from colloquy.plans.catalogue import query
 from colloquy.sources import store
@@ -222,3 +222,32 @@ seen as (select word, count(*) as df from (select doc_id, unnest(list_distinct({
 select item_id, word, coalesce(df, 0) as df, coalesce(df, 0) between 1 and 50 as useful from asked left join seen using (word)""")
 def keyword_df_reachability(spark, sf_dir):
     return turn_ops.keyword_reach(table(spark, sf_dir, "benchmark"), "item_id", "text", table(spark, sf_dir, "documents"), "doc_id", "text", 50)
+
+
+@query(f"with {COSINE} select qid, id, score, rank from near where rank <= 10")
+def index_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vector_index.build(e, store.shared_dir(spark, "index")).search(e.filter("vec_id % 100 = 0"), 10)
+
+
+#: How often each of the letters a to z stands in a text: an embedding that SQL can express.
+LETTERS = [chr(c) for c in range(97, 123)]
+
+
+def letters(text):
+    return F.transform(F.array(*(F.lit(c) for c in LETTERS)), lambda c: (F.length(text) - F.length(F.replace(F.lower(text), c, F.lit("")))).cast("double"))
+
+
+def sql_letters(col: str) -> str:
+    return f"list_transform(range(97, 123), lambda c: (length({col}) - length(replace(lower({col}), chr(c::int), '')))::double)"
+
+
+@query(f"""with w as (select distinct item_id, unnest({sql_tokens("text")}) as keyword from benchmark), k as (select distinct keyword, {sql_letters("keyword")} as v from w),
+p as (select p_partkey as id, {sql_letters("p_name")} as v from part),
+s as (select keyword, id, round(list_dot_product(k.v, p.v) / sqrt(list_dot_product(k.v, k.v) * list_dot_product(p.v, p.v)), 6) as score from k, p where list_dot_product(k.v, k.v) > 0 and list_dot_product(p.v, p.v) > 0),
+r as (select *, row_number() over (partition by keyword order by score desc, id) as rank from s)
+select item_id, keyword, id, score, rank from w join r using (keyword) where rank <= 5 and score >= 0.5""")
+def keyword_vector_search(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), letters(F.col("p_name")).alias("embedding"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("keywords"))
+    return vector_index.by_keyword(asked, vector_index.build(p, store.shared_dir(spark, "index")), "item_id", "keywords", letters, 5, 0.5)
