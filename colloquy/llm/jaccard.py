@@ -189,8 +189,13 @@ def join(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.999,
     copy_id and class_id are null). Repeated rows are copies of each other. An empty table gives
     no rows; other columns are not read.
     """
+    return _classes(docs, threshold, target_recall, text).drop("tk")
+
+
+def _classes(docs: DataFrame, threshold: float, target_recall: float, text: str) -> DataFrame:
+    """join, with a hash of each row's text (tk)."""
     floor, agreement = prefix_depth(threshold, target_recall), least_agreement(threshold)
-    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = cluster.bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("tk"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.slices(batches, "text"):
@@ -198,8 +203,8 @@ def join(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.999,
             s1, s2 = sets.identity()
             values = sets.signatures(POOL).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), tv.as_long(s1), tv.as_long(s2), pa.array(sets.sizes.astype(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())],
-                names=["doc_id", "s1", "s2", "n_shingles", "values"],
+                [batch.column("doc_id"), batch.column("tk"), tv.as_long(s1), tv.as_long(s2), pa.array(sets.sizes.astype(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())],
+                names=["doc_id", "tk", "s1", "s2", "n_shingles", "values"],
             )
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -280,7 +285,7 @@ def join(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.999,
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         return df.withColumn("block", block).withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
-    signed = cluster.written(rows.filter("doc_id is not null").mapInArrow(sign, "doc_id long, s1 long, s2 long, n_shingles long, values binary"), "signatures")
+    signed = cluster.written(rows.filter("doc_id is not null").mapInArrow(sign, "doc_id long, tk long, s1 long, s2 long, n_shingles long, values binary"), "signatures")
     nodes = signed.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("values").alias("values")).withColumnRenamed("s1", "node")
     leaves = nodes.select("node", "n_shingles", "values").mapInArrow(unfold, "node long, key long, rest long")
     inner = leaves.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / RUN_TEXTS).cast("int").alias("blocks"))
@@ -299,11 +304,12 @@ def join(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.999,
     own = nodes.select("node", "s2", "n_shingles", "rep", "weight").join(groups, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = own.groupBy("component").agg(F.min("rep").alias("class_id"))
     facts = own.join(least, "component").select(F.col("node").alias("s1"), "s2", "n_shingles", "rep", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    judged = signed.drop("values").join(facts, ["s1", "s2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id")
-    )
-    unknown = rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_id"))
-    return judged.union(unknown)
+    judged = signed.filter("n_shingles > 0").join(facts, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", F.col("rep").alias("copy_id"), "n_links", "class_id", "tk")
+    # those without words, and without an id, link with nothing: no join has them as one key
+    wordless = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), "tk")
+    none = F.lit(None).cast("long")
+    unknown = rows.filter("doc_id is null").select("doc_id", none.alias("n_shingles"), none.alias("copy_id"), F.lit(0).cast("long").alias("n_links"), none.alias("class_id"), "tk")
+    return judged.union(wordless).union(unknown)
 
 
 def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -313,13 +319,15 @@ def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def representatives(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.999, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose doc_id is the smallest of their class (see join); of repeated rows one.
+    """One row of each class (see join), all columns as they are: that with the smallest doc_id, of several texts under it one; of repeated rows one.
 
-    Texts without words and rows with a null doc_id are in no class and stay. Columns may have any names.
+    A row of another class under the same doc_id stays with it, so what counts is doc_id and text together. Texts without words and rows with a null doc_id are in
+    no class and stay. Columns may have any names.
     """
-    kept = join(docs, threshold, target_recall, text).filter("doc_id = class_id").select("doc_id").distinct()
-    mine = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
-    body, rank = F.col(f"`{text}`"), cluster.fresh(docs, "rank")
-    once = Window.partitionBy("doc_id", F.xxhash64(body)).orderBy("doc_id")
-    with_words = body.isNotNull() & (F.length(F.translate(body, " \t\n\x0b\x0c\r", "")) > 0)
-    return mine.withColumn(rank, F.row_number().over(once)).filter((F.col(rank) == 1) | ~with_words).drop(rank).union(docs.filter("doc_id is null"))
+    body, tk, rank = F.col(f"`{text}`"), cluster.fresh(docs, "tk"), cluster.fresh(docs, "rank")
+    first = _classes(docs, threshold, target_recall, text).filter("n_shingles > 0 and doc_id = class_id").groupBy("class_id").agg(F.min("tk").alias(tk)).withColumnRenamed("class_id", cluster.fresh(docs, "key"))
+    words = body.isNotNull() & (F.length(F.translate(body, " \t\n\x0b\x0c\r", "")) > 0)
+    classed = docs.filter(F.col("doc_id").isNotNull() & words).withColumns({tk: F.xxhash64(body), cluster.fresh(docs, "key"): F.col("doc_id").cast("long")})
+    key = cluster.fresh(docs, "key")
+    mine = classed.join(first, [key, tk], "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(key, tk).orderBy(F.lit(0)))).filter(F.col(rank) == 1)
+    return mine.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.filter(F.col("doc_id").isNull() | ~words))

@@ -145,6 +145,17 @@ def test_representatives_keep_columns_of_any_name(spark):
     assert jaccard.representatives(docs.limit(0)).count() == 0
 
 
+def test_representatives_of_repeated_ids(spark):
+    """What stays is judged by id and text: a copy goes though its id has another text that stays, and a class keeps one row."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(2, a), (5, b), (5, a), (5, b), (7, b), (8, a.replace(" ", "  ")), (9, ""), (9, None), (9, "  "), (9, ""), (None, a), (2, a.replace(" ", "\t"))]
+    got = jaccard.representatives(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id int, text string, key int")).collect()
+    kept = sorted((str(r.doc_id), "-" if r.text is None else " ".join(r.text.split())) for r in got)
+    assert kept == sorted([("2", a), ("5", b), ("9", ""), ("9", "-"), ("9", ""), ("9", ""), ("None", a)])
+    many = spark.createDataFrame([(1, a), (2, a)], "doc_id long, text string").union(spark.range(10, 100_010).selectExpr("id as doc_id", "if(id % 2 = 0, '', null) as text"))
+    assert jaccard.representatives(many).count() == 100_001
+
+
 def test_components_with_hubs(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(5, i) for i in range(1000, 1400)] + [(1399, 2000)] + [(3000 + i, 2000) for i in range(50)] + [(9000, 9001)] + [(rng.randint(4000, 4200), rng.randint(4000, 4200)) for _ in range(150)]
