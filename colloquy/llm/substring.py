@@ -231,7 +231,7 @@ def deduplicate(docs: DataFrame, window: int = 50, text: str = "text", as_docume
     marked = known.select("doc_id", "text", "tk").mapInArrow(places, "h long, tk long, doc_id long, pos int").withColumns({"a": F.min("tk").over(same), "b": F.max("tk").over(same)})
     hits = marked.filter("pos < 0 or a <> b").groupBy("doc_id").agg(F.collect_set(F.expr("if(pos < 0, -1 - pos, pos)")).alias("hits"))
 
-    identity = known.select("doc_id", "tk", F.hash("text").alias("tk2"), F.length("text").alias("n"))
+    identity = known.filter(F.length("text") >= 2 * window - 1).select("doc_id", "tk", F.hash("text").alias("tk2"), F.length("text").alias("n"))
     first = identity.groupBy("tk", "tk2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
     copies = identity.join(first, ["tk", "tk2", "n"]).filter("doc_id > rep").select("doc_id", "tk").distinct().withColumn("copy", F.lit(True))
 
