@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from colloquy.llm import cluster, graph
 from colloquy.llm import textvec as tv
 
-#: Vectors that k-means is fitted on, vectors aimed at in a cell, bytes of centroids that are sent to tasks, vectors in a block.
-SAMPLE, CELL, CENTROID_BYTES, BLOCK = 20_000, 2048, 32 << 20, 1024
+#: Vectors that k-means is fitted on and their bytes, vectors of a label from which on it has cells (two at least), vectors aimed at in a cell, bytes of centroids that are sent to tasks, vectors in a block.
+SAMPLE, SAMPLE_BYTES, LEAST, CELL, CENTROID_BYTES, BLOCK = 20_000, 64 << 20, 32, 2048, 32 << 20, 1024
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -36,7 +36,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
 
 
 class Cells:
-    """Centroids of labels with more than CELL vectors; a label without has one cell."""
+    """Centroids of labels with LEAST vectors or more; a label without has one cell."""
 
     def __init__(self, centroids: dict[tuple[int, int], np.ndarray], threshold: float):
         self.centroids = centroids
@@ -94,9 +94,9 @@ def link(vectors: DataFrame, threshold: float = 0.98, vector: str = "embedding")
     itself included), kept (vec_id = component_id): one row per row.
 
     Equal vectors of a label are one node with a weight. Cells beyond BLOCK vectors are compared
-    block by block in separate tasks; links are counted there, not listed. A label has a cell for
-    each CELL vectors, as far as CENTROID_BYTES of centroids and a quarter of its sampled vectors go.
-    k-means is fitted on about SAMPLE vectors, and only decides which tasks compare which vectors.
+    block by block in separate tasks; links are counted there, not listed. A label of LEAST vectors or more has two cells at
+    least and one for each CELL vectors, as far as CENTROID_BYTES of centroids and a quarter of its sampled vectors go.
+    k-means is fitted on about SAMPLE vectors of at most SAMPLE_BYTES, and only decides which tasks compare which vectors.
 
     A null label, a null or empty vector, one of zeros or with a null or non-finite component links
     with nothing; vectors of different length do not link. A row with a null vec_id links with
@@ -129,17 +129,18 @@ def link(vectors: DataFrame, threshold: float = 0.98, vector: str = "embedding")
     nodes = signed.groupBy("label", "width", F.col("s1").alias("node"), "s2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
 
     counts = nodes.groupBy("label", "width").count()
-    most_cells = CENTROID_BYTES // (8 * (counts.agg(F.max("width")).first()[0] or 1))
-    large = counts.filter(F.col("count") > CELL).orderBy(F.desc("count"), "label").limit(most_cells).collect()
+    number = 8 * (counts.agg(F.max("width")).first()[0] or 1)
+    most_cells, sample = CENTROID_BYTES // number, max(1, min(SAMPLE, SAMPLE_BYTES // (2 * number)))
+    large = counts.filter(F.col("count") >= LEAST).orderBy(F.desc("count"), "label").limit(most_cells).collect()
     total = sum(r["count"] for r in large)
     centroids = {}
     if total:
-        share = min(1.0, SAMPLE / total)
+        share = min(1.0, sample / total)
         picked = nodes.join(F.broadcast(vectors.sparkSession.createDataFrame([(r.label, r.width) for r in large], "label long, width int")), ["label", "width"])
-        picked = picked.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))).select("label", "width", "unit").limit(2 * SAMPLE).collect()
+        picked = picked.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))).select("label", "width", "unit").limit(2 * sample).collect()
         for r in large:
             x = [np.frombuffer(p.unit) for p in picked if p.label == r.label and p.width == r.width]
-            k = min(math.ceil(r["count"] / CELL), max(1, int(most_cells * r["count"] / total)), max(1, len(x) // 4))
+            k = min(max(2, math.ceil(r["count"] / CELL)), max(1, int(most_cells * r["count"] / total)), max(1, len(x) // 4))
             if k > 1 and len(x) > k:
                 centroids[(r.label, r.width)] = spherical_kmeans(np.stack(x), k)
     cells = Cells(centroids, threshold)
