@@ -19,7 +19,7 @@ from colloquy.llm import cluster
 from colloquy.llm import textvec as tv
 
 WINDOW, SHARE, LEAST_ITEM = 15, 0.8, 8
-#: Words of an item from which on a text that holds all of it, word for word, overlaps with it.
+#: Words of an item from which on a text that holds all of it, word for word, counts as contaminated where documents are dropped; overlaps are reported from one word on with least_item=1.
 LEAST_VERBATIM = 3
 #: Word places within a window. Any three substitutions in 15 words leave one of these whole somewhere (tested).
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
@@ -142,8 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_wo
     Words are compared in lower case. A text overlaps with an item if, laid side by side, some 15
     consecutive places of the item hold at least 12 equal words (for items of 8 to 14 words: 80 % of
     all; for shorter ones all). Every such overlap is found: the masks miss none. Items of fewer than
-    least_item words are left out: with LEAST_VERBATIM only those of one or two words, which too many
-    texts hold. Null texts are left out. An item with a null id counts, with a null item_id in found.
+    least_item words are left out: with 1 none is. Null texts and those without words are left out. An item with a null id counts, with a null item_id in found.
 
     Returns doc_id, found (item_id, first_word of the best window in the text - negative if the item
     begins before it -, equal, share; ordered), contaminated: one row per row of docs.

@@ -80,6 +80,15 @@ def test_short_items_word_for_word(spark):
         assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 7]
 
 
+def test_items_of_one_and_two_words(spark):
+    items = [(1, "wikipedia.org"), (2, "yes sir"), (3, "see"), (4, ""), (5, None)]
+    rows = [(1, "from Wikipedia.org, see"), (2, "WIKIPEDIA.ORG"), (3, "yes  sir see"), (4, "yes, sir"), (5, ""), (6, None), (7, "see see see")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1000, 1):
+        got = {r.doc_id: [x.item_id for x in r.found] for r in decontam.overlaps(docs, bench, block_words=block, least_item=1).select("doc_id", decontam.F.array_sort(decontam.F.array_distinct(decontam.F.transform("found", lambda x: decontam.F.struct(x["item_id"].alias("item_id"))))).alias("found")).collect()}
+        assert got == {1: [3], 2: [1], 3: [2, 3], 4: [], 5: [], 6: [], 7: [3]}
+
+
 def test_common_seeds_in_portions(spark, monkeypatch):
     """Items that share their words meet a text that repeats them, a few pairs at a time."""
     monkeypatch.setattr(decontam, "PAIRS", 7)
