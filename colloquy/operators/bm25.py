@@ -26,15 +26,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column] = tx.tokens) -> DataFrame:
-    """key, term, tf, dl; counts are combined in the map tasks before the shuffle."""
-    return _posted(docs, key, text, split, False).select(key, "dl", "term", "tf")
+    """key, term, tf, dl. The words of a document are in one row, so they are sorted and counted there: nothing is shuffled."""
+    return _posted(docs, key, [text], split, False).select(key, "dl", "term", "tf")
 
 
-def _posted(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column], lengths: bool) -> DataFrame:
-    """Postings; lengths: and one row a document without a term."""
-    terms = spread(docs.select(key, text)).select(key, split(F.col(text)).alias("_terms"))
-    every = F.concat(F.array(F.lit(None).cast("string")), "_terms") if lengths else F.col("_terms")
-    return terms.select(key, F.size("_terms").alias("dl"), F.explode(every).alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+def _posted(docs: DataFrame, key: str, fields: list[str], split: Callable[[Column], Column], lengths: bool) -> DataFrame:
+    """key, field, dl, term, tf of each field in one pass over docs; lengths: and one row a document and field without a term."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.array_sort(split(F.col(f))).alias("terms")) for f in fields)))
+    rows = spread(docs.select(key, *fields)).select(key, each.alias("_f")).select(key, "_f.field", "_f.terms", F.size("_f.terms").alias("dl"))
+    # where a run of equal words begins, counted from 1
+    begins = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
+    runs = rows.withColumn("begins", F.when(F.col("dl") > 0, begins).otherwise(F.array().cast("array<int>")))
+    counted = F.transform("begins", lambda s, n: F.struct(F.get("terms", s - 1).alias("term"), (F.coalesce(F.get("begins", n + 1), F.col("dl") + 1) - s).cast("long").alias("tf")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")))
+    return runs.select(key, "field", "dl", F.inline(F.concat(none, counted) if lengths else counted))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -50,6 +55,7 @@ class Index:
     n: int
     avgdl: float
     mean: float
+    df: DataFrame | None = None  # term, df, where it is stored
 
     def weight(self, df: Column) -> Column:
         """Inverse frequency; a negative one becomes EPSILON times the mean over the vocabulary."""
@@ -62,7 +68,8 @@ class Index:
         terms = asked.select("term").distinct()
         small = asked.count() <= SENT_TERMS
         hit = self.posted.join(F.broadcast(terms) if small else terms, "term", "left_semi")
-        idf = document_frequency(hit).select("term", self.weight(F.col("df")).alias("idf"))
+        stored = self.df.join(F.broadcast(terms) if small else terms, "term", "left_semi") if self.df is not None else document_frequency(hit)
+        idf = stored.select("term", self.weight(F.col("df")).alias("idf"))
         wanted = asked.join(idf, "term")
         gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
         return hit.join(F.broadcast(wanted) if small else wanted, "term").groupBy(query_key, self.key).agg(F.round(F.sum(gain), 6).alias("score"))
@@ -78,8 +85,16 @@ def opened(posted: DataFrame, key: str) -> Index:
 
 def build(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column] = tx.tokens) -> Index:
     """The text is split once and its postings are written to the shared folder."""
-    posted = _posted(docs, key, text, split, True)
-    return opened(store.written(posted, "postings"), key)
+    return build_fields(docs, key, [text], split)[text]
+
+
+def build_fields(docs: DataFrame, key: str, fields: list[str], split: Callable[[Column], Column] = tx.tokens) -> dict[str, Index]:
+    """An index of each field; the documents are read once."""
+    path = store.shared_dir(docs.sparkSession, "postings")
+    posted = _posted(docs, key, fields, split, True)
+    posted.write.partitionBy("field").parquet(path)
+    read = docs.sparkSession.read.schema(posted.schema).parquet(path)
+    return {f: opened(read.filter(F.col("field") == f).drop("field"), key) for f in fields}
 
 
 def scores(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -89,9 +104,9 @@ def scores(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame,
 def field_scores(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """The larger of a document's scores over several fields, each an index of its own; of several queries under one key the largest too."""
     every = None
-    for field in fields:
-        one = build(docs, key, field).scores(queries, query_key, query_text)
-        every = one if every is None else every.union(one)
+    for one in build_fields(docs, key, fields).values():
+        found = one.scores(queries, query_key, query_text)
+        every = found if every is None else every.union(found)
     return every.groupBy(query_key, key).agg(F.max("score").alias("score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions import vector as vec
-from colloquy.operators import bm25, knn, ranking, vector_index
+from colloquy.operators import bm25, bm25_store, knn, ranking, vector_index
 from colloquy.operators import turns as turn_ops
 from colloquy.plans.catalogue import query
 from colloquy.sources import store
@@ -251,3 +251,16 @@ def keyword_vector_search(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), letters(F.col("p_name")).alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("keywords"))
     return vector_index.by_keyword(asked, vector_index.build(p, store.shared_dir(spark, "index")), "item_id", "keywords", letters, 5, 0.5)
+
+
+@query(f"with {BM25} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored) where rank <= 10")
+def bm25_incremental(spark, sf_dir):
+    """Documents come in by language, those of one language with other texts first and then anew; what was never to be indexed is removed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    book = bm25_store.Stored(spark, store.shared_dir(spark, "live"), "doc_id")
+    extra = d.filter("lang = 'en'").select((-F.col("doc_id") - 1).alias("doc_id"), F.reverse("text").alias("text"))
+    book.put(d.filter("lang = 'en'").select("doc_id", F.concat(F.lit("stale words "), "text").alias("text")).union(extra), "text")
+    book.put(d.filter("lang is distinct from 'en'"), "text")
+    book.put(d.filter("lang = 'en'"), "text")
+    book.remove(extra)
+    return bm25.top(book.index().scores(table(spark, sf_dir, "benchmark"), "item_id", "text"), "item_id", "doc_id", 10)

@@ -12,7 +12,7 @@ def told(call):
 @pytest.mark.parametrize("response,want", [
     ("thinking\nGREP: cat", ("GREP", "cat", None)), ("**FINAL** s1:2, s2:3", ("FINAL", ["s1:2", "s2:3"], None)), ("no command", None), (None, None), ("grep is a tool\nthat reads", None), ("grep: cat", ("GREP", "cat", None)),
     ("GREP: (cat|dog)", ("GREP", "(cat|dog)", None)), ("GREP(cat)", ("GREP", "cat", None)), ("GREP: cat\nREAD", ("GREP", "cat", None)), ("READ: s1:4:u 3", ("READ", ["s1:4:u"], 3)), ("READ s1:4 99", ("READ", ["s1:4"], None)), ('GREP "two words"', ("GREP", "two words", None)),
-    ("FINAL:", ("FINAL", [], None)), ("GREP: don't it's", ("GREP", "don't it's", None)), ("GREP: ^a.*b$", ("GREP", "^a.*b$", None)),
+    ("FINAL:", ("FINAL", [], None)), ("FINAL: s3, s2", ("FINAL", ["s3", "s2"], None)), ("GREP: don't it's", ("GREP", "don't it's", None)), ("GREP: ^a.*b$", ("GREP", "^a.*b$", None)),
     ('<|channel|>commentary to=tools.GREP <|constrain|>json<|message|>{"pattern": "a.b"}', ("GREP", "a.b", None)), ('to=GREP<|message|>{"p": "x"}<|call|>', ("GREP", "x", None)),
     ('to=READ <|message|>{"sid": "s1:4:u", "k": 3}', ("READ", ["s1:4:u"], 3)), ('to=READ<|message|>{"sid": "s1:4:u"}', ("READ", ["s1:4:u"], None)), ('to=READ<|message|>{"k": 3}', None),
     ('to=GREP <|message|>{"cmd": ["VECTOR", "blue car"]}', ("VECTOR", "blue car", None)), ('to=FINAL<|message|>{"sids": ["s1:1", "x", "s2:2"]}', ("FINAL", ["s1:1", "s2:2"], None)),

@@ -81,8 +81,6 @@ def test_graph_fixture(spark):
 
 
 def test_agent_and_evidence(spark):
-    assert agent.parse_command("thinking\nGREP: cat") == ("GREP", "cat")
-    assert agent.parse_command('{"name": "read", "arguments": "s1"}') == ("READ", "s1") and agent.parse_command("hm") is None
     corpus = spark.createDataFrame([(1, "s1", 0, "a cat"), (1, "s2", 1, "a dog"), (1, "s3", 2, "cat two"), (2, "t1", 0, "x")], "question int, sid string, pos int, text string")
     seeds = spark.createDataFrame([(1, "s2"), (2, "t1")], "question int, sid string")
     script = spark.createDataFrame([(1, 1, "GREP: cat"), (1, 2, "FINAL: s3, s2, zz")], "question int, step int, command string")
