@@ -11,7 +11,7 @@ from colloquy.operators import bm25, diagnosis, evidence, joins, provenance
 from colloquy.operators import turns as turn_ops
 from colloquy.plans.catalogue import query
 from colloquy.plans.retrieval import BM25, _scored
-from colloquy.sources import sinks
+from colloquy.sources import merge, sinks, store
 from colloquy.sources.tables import last_by_key, table
 
 
@@ -199,3 +199,23 @@ def sentence_chunks(spark, sf_dir):
 @query("select event_id, trim(event_type) as scrubbed from events")
 def scrub_tags(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.scrub(F.concat(F.lit("<|start|><think>so\nlong</think>"), "event_type", F.lit("</s><|im_end|> "))).alias("scrubbed"))
+
+
+_PROGRESS = "user_id long, status string, n long, note string, history string"
+
+
+@query("""with u as (select user_id, event_type, count(*) as n, max(event_id) as last from events group by all),
+r as (select *, case event_type when 'view' then 1 when 'click' then 2 when 'error' then 3 end as round from u where event_type in ('view', 'click', 'error'))
+select s.user_id, arg_max(r.event_type, r.round) as status, arg_max(r.n, r.round) as n, 'signed up' as note, string_agg(r.event_type || ' ' || r.n, '; ' order by r.round) as history
+from (select user_id from u where event_type = 'signup') s left join r using (user_id) group by s.user_id
+union all select user_id, 'error', n, null, 'error ' || n from r where round = 3 and user_id not in (select user_id from u where event_type = 'signup')""")
+def progress_history(spark, sf_dir):
+    """A table of progress: rows for all that signed up, two rounds of changes to these alone, and a third that also brings new ones; the last round comes in twice."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    path, none = store.shared_dir(spark, "progress"), F.lit(None).cast("string")
+    first = counts.filter("event_type = 'signup'").select("user_id", none.alias("status"), F.lit(None).cast("long").alias("n"), F.lit("signed up").alias("note"), none.alias("history"))
+    merge.create(first, path, ["user_id"])
+    for kind in ("view", "click", "error", "error"):
+        told = counts.filter(F.col("event_type") == kind).select("user_id", F.col("event_type").alias("status"), "n", F.concat_ws(" ", "event_type", F.col("n").cast("string")).alias("history"))
+        merge.merge(told, path, _PROGRESS, ["user_id"], history=["history"], insert=kind == "error")
+    return merge.read(spark, path, _PROGRESS)

@@ -1,4 +1,4 @@
-"""Writers: manifests, upserts and appends (swaps and snapshots: store). Spark's commit makes each write whole or absent."""
+"""Writers: manifests, exports and appends (changes in place: merge; swaps and snapshots: store). Spark's commit makes each write whole or absent."""
 
 from __future__ import annotations
 
@@ -34,8 +34,15 @@ def is_complete(spark: SparkSession, path: str, version: str) -> bool:
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
-def append_records(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+#: The kinds of analysis records, each a log of its own.
+RECORDS = ("query_analysis", "retrieval_trace", "rerank_scores", "evidence", "context", "agent_steps", "answers", "verdicts")
+
+
+def append_records(df: DataFrame, folder: str, kind: str) -> None:
+    """Rows go to the end of the log of their kind, as one JSON object a line; a kind that is none of RECORDS is an error."""
+    if kind not in RECORDS:
+        raise ValueError(f"unknown kind of record {kind}")
+    df.write.mode("append").json(f"{folder}/{kind}")
 
 
 def export_jsonl(df: DataFrame, path: str, key: str = "id") -> None:
@@ -43,20 +50,14 @@ def export_jsonl(df: DataFrame, path: str, key: str = "id") -> None:
     df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.sha2(F.to_json(F.struct(*df.columns)), 256))).write.mode("overwrite").json(path)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: int) -> str:
-    """The next snapshot of a keyed table: new rows replace equal keys. Returns its path; the old one stays until a reader moves on."""
-    target = f"{path}/v={version + 1}"
-    old = spark.read.parquet(f"{path}/v={version}") if version >= 0 else new.limit(0)
-    old.join(new.select(*keys), keys, "left_anti").unionByName(new).write.parquet(target)
-    return target
-
-
 def latest_gapless(snapshots: DataFrame, key: str = "number") -> DataFrame:
     """The highest number of 1, 2, 3 ... without a gap, and whether later ones exist."""
-    from pyspark.sql import Window
-
-    runs = snapshots.select(key).distinct().withColumn("_g", F.col(key) - F.row_number().over(Window.orderBy(key)))
-    return runs.agg(F.coalesce(F.max(F.when(F.col("_g") == 0, F.col(key))), F.lit(0)).alias("highest"), F.max(F.when(F.col("_g") > 0, 1).otherwise(0)).alias("after_gap"))
+    numbers = snapshots.select(key).filter(F.col(key) > 0).distinct()
+    # a gap begins after a number whose next one is missing; the first gap ends the prefix
+    ends = numbers.join(numbers.select((F.col(key) - 1).alias(key)), key, "left_anti")
+    first = numbers.agg(F.min(key).alias("_least"), F.max(key).alias("_most")).crossJoin(ends.agg(F.min(key).alias("_end")))
+    highest = F.when(F.col("_least") == 1, F.col("_end")).otherwise(F.lit(0))
+    return first.select(F.coalesce(highest, F.lit(0)).alias("highest"), F.when(F.coalesce("_most", F.lit(0)) > F.coalesce(highest, F.lit(0)), 1).otherwise(0).alias("after_gap"))
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from colloquy.sources.store import Files
+from colloquy.sources import merge
 
 TURN = "conv_id long, turn long, role string, text string, ts timestamp"
 
@@ -66,21 +66,11 @@ def with_static(stream: DataFrame, static: DataFrame, keys: list[str]) -> DataFr
     return stream.join(static, keys, "left")
 
 
-def upsert_to(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch merged into the next snapshot of a table: its last row per key replaces the old one.
+def upsert_to(stream: DataFrame, path: str, schema: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Each micro-batch merged into a table in place (see merge): the last row of a key replaces the old one, and only its bucket is rewritten. A batch that runs again after a failure gives the same table."""
+    def bring_in(batch: DataFrame, number: int) -> None:
+        if not merge.exists(batch.sparkSession, path):
+            merge.create(batch.sparkSession.createDataFrame([], schema), path, keys, buckets)
+        merge.merge(batch, path, schema, keys, order, buckets)
 
-    A snapshot is named by its batch, so a batch that runs again after a failure writes the same one; the
-    snapshot before the last is deleted, the last is kept for a batch that runs again.
-    """
-    def merge(batch: DataFrame, number: int) -> None:
-        from colloquy.sources.tables import last_by_key
-
-        new = last_by_key(batch, keys, order)
-        if number > 0:
-            old = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/batch={number - 1}")
-            new = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        if number > 1:
-            Files(batch.sparkSession).remove(f"{path}/batch={number - 2}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return stream.writeStream.foreachBatch(bring_in).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -46,9 +46,13 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z")], "id int, part string, v string")
     made = {r.part: r.rows for r in sinks.with_manifest(df, f"{tmp_path}/m", "part", "v1").collect()}
     assert made == {"a": 2, "b": 1} and sinks.is_complete(spark, f"{tmp_path}/m", "v1") and not sinks.is_complete(spark, f"{tmp_path}/m", "v2") and not sinks.is_complete(spark, f"{tmp_path}/none", "v1")
-    sinks.upsert(spark, f"{tmp_path}/t", df, ["id"], -1)
-    new = spark.createDataFrame([(2, "a", "new"), (9, "c", "q")], df.schema)
-    assert {r.id: r.v for r in spark.read.parquet(sinks.upsert(spark, f"{tmp_path}/t", new, ["id"], 0)).collect()} == {1: "x", 2: "new", 3: "z", 9: "q"}
+    sinks.append_records(df, f"{tmp_path}/log", "answers")
+    sinks.append_records(df.limit(1), f"{tmp_path}/log", "answers")
+    assert spark.read.json(f"{tmp_path}/log/answers").count() == 4
+    with pytest.raises(ValueError):
+        sinks.append_records(df, f"{tmp_path}/log", "anything")
+    for numbers, want in (([], (0, 0)), ([2, 3], (0, 1)), ([1, 2, 3, 3], (3, 0)), ([1], (1, 0)), ([-1, 0, 1, 5], (1, 1))):
+        assert tuple(sinks.latest_gapless(spark.createDataFrame([(n,) for n in numbers], "number int")).first()) == want
     s = sinks.latest_gapless(spark.createDataFrame([(1,), (2,), (4,)], "number int")).first()
     assert (s.highest, s.after_gap) == (2, 1)
     assert sinks.masked({"API_KEY": "x", "dim": "3"}) == {"API_KEY": "***", "dim": "3"}
