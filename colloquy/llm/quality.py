@@ -1,7 +1,7 @@
 """Quality by attention-based multiple-instance learning.
 
-A text is a bag of passages. Each is encoded by its words, hashed to signed bins, and by what its
-words and bytes look like; a gated attention weighs the passages, and the weighted sum is classified; all weights are learned
+A text is a bag of passages. Each is encoded by a learned vector for each of its words (4,096 signed bins of word hashes), and by
+what its words and bytes look like; a gated attention weighs the passages, and the weighted sum is classified; all weights are learned
 together from labels of whole texts.
 """
 
@@ -39,12 +39,12 @@ CLASSES = [
 ]
 SURFACE = len(CLASSES) + 8
 #: Signed bins of the words' hashes, as a power of two.
-WORD_BITS = 5
-FEATURES = SURFACE + (1 << WORD_BITS)
+WORD_BITS = 12
+BINS = 1 << WORD_BITS
 
 
 class Passages:
-    """Consecutive runs of up to PASSAGE words of each text of a slice, and their features."""
+    """Consecutive runs of up to PASSAGE words of each text of a slice: what they look like (surface), how many words they have (size), and each word's bin, with its sign one bit higher (words)."""
 
     def __init__(self, column: pa.Array):
         t = self.texts = tv.Texts(column)
@@ -54,7 +54,8 @@ class Passages:
         first = np.repeat(t.bounds[:-1], per) + k * PASSAGE
         last = np.minimum(first + PASSAGE, np.repeat(t.bounds[1:], per))
         n = np.maximum(last - first, 1).astype(np.float64)
-        x = self.features = np.zeros((len(first), FEATURES), np.float32)
+        x = self.surface = np.zeros((len(first), SURFACE), np.float32)
+        self.size, self.words = (last - first).astype(np.uint8), np.zeros(0, np.uint16)
         if not len(first):
             return
         a, b = t.start[first], t.end[last - 1]
@@ -81,15 +82,26 @@ class Passages:
         x[:, m + 3], x[:, m + 4], x[:, m + 5] = mean(length) / 10, mean(length == 1), mean(length > 20)
         x[:, m + 6] = np.sqrt(np.maximum(mean(length**2) - mean(length) ** 2, 0)) / 10
         x[:, m + 7] = np.log1p(n) / 5
-        bins = 1 << WORD_BITS
-        sign = 2.0 * ((h >> np.uint64(63 - WORD_BITS)) & np.uint64(1)) - 1
-        to = of * bins + (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        x[:, SURFACE:] = np.bincount(to, sign, len(first) * bins).reshape(-1, bins) / np.sqrt(n)[:, None]
+        self.words = (h >> np.uint64(63 - WORD_BITS)).astype(np.uint16)  # the bin's bits and then the sign
+        self.words = (self.words >> 1) | ((self.words & 1) << WORD_BITS)
+
+    def encoded(self, i: int, j: int) -> bytes:
+        """The passages i to j: their number, surfaces, words and sizes."""
+        at = np.concatenate(([0], np.cumsum(self.size, dtype=np.int64)))
+        return np.uint32(j - i).tobytes() + self.surface[i:j].tobytes() + self.words[at[i] : at[j]].tobytes() + self.size[i:j].tobytes()
 
 
 def encode(column: pa.Array) -> list[bytes]:
     p = Passages(column)
-    return [p.features[a:b].tobytes() for a, b in zip(p.bounds[:-1], p.bounds[1:], strict=True)]
+    return [p.encoded(a, b) for a, b in zip(p.bounds[:-1].tolist(), p.bounds[1:].tolist(), strict=True)]
+
+
+def decoded(code: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """surface, words, size of a text's passages."""
+    n = int(np.frombuffer(code, np.uint32, 1)[0])
+    surface = np.frombuffer(code, np.float32, n * SURFACE, 4).reshape(n, SURFACE)
+    size = np.frombuffer(code, np.uint8, n, len(code) - n)
+    return surface, np.frombuffer(code, np.uint16, int(size.sum()), 4 + 4 * n * SURFACE), size
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -97,13 +109,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """shift and scale of features; We, be: encoder; V, U, a: gated attention; w, b: classifier."""
+    """shift and scale of surfaces; We, be: encoder of surfaces; Ww: a vector for each bin of words; V, U, a: gated attention; w, b: classifier."""
 
     def __init__(self, shift: np.ndarray, scale: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.shift, self.scale = shift, scale
         self.p = {
-            "We": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)),
+            "We": rng.normal(0, SURFACE**-0.5, (SURFACE, HIDDEN)),
+            "Ww": np.zeros((BINS, HIDDEN)),  # a word that training has not seen says nothing
             "be": np.zeros(HIDDEN),
             "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)),
             "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)),
@@ -112,11 +125,14 @@ class Model:
             "b": np.zeros(1),
         }
 
-    def forward(self, x: np.ndarray, bounds: np.ndarray) -> dict:
-        """Scores of bags: rows bounds[i]:bounds[i+1] of x; an empty bag has only the bias."""
+    def forward(self, surface: np.ndarray, words: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> dict:
+        """Scores of bags: passages bounds[i]:bounds[i+1]; an empty bag has only the bias. A passage's words add up, over the root of their number."""
         p = self.p
-        x = (x - self.shift) / self.scale
-        h = np.tanh(x @ p["We"] + p["be"])
+        x = (surface - self.shift) / self.scale
+        to, of_word = (words & (BINS - 1)).astype(np.int64), np.repeat(np.arange(len(size)), size)
+        weight = (2.0 * (words >> WORD_BITS) - 1) / np.sqrt(np.maximum(size, 1))[of_word]
+        said = np.add.reduceat(p["Ww"][to] * weight[:, None], np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[:-1], axis=0) if len(size) else np.zeros((0, HIDDEN))
+        h = np.tanh(x @ p["We"] + said + p["be"])
         tv_, ug = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         e = (tv_ * ug) @ p["a"]
         bags = len(bounds) - 1
@@ -125,7 +141,7 @@ class Model:
         total = np.bincount(of, ex, bags)
         alpha = ex / total[of]
         z = np.stack([np.bincount(of, alpha * h[:, j], bags) for j in range(HIDDEN)], 1)
-        return {"x": x, "h": h, "t": tv_, "g": ug, "alpha": alpha, "of": of, "z": z, "score": _sigmoid(z @ p["w"] + p["b"])}
+        return {"x": x, "to": to, "of_word": of_word, "weight": weight, "h": h, "t": tv_, "g": ug, "alpha": alpha, "of": of, "z": z, "score": _sigmoid(z @ p["w"] + p["b"])}
 
     def gradients(self, f: dict, labels: np.ndarray) -> dict:
         p = self.p
@@ -138,29 +154,30 @@ class Model:
         dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
         dh = alpha[:, None] * dz[of] + dt @ p["V"].T + dg @ p["U"].T
         dx = dh * (1 - h**2)
-        return {"We": f["x"].T @ dx, "be": dx.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (f["t"] * f["g"]).T @ de, "w": f["z"].T @ d, "b": np.array([d.sum()])}
+        words = np.stack([np.bincount(f["to"], f["weight"] * dx[f["of_word"], j], BINS) for j in range(HIDDEN)], 1)
+        return {"We": f["x"].T @ dx, "Ww": words, "be": dx.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (f["t"] * f["g"]).T @ de, "w": f["z"].T @ d, "b": np.array([d.sum()])}
 
 
 def fit(rows: list[tuple[bytes, int]], rounds: int = 25, batch: int = 200, decay: float = 1e-4) -> Model:
     """Adam over bags of texts in a fixed random order. With one class or none, the model has that class's rate."""
-    bags = [np.frombuffer(c, np.float32).reshape(-1, FEATURES).astype(np.float64) for c, _ in rows]
+    bags = [decoded(c) for c, _ in rows]
     labels = np.array([y for _, y in rows], np.float64)
-    every = np.concatenate(bags) if bags else np.zeros((0, FEATURES))
-    model = Model(every.mean(0) if len(every) else np.zeros(FEATURES), (every.std(0) if len(every) else np.zeros(FEATURES)) + 1e-3)
+    every = np.concatenate([b[0] for b in bags]).astype(np.float64) if bags else np.zeros((0, SURFACE))
+    model = Model(every.mean(0) if len(every) else np.zeros(SURFACE), (every.std(0) if len(every) else np.zeros(SURFACE)) + 1e-3)
     if len(set(labels.tolist())) < 2:
         model.p["w"] *= 0
         model.p["b"] += 0.0 if not len(labels) else 5 * (2 * labels[0] - 1)
         return model
-    rng, adam = np.random.default_rng(9), labelled.Adam(0.01)
+    rng, adam, slow = np.random.default_rng(9), labelled.Adam(0.01), labelled.Adam(0.002)  # a word is seen in few texts, so its vector moves less
     for _ in range(rounds):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            bounds = np.concatenate(([0], np.cumsum([len(bags[i]) for i in pick])))
-            f = model.forward(np.concatenate([bags[i] for i in pick]), bounds)
-            adam.t += 1
+            bounds = np.concatenate(([0], np.cumsum([len(bags[i][2]) for i in pick])))
+            f = model.forward(*(np.concatenate([bags[i][part] for i in pick]) for part in range(3)), bounds)
+            adam.t, slow.t = adam.t + 1, slow.t + 1
             for k, g in model.gradients(f, labels[pick]).items():
-                model.p[k] = adam.step(k, model.p[k], g + decay * model.p[k])
+                model.p[k] = (slow if k == "Ww" else adam).step(k, model.p[k], g + decay * model.p[k])
     return model
 
 
@@ -180,7 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.slices(batches, "text"):
             p = Passages(batch.column("text"))
-            f = model.forward(p.features.astype(np.float64), p.bounds)
+            f = model.forward(p.surface.astype(np.float64), p.words, p.size, p.bounds)
             order = np.lexsort((f["alpha"], f["of"]))
             best = [None] * p.texts.n
             for i in np.flatnonzero(np.diff(p.bounds)).tolist():

@@ -74,19 +74,33 @@ def test_quality_on_held_out(spark):
     assert quality.score(docs.limit(3), quality.fit([])).count() == 3
 
 
+def test_quality_by_words_alone(spark):
+    """Texts that look alike and differ in which words they use."""
+    rng = random.Random(8)
+    kinds = [["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(150)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2] if rng.random() < 0.4 else kinds[0] + kinds[1]) for _ in range(80)), i % 2) for i in range(800)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    test = [r for r in quality.score(docs, quality.train(docs, labels)).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(test) > 200 and sum(r.predicted == r.doc_id % 2 for r in test) > 0.95 * len(test)
+
+
 def test_gradients_of_attention():
     rng = np.random.default_rng(1)
-    model = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
-    x, bounds, y = rng.normal(size=(12, quality.FEATURES)), np.array([0, 3, 4, 12]), np.array([1.0, 0, 1])
+    model = quality.Model(np.zeros(quality.SURFACE), np.ones(quality.SURFACE))
+    model.p["Ww"] += rng.normal(0, 0.3, model.p["Ww"].shape)
+    bounds, y = np.array([0, 3, 4, 12]), np.array([1.0, 0, 1])
+    size = rng.integers(1, 9, 12).astype(np.uint8)
+    x = (rng.normal(size=(12, quality.SURFACE)), rng.choice([5, 9, 4095, 5 + quality.BINS, 4095 + quality.BINS], int(size.sum())).astype(np.uint16), size)
 
     def loss():
-        s = model.forward(x, bounds)["score"]
+        s = model.forward(*x, bounds)["score"]
         return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
 
-    grads = model.gradients(model.forward(x, bounds), y)
+    grads = model.gradients(model.forward(*x, bounds), y)
     for k, g in grads.items():
         v = model.p[k].reshape(-1)
-        for i in rng.integers(v.size, size=4):
+        for i in rng.integers(v.size, size=4) if k != "Ww" else [5 * quality.HIDDEN, 9 * quality.HIDDEN + 3, 4095 * quality.HIDDEN + 7, 8]:
             keep = v[i]
             v[i] = keep + 1e-6
             up = loss()
@@ -102,7 +116,7 @@ def test_sentence_bounds():
 
 
 def plain_features(words):
-    """The features of one passage, by loops over its words."""
+    """The surface of one passage, and the bin and sign of each word, by loops."""
     n, out = len(words), []
     body = " ".join(words).encode()
     for c in quality.CLASSES:
@@ -112,25 +126,24 @@ def plain_features(words):
     out.append(sum(a == b for a, b in zip(words, words[2:])) / n)
     sizes = [len(w.encode()) for w in words]
     out += [sum(sizes) / n / 10, sum(x == 1 for x in sizes) / n, sum(x > 20 for x in sizes) / n, (sum((x - sum(sizes) / n) ** 2 for x in sizes) / n) ** 0.5 / 10, math.log1p(n) / 5]
-    bins = [0.0] * 32
-    for w in words:
-        h = int(tv.Texts(pa.array([w])).word_hashes()[0])
-        bins[h >> 59] += 2 * (h >> 58 & 1) - 1
-    return out + [b / math.sqrt(n) for b in bins]
+    hashes = [int(tv.Texts(pa.array([w])).word_hashes()[0]) for w in words]
+    return out, [(h >> 52, 2 * (h >> 51 & 1) - 1) for h in hashes]
 
 
 def test_attention_against_plain_loops(spark):
     rng = random.Random(5)
-    model = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    model = quality.Model(np.zeros(quality.SURFACE), np.ones(quality.SURFACE))
     p = model.p
+    p["Ww"] += np.random.default_rng(3).normal(0, 0.5, p["Ww"].shape)
     texts = [" ".join(rng.choice(["a", "bb", "Ccc", "d1", "e!", "ü", "x" * 25]) for _ in range(n)) for n in (1, 63, 64, 65, 200)] + ["", None]
     got = {r.doc_id: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     for i, text in enumerate(texts):
         words = (text or "").split()
         encoded, weight = [], []
         for a in range(0, len(words), 64):
-            x = plain_features(words[a : a + 64])
-            h = [math.tanh(sum(v * p["We"][k, j] for k, v in enumerate(x)) + p["be"][j]) for j in range(quality.HIDDEN)]
+            x, bins = plain_features(words[a : a + 64])
+            said = [sum(sign * p["Ww"][b, j] for b, sign in bins) / math.sqrt(len(bins)) for j in range(quality.HIDDEN)]
+            h = [math.tanh(sum(v * p["We"][k, j] for k, v in enumerate(x)) + said[j] + p["be"][j]) for j in range(quality.HIDDEN)]
             e = 0.0
             for j in range(quality.GATE):
                 t, u = (sum(h[k] * p[m][k, j] for k in range(quality.HIDDEN)) for m in ("V", "U"))
