@@ -112,3 +112,22 @@ def facts(rows: DataFrame, key: str, answer: str, raw: str) -> DataFrame:
     """key, facts, n: the facts of a JSON list that are not blank, joined by a bar; the raw text where there is none."""
     found = F.filter(F.coalesce(json_list(F.col(answer)), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
     return rows.select(key, F.when(F.size(found) > 0, F.array_join(found, " | ")).otherwise(F.col(raw)).alias("facts"), F.size(found).cast("long").alias("n"))
+
+
+def says_yes(text: Column) -> Column:
+    """1 or 0 of an answer that holds yes, else no, 1 or correct, each only where its opposite is not there as well; 0 where nothing decides."""
+    v = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+
+    def only(a: str, b: str) -> Column:
+        return F.contains(v, F.lit(a)) & ~F.contains(v, F.lit(b))
+
+    return F.when(only("yes", "no"), 1).when(only("no", "yes"), 0).when(only("1", "0"), 1).when(only("correct", "incorrect"), 1).otherwise(0)
+
+
+def graded_label(text: Column) -> Column:
+    """1 correct, 0.5 partial, 0 wrong: of a JSON object with a label, else of the whole words in the text, where wrong and incorrect outweigh the others; null where none stands."""
+    label = F.lower(F.trim(F.try_variant_get(F.try_parse_json(text), "$.label", "string")))
+    v = F.lower(F.coalesce(text, F.lit("")))
+    bad = v.rlike(r"\b(wrong|incorrect)\b")
+    by_words = F.when(bad, 0.0).when(v.rlike(r"\bcorrect\b"), 1.0).when(v.rlike(r"\bpartial\b"), 0.5)
+    return F.when(label == "correct", 1.0).when(label == "partial", 0.5).when(label == "wrong", 0.0).otherwise(by_words)

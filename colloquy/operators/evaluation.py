@@ -178,3 +178,18 @@ def scored_items(rows: DataFrame, file: str, order: str, usual: str, abstention:
     verdict = as_binary(F.when(F.col(file).endswith("_abs"), F.col(abstention)).otherwise(F.col(usual)))
     answer = F.coalesce(*(F.when(F.trim(F.col(a)) != "", F.col(a)) for a in answers))
     return first.select(file, verdict.alias("verdict"), answer.alias("answer")).filter("verdict is not null")
+
+
+def common_to_all(runs: DataFrame, run: str, key: str) -> DataFrame:
+    """The rows of keys that every run has, in any number of runs: one count of runs a key, no chain of joins."""
+    n = runs.agg(F.count_distinct(run).alias("_all"))
+    whole = runs.groupBy(key).agg(F.count_distinct(run).alias("_n")).join(F.broadcast(n), F.col("_n") == F.col("_all"), "left_semi")
+    return runs.join(whole.select(key), key, "left_semi")
+
+
+def score_means(rows: DataFrame, category: str, scores: list[str], adversarial: str) -> DataFrame:
+    """Means of the scores by category, and overall (ALL) without the adversarial category, which has a mean of its own all the same. What is no number counts nowhere, and a mean of nothing is null, not 0."""
+    every = rows.select(F.col(category).alias("category"), *(F.col(c).try_cast("double").alias(c) for c in scores))
+    by = every.groupBy("category").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in scores))
+    usual = ~F.col("category").eqNullSafe(F.lit(adversarial))
+    return by.union(every.filter(usual).agg(F.lit("ALL"), F.count("*"), *(F.round(F.avg(c), 6) for c in scores)))

@@ -56,3 +56,18 @@ def relation_endpoints(label: Column) -> Column:
     """source, target, description of a label source -> target | description."""
     head, tail = F.split_part(label, F.lit(" | "), F.lit(1)), F.split_part(label, F.lit(" | "), F.lit(2))
     return F.struct(F.split_part(head, F.lit(" -> "), F.lit(1)).alias("source"), F.split_part(head, F.lit(" -> "), F.lit(2)).alias("target"), tail.alias("description"))
+
+
+def rebuilt(chosen: DataFrame, turns: DataFrame, query: str, pair: bool = True) -> DataFrame:
+    """query, block, n: lines of the chosen ids (query, place, sid) in their order, each once; pair: with the other half of an exchange (sid:u and sid:a) in the line of the first of the two.
+
+    turns: sid, at, text. Ids without a turn have no line.
+    """
+    stem = F.regexp_replace("sid", ":[ua]$", "")
+    key = stem if pair else F.col("sid")
+    wanted = chosen.select(query, key.alias("_key"), "place").groupBy(query, "_key").agg(F.min("place").alias("place"))
+    known = turns.select(F.col("sid"), "at", "text", (stem if pair else F.col("sid")).alias("_key"))
+    each = wanted.join(known, "_key").groupBy(query, "_key", "place").agg(F.sort_array(F.collect_list(F.struct("sid", "at", "text"))).alias("t"))
+    line = F.concat(F.lit("  • ["), F.get("t", F.lit(0))["at"], F.lit("]"), F.array_join(F.transform("t", lambda x: F.concat(F.lit("[sid="), x["sid"], F.lit("]"))), ""), F.lit(" "), F.array_join(F.transform("t", lambda x: x["text"]), " / "))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
+    return each.groupBy(query).agg(F.array_join(lines, "\n").alias("block"), F.count("*").alias("n"))

@@ -177,3 +177,17 @@ def require_all(rows: DataFrame, done: DataFrame, key: str) -> None:
 def without_speaker(line: Column) -> Column:
     """A line without the name of up to twenty characters and the colon that it begins with."""
     return F.regexp_replace(line, "^[^:]{1,20}:\\s*", "")
+
+
+def extracted_in_tries(answers: DataFrame, key: str, attempt: str, text: str, tries: int) -> DataFrame:
+    """key, attempt, n, name, type, description of the first attempt of each key, of `tries` at most, whose answer holds an entity. An answer that failed (null) and one without an entity call for the next."""
+    some = entities(strict_records(answers.filter((F.col(attempt) <= tries) & F.col(text).isNotNull()).withColumn("_key", F.struct(key, attempt)), "_key", text), "_key")
+    found = some.select(F.col(f"_key.{key}").alias(key), F.col(f"_key.{attempt}").alias("attempt"), "n", "name", "type", "description")
+    first = found.groupBy(key).agg(F.min("attempt").alias("attempt"))
+    return found.join(first, [key, "attempt"], "left_semi")
+
+
+def missing_markers(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Expected markers (key, type, name) of time that were not extracted, in any case of their names."""
+    name = F.lower(F.trim("name"))
+    return expected.select(key, "type", "name").distinct().withColumn("_n", name).join(found.select(key, "type", name.alias("_n")), [key, "type", "_n"], "left_anti").drop("_n")

@@ -89,3 +89,23 @@ def sweep_k(ranked: DataFrame, gold: DataFrame, query: str, key: str, rank: str,
 def top_of(scored: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:
     """The k best of each query, ties by key."""
     return scored.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), key))).filter(F.col("_n") <= k).drop("_n")
+
+
+def retrieve_then_rerank(pool: DataFrame, query: str, key: str, text: str, cosine: str, rerank: str, floor: float, cap: int, k: int) -> DataFrame:
+    """The k first of each query by the reranker, among the cap best by cosine from the floor on whose text is not blank. Where any of these has no score of
+    the reranker (it failed), the query falls back on cosine; by tells which. The cosine stays as the score that is shown."""
+    best = Window.partitionBy(query).orderBy(F.desc(cosine), key)
+    capped = pool.filter((F.col(cosine) >= floor) & (F.trim(F.coalesce(text, F.lit(""))) != "")).withColumn("pool_rank", F.row_number().over(best)).filter(F.col("pool_rank") <= cap)
+    failed = F.max(F.col(rerank).isNull()).over(Window.partitionBy(query))
+    judged = capped.withColumn("by", F.when(failed, "cosine").otherwise("reranker"))
+    order = Window.partitionBy(query).orderBy(F.desc(F.when(F.col("by") == "reranker", F.col(rerank)).otherwise(F.col(cosine))), "pool_rank")
+    return judged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def audit_by_kind(scored: DataFrame, query: str, kind: str, key: str, score: str, limits: dict[str, tuple[float, int]]) -> DataFrame:
+    """rerank_audit of each kind (entities, relations) for itself, with its threshold and top-k; kinds without limits are left out."""
+    out = None
+    for name, (threshold, k) in limits.items():
+        one = rerank_audit(scored.filter(F.col(kind) == name), query, key, score, threshold, k).withColumn("kind", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from colloquy.plans import dialogue, evaluating, expanding, graphs, ingest, judging, more, probing, retrieval, streams, time, whole  # noqa: F401  they register themselves
+    from colloquy.plans import details, dialogue, evaluating, expanding, graphs, ingest, judging, more, probing, retrieval, streams, time, whole  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

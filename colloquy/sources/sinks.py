@@ -89,3 +89,12 @@ def export_traces(stages: DataFrame, path: str, request: str, order: str, stage:
     """One JSON object per request with its stages in order, and the text of traces."""
     grouped = stages.groupBy(request).agg(F.sort_array(F.collect_list(F.struct(order, stage, names, skipped))).alias("stages"))
     grouped.join(traces(stages, request, order, stage, names, skipped), request).write.mode("overwrite").json(path)
+
+
+def write_questions(rows: DataFrame, path: str, question: str, order: list[str]) -> DataFrame:
+    """Rows as CSV with LF and UTF-8, a folder of one file for each question, and question, rows, sha256 of each: the digest of its lines in the order given, joined by LF. A question is one group, as it is one file."""
+    columns = [c for c in rows.columns if c != question]
+    rows.repartition(question).sortWithinPartitions(question, *order).write.mode("overwrite").partitionBy(question).option("header", True).option("lineSep", "\n").csv(path)
+    line = F.to_csv(F.struct(*columns))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"])
+    return rows.groupBy(question).agg(F.count("*").alias("rows"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
