@@ -1,20 +1,9 @@
-"""Dates of relative expressions: column forms, and phrases found in text."""
+"""Dates of relative expressions as column forms (phrases in texts: operators.phrases)."""
 
 from __future__ import annotations
 
-import calendar
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, fields
-from datetime import date, datetime, time, timedelta
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# ---- column forms -------------------------------------------------------------------------
 
 #: Formats of dialogue times, tried in order.
 FORMATS = ("yyyy/MM/dd HH:mm", "h:mm a 'on' d MMMM, yyyy", "h:mm a 'on' d MMMM yyyy", "h a 'on' d MMMM, yyyy", "h a 'on' d MMMM yyyy")
@@ -88,345 +77,3 @@ def boundary(operator: Column, start: Column, end: Column) -> tuple[Column, Colu
     """Open intervals: before ends a microsecond before the start, after starts one after the end, since starts at the start."""
     micro = F.expr("interval 1 microsecond")
     return F.when(operator == "after", end + micro).when(operator == "since", start), F.when(operator == "before", start - micro)
-
-
-# ---- phrases in text ----------------------------------------------------------------------
-
-#: Names and numbers in phrases, anchors of day parts, days of fuzzy phrases.
-MONTHS = "january february march april may june july august september october november december".split()
-SHORT_MONTHS = "jan feb mar apr jun jul aug sep sept oct nov dec".split()
-WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
-NUMBERS = "one two three four five six seven eight nine ten eleven twelve".split()
-SEASONS = {"spring": 3, "summer": 6, "fall": 9, "autumn": 9, "winter": 12}
-ANCHORS = {"morning": 9, "afternoon": 15, "evening": 19, "night": 21}
-FUZZY = {"a few days ago": (-5, -2), "the other day": (-4, -1), "a few weeks ago": (-28, -14), "a while ago": (-14, 0), "recently": (-7, 0), "lately": (-7, 0)}
-
-#: Words of one kind; other words in FORMS stand for themselves.
-_WORDS = {
-    "which": {"last", "this", "next"},
-    "edge": {"first", "last"},
-    "weekday": {*WEEKDAYS, *(w[:3] for w in WEEKDAYS), "tues", "thur", "thurs"},
-    "month_name": {*MONTHS, *SHORT_MONTHS},
-    "season_name": set(SEASONS),
-    "daypart": set(ANCHORS),
-    "daytime": set(ANCHORS) - {"night"},
-    "side": {"before", "after", "of"},
-    "bound": {"before", "after", "since"},
-    "units": {u + s for u in ("day", "week", "month", "year") for s in ("", "s")},
-    "spans": {u + s for u in ("day", "week", "year") for s in ("", "s")},
-    "hours": {"hour", "hours"},
-    "half": {"am", "pm"},
-    "sep": {"-", "/"},
-}
-#: Kinds of numbers by how many digits they have.
-_DIGITS = {"yyyy": (4, 4), "d": (1, 2), "dd": (2, 2)}
-#: Parts that are built of others. _ before a part: no white space before it, ~: with or without; ? after it: may be missing.
-_BUILT = {"DATE": ("yyyy _sep _d _sep _d", "month_name d _,? yyyy", "d month_name yyyy"), "CLOCK": ("d _: _dd ~half?", "d ~half")}
-
-#: Categories and priorities. On overlap the longest phrase wins, then the higher priority.
-FORMS = (
-    ("boundary", 100, "bound ANY"),
-    ("month_week_range", 90, "the? edge week of month_name yyyy"),
-    ("absolute_date", 80, "DATE"),
-    ("absolute_time", 79, "at? CLOCK"),
-    ("relative_weekday", 70, "which weekday"),
-    ("relative_daypart", 67, "yesterday daypart | tomorrow daytime | last night"),
-    ("daypart_time", 66, "this daytime | tonight | daypart"),
-    ("relative_day", 65, "this daytime | last night | tonight | today | yesterday | tomorrow"),
-    ("relative_window", 60, "in the last number units"),
-    ("relative_hour", 58, "in number hours | number hours ago"),
-    ("relative_window", 55, "number units ago"),
-    ("week_point", 50, "which week | the week side DATE"),
-    ("weekend", 48, "this past weekend | which weekend"),
-    ("month_point", 40, "which month | month_name yyyy"),
-    ("season_point", 35, "which season_name | season_name yyyy"),
-    ("year_point", 30, "which year"),
-    ("unknown", 10, "recently | lately | the other day | a while ago | a few spans ago"),
-)
-_BUILT["ANY"] = tuple(x.strip() for kind, _, form in FORMS if kind not in ("boundary", "unknown") for x in form.split("|"))
-_SPLIT = {form: [x.split() for x in form.split("|")] for _, _, form in FORMS} | {x: [x.split()] for built in _BUILT.values() for x in built}
-#: Words that a phrase can begin with, besides numbers.
-_FIRST = set(NUMBERS).union(*_WORDS.values(), *({w.rstrip("?") for x in forms for w in x} for forms in _SPLIT.values()))
-
-
-def _tokens(text: str) -> list[tuple[str, int, int]]:
-    """Words, numbers and single marks in lower case, with their places."""
-    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+|\d+|\S", text)]
-
-
-def _fits(word: str, part: str) -> bool:
-    if part in _DIGITS:
-        least, most = _DIGITS[part]
-        return word.isdigit() and least <= len(word) <= most
-    if part == "number":
-        return word.isdigit() or word in NUMBERS
-    return word in _WORDS[part] if part in _WORDS else word == part
-
-
-def _ends(tokens: list, i: int, parts: list[str], inside: bool) -> Iterator[int]:
-    """Where phrases of these parts that begin at token i end; inside: a part came before."""
-    if not parts:
-        yield i
-        return
-    name, rest = parts[0], parts[1:]
-    part = name.lstrip("_~").rstrip("?")
-    gap = not inside or i >= len(tokens) or tokens[i][1] > tokens[i - 1][2]
-    if i < len(tokens) and (not inside or name[0] == "~" or gap == (name[0] != "_")):
-        if part in _BUILT:
-            for form in _BUILT[part]:
-                for j in _ends(tokens, i, _SPLIT[form][0], False):
-                    yield from _ends(tokens, j, rest, True)
-        elif _fits(tokens[i][0], part):
-            yield from _ends(tokens, i + 1, rest, True)
-    if name.endswith("?"):
-        yield from _ends(tokens, i, rest, inside)
-
-
-@lru_cache(4096)
-def _phrases(text: str) -> tuple[tuple[int, int, str], ...]:
-    """Start, stop and category of the phrases of a text that do not overlap, in order."""
-    tokens, found = _tokens(text), []
-
-    def alone(a: int, b: int) -> bool:
-        """No letter, digit or underscore goes on at either side."""
-        return not any(c.isalnum() or c == "_" for c in (text[a - 1 : a], text[b : b + 1]))
-
-    begin = [(i, a) for i, (word, a, _) in enumerate(tokens) if word in _FIRST or word.isdigit()]
-    for kind, priority, form in FORMS:  # from the left, phrases of one form do not overlap
-        free = 0
-        for i, a in begin:
-            if a < free:
-                continue
-            stops = (tokens[j - 1][2] for parts in _SPLIT[form] for j in _ends(tokens, i, parts, False) if j > i)
-            b = next((b for b in stops if alone(a, b)), None)
-            if b is not None:
-                found.append((a - b, -priority, a, b, kind))
-                free = b
-    taken: list[tuple[int, int, str]] = []
-    for _, _, a, b, kind in sorted(found):
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, kind))
-    return tuple(sorted(taken))
-
-
-@dataclass
-class Span:
-    text: str
-    start: int
-    stop: int
-    category: str
-    status: str = "unresolved"
-    granularity: str | None = None
-    since: datetime | None = None
-    until: datetime | None = None
-    operator: str | None = None
-    display: str | None = None
-
-
-def _number(word: str) -> int:
-    return int(word) if word.isdigit() else NUMBERS.index(word.lower()) + 1
-
-
-def _month(word: str) -> int:
-    return [m[:3] for m in MONTHS].index(word.lower()[:3]) + 1
-
-
-def _months_on(d: date, n: int) -> date:
-    y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
-    return date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
-
-
-def _exact_date(text: str) -> date | None:
-    """A written date, or None if there is no such day."""
-    parts = re.findall(r"\d+|[a-z]+", text.lower())
-    if parts[0].isdigit() and len(parts[0]) == 4:
-        y, m, d = map(int, parts)
-    elif parts[0].isdigit():
-        d, m, y = int(parts[0]), _month(parts[1]), int(parts[2])
-    else:
-        m, d, y = _month(parts[0]), int(parts[1]), int(parts[2])
-    try:
-        return date(y, m, d)
-    except ValueError:
-        return None
-
-
-def _season(year: int, name: str) -> tuple[date, date]:
-    first = date(year, SEASONS[name], 1)
-    return first, _months_on(first, 3) - timedelta(days=1)
-
-
-def _resolve(s: Span, ref: datetime) -> Span:
-    """Fill in the range that the phrase means at the reference time."""
-    t, today = re.sub(r"\s+", " ", s.text.strip().lower()), ref.date()
-    week = today - timedelta(days=today.weekday())
-    which = t.split(" ")[0]
-
-    def days(a: date, b: date, granularity: str, display: str | None = None) -> Span:
-        s.since, s.until, s.granularity = datetime.combine(a, time.min), datetime.combine(b, time.max), granularity
-        s.status = "resolved" if a <= b else "invalid"
-        s.display = display or (a.isoformat() if a == b else f"{a.isoformat()} to {b.isoformat()}")
-        return s
-
-    def moment(at: datetime, granularity: str, display: str) -> Span:
-        s.since = s.until = at
-        s.granularity, s.status, s.display = granularity, "resolved", display
-        return s
-
-    def wrong() -> Span:
-        s.status = "invalid"
-        return s
-
-    kind = s.category
-    if kind == "boundary":
-        s.operator, rest = t.split(" ", 1)
-        inner = max(find(rest, ref), key=lambda x: x.stop - x.start, default=None)
-        if inner is None or inner.status != "resolved":
-            s.status = "partially_resolved"
-            return s
-        micro = timedelta(microseconds=1)
-        s.since = inner.until + micro if s.operator == "after" else inner.since if s.operator == "since" else None
-        s.until = inner.since - micro if s.operator == "before" else None
-        s.granularity, s.status, s.display = inner.granularity, "resolved", f"{s.operator} {inner.display}"
-        return s
-    if kind == "absolute_date":
-        d = _exact_date(t)
-        return days(d, d, "day") if d else wrong()
-    if kind == "absolute_time":
-        h, m, half = re.match(r"(?:at )?(\d{1,2})(?::(\d{2}))? ?(am|pm)?", t).groups()
-        h, m = int(h), int(m or 0)
-        if m > 59 or (half and not 1 <= h <= 12) or (not half and h > 23):
-            return wrong()
-        h = h % 12 + 12 * (half == "pm") if half else h
-        return moment(datetime.combine(today, time(h, m)), "time", f"{today.isoformat()} {h:02d}:{m:02d}")
-    if kind == "relative_weekday":
-        day = next(i for i, w in enumerate(WEEKDAYS) if w[:3] == t.split(" ")[1][:3])
-        if which == "this":
-            d = week + timedelta(days=day)
-        elif which == "last":
-            d = today - timedelta(days=(today.weekday() - day) % 7 or 7)
-        else:
-            d = today + timedelta(days=(day - today.weekday()) % 7 or 7)
-        return days(d, d, "day")
-    if kind in ("relative_daypart", "daypart_time"):
-        part = "night" if t == "tonight" else t.split(" ")[-1]
-        d = today + timedelta(days={"yesterday": -1, "last": -1, "tomorrow": 1}.get(which, 0))
-        return moment(datetime.combine(d, time(ANCHORS[part])), "range", f"{part} of {d.isoformat()}")
-    if kind == "relative_day":
-        d = today + timedelta(days={"yesterday": -1, "last": -1, "tomorrow": 1}.get(which, 0))
-        return days(d, d, "day")
-    if kind == "relative_hour":
-        n = _number(next(w for w in t.split(" ") if _fits(w, "number")))
-        at = ref + timedelta(hours=n if t.startswith("in ") else -n)
-        return moment(at, "time", at.strftime("%Y-%m-%d %H:%M"))
-    if kind == "relative_window":
-        words = t.split(" ")
-        at = next(i for i, w in enumerate(words) if _fits(w, "number"))
-        n, unit = _number(words[at]), words[at + 1].rstrip("s")
-        d = today - timedelta(days=n * (7 if unit == "week" else 1)) if unit in ("day", "week") else _months_on(today, -n * (12 if unit == "year" else 1))
-        return days(d, today, unit) if t.startswith("in") else days(d, d, "day")
-    if kind == "week_point":
-        if t.startswith("the"):
-            d = _exact_date(t.split(" ", 3)[3])
-            if not d:
-                return wrong()
-            a = d - timedelta(days=d.weekday()) + timedelta(days={"before": -7, "of": 0, "after": 7}[t.split(" ")[2]])
-        else:
-            a = week + timedelta(days={"last": -7, "this": 0, "next": 7}[which])
-        return days(a, a + timedelta(days=6), "week", f"week of {a.isoformat()}")
-    if kind == "weekend":
-        a = week + timedelta(days=-2 if t.startswith(("last", "this past")) else 5 if which == "this" else 12)
-        return days(a, a + timedelta(days=1), "weekend", f"weekend of {a.isoformat()}")
-    if kind == "month_point":
-        a = _months_on(today.replace(day=1), {"last": -1, "this": 0, "next": 1}[which]) if t.endswith("month") else date(int(t[-4:]), _month(which), 1)
-        return days(a, _months_on(a, 1) - timedelta(days=1), "month", f"{a:%Y-%m}")
-    if kind == "month_week_range":
-        words = t.removeprefix("the ").split(" ")
-        a = date(int(words[-1]), _month(words[-2]), 1)
-        z = _months_on(a, 1) - timedelta(days=1)
-        if words[0] == "first":
-            z = a + timedelta(days=6 - a.weekday())
-        else:
-            a = max(a, z - timedelta(days=z.weekday()))
-        return days(a, z, "week")
-    if kind == "season_point":
-        if t[-4:].isdigit():
-            a, z = _season(int(t[-4:]), which)
-            year = int(t[-4:])
-        else:
-            name = t.split(" ")[1]
-            near = [(y, *_season(y, name)) for y in range(today.year - 2, today.year + 3)]
-            if which == "last":
-                year, a, z = max((x for x in near if x[2] < today), key=lambda x: x[2])
-            elif which == "next":
-                year, a, z = min((x for x in near if x[1] > today), key=lambda x: x[1])
-            else:
-                year, a, z = next((x for x in near if x[1] <= today <= x[2]), (today.year, *_season(today.year, name)))
-        return days(a, z, "season", f"{(which if t[-4:].isdigit() else t.split(' ')[1])} {year}")
-    if kind == "year_point":
-        y = today.year + {"last": -1, "this": 0, "next": 1}[which]
-        return days(date(y, 1, 1), date(y, 12, 31), "year", str(y))
-    key = re.sub(r"(day|week|year)( ago)", r"\1s\2", t)
-    if key.endswith("years ago"):
-        return days(_months_on(today, -60), _months_on(today, -24), "range")
-    a, b = FUZZY[key]
-    return days(today + timedelta(days=a), today + timedelta(days=b), "range")
-
-
-def find(text: str, ref: datetime) -> list[Span]:
-    """Phrases that do not overlap, in order, resolved at the reference time."""
-    return [_resolve(Span(text[a:b], a, b, kind), ref) for a, b, kind in _phrases(text)]
-
-
-def rewrite(text: str, ref: datetime) -> str:
-    """The text with resolved relative phrases as dates; from the right, so places stay valid."""
-    for s in reversed(find(text, ref)):
-        if s.status == "resolved" and s.category not in ("absolute_date", "boundary"):
-            lead = "" if re.search(r"\b(?:on|in|at|by|from|until|since|before|after|during)\s+$", text[: s.start], re.I) else "on " if s.granularity == "day" else "in " if s.granularity in ("month", "year", "season") else "during " if s.granularity in ("week", "weekend") else ""
-            text = text[: s.start] + lead + s.display + text[s.stop :]
-    return text
-
-
-def augment(text: str, ref: datetime) -> str:
-    """The text with a typed marker after each resolved phrase."""
-    for s in reversed(find(text, ref)):
-        if s.status == "resolved":
-            kind = "TIME" if s.granularity == "time" else "DATE" if s.granularity == "day" else "TIMESPAN"
-            text = f"{text[: s.stop]} [{kind}: {s.display}]{text[s.stop :]}"
-    return text
-
-
-def detect(text: str, ref: datetime) -> dict:
-    """The older form of find: whether there is a time, and the resolved phrases with first and last day and granularity."""
-    some = [s for s in find(text, ref) if s.status == "resolved"]
-    day = lambda x: x and x.date().isoformat()
-    return {"has_time": bool(some), "expressions": [{"text": s.text, "start": day(s.since), "end": day(s.until), "granularity": s.granularity} for s in some]}
-
-
-_TYPES = {"start": T.IntegerType(), "stop": T.IntegerType(), "since": T.TimestampType(), "until": T.TimestampType()}
-SPAN = T.ArrayType(T.StructType([T.StructField(f.name, _TYPES.get(f.name, T.StringType())) for f in fields(Span)]))
-
-
-@F.pandas_udf(SPAN)
-def spans(text: pd.Series, ref: pd.Series) -> pd.Series:
-    """Phrases of each text at each reference time, a batch at a time."""
-    return pd.Series([[vars(s) for s in find(t, r.to_pydatetime())] if isinstance(t, str) and not pd.isna(r) else [] for t, r in zip(text, ref, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def rewritten(text: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([rewrite(t, r.to_pydatetime()) if isinstance(t, str) and not pd.isna(r) else t for t, r in zip(text, ref, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def augmented(text: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([augment(t, r.to_pydatetime()) if isinstance(t, str) and not pd.isna(r) else t for t, r in zip(text, ref, strict=True)])
-
-
-def hints(rows, key: str, text: str, ref: str):
-    """First resolved phrase of each lower-case form per key, with its date."""
-    from pyspark.sql import Window
-
-    found = rows.select(key, F.posexplode(spans(F.col(text), F.col(ref))).alias("n", "s")).filter("s.status = 'resolved'").select(key, "n", F.lower("s.text").alias("phrase"), F.col("s.display").alias("display"))
-    w = Window.partitionBy(key, "phrase").orderBy("n")
-    return found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(key, "phrase", "display")

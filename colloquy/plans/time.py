@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import temporal as t
-from colloquy.operators import ranking
+from colloquy.operators import phrases, ranking
 from colloquy.operators.bm25 import spread
 from colloquy.plans.catalogue import query
 from colloquy.sources.tables import table
@@ -85,26 +85,41 @@ def temporal_boundary_filter(spark, sf_dir):
     return e.select("event_id", "op", ((F.col("lo").isNull() | (F.col("ts") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("ts") <= F.col("hi")))).alias("inside"))
 
 
-#: Phrases for the span queries.
-PHRASES = ("We met last Tuesday", "back in March 2022 and two weeks ago", "before July 4, 2023 at 5 pm", "a few days ago, this past weekend", "winter 2021 or the week after 2023-05-17", "nothing here", "tomorrow morning in 3 hours")
+_SAID = """x as (select event_id, ts, event_id % 9 + 1 as n, dayname(ts + interval (event_id % 7) day) as w, (isodow(ts + interval (event_id % 7) day)) as wd from events),
+d as (select *, 'last ' || w as p1, n || ' weeks ago' as p2, strftime(ts, '%B %Y') as p3, 'the week after ' || strftime(ts, '%Y-%m-%d') as p4, ts::date - (((isodow(ts) - wd + 6) % 7) + 1)::int as d1, ts::date - (7 * n)::int as d2, date_trunc('month', ts)::date as d3, date_trunc('week', ts)::date + 7 as d4 from x),
+s as (select *, 'met ' || p1 || ', ' || p2 || ' or in ' || p3 || '; until ' || p4 as text from d)"""
 
 
-def _phrases(spark, sf_dir):
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts"))
-    return e.select("event_id", F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("event_id") % len(PHRASES) + 1).cast("int")).alias("text"), F.col("ts").cast("timestamp").alias("ref"))
+def _said(spark, sf_dir):
+    """Texts that name a weekday, a number of weeks, a month and a day of each event."""
+    e = spread(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ref")))
+    day = F.date_format(F.date_add(F.col("ref").cast("date"), (F.col("event_id") % 7).cast("int")), "EEEE")
+    text = F.concat(F.lit("met last "), day, F.lit(", "), (F.col("event_id") % 9 + 1).cast("string"), F.lit(" weeks ago or in "), F.date_format("ref", "MMMM yyyy"), F.lit("; until the week after "), F.date_format("ref", "yyyy-MM-dd"))
+    return e.withColumn("text", text)
 
 
-@query()
+@query(f"""with {_SAID}, r as (select event_id, p1 as phrase, strpos(text, p1) - 1 as start, 'relative_weekday' as category, 'day' as granularity, d1 as a, d1 as b, d1::text as display from s union all select event_id, p2, strpos(text, p2) - 1, 'relative_window', 'day', d2, d2, d2::text from s
+union all select event_id, p3, strpos(text, p3) - 1, 'month_point', 'month', d3, last_day(d3), strftime(d3, '%Y-%m') from s union all select event_id, p4, strpos(text, p4) - 1, 'week_point', 'week', d4, d4 + 6, 'week of ' || d4 from s)
+select event_id, phrase, start, category, granularity, 'resolved' as status, a::text || ' 00:00:00' as since, b::text || ' 23:59:59' as until, display from r""")
 def temporal_spans_extract(spark, sf_dir):
-    found = _phrases(spark, sf_dir).select("event_id", F.explode(t.spans("text", "ref")).alias("s"))
-    return found.select("event_id", *(F.col(f"s.{c}").cast("string").alias(c) for c in ("text", "start", "category", "status", "granularity", "since", "until", "operator", "display")))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    found = phrases.spans(_said(spark, sf_dir), "event_id", "text", "ref")
+    return found.select("event_id", F.col("text").alias("phrase"), F.col("start").cast("long").alias("start"), "category", "granularity", "status", at("since").alias("since"), at("until").alias("until"), "display")
 
 
-@query()
+@query(f"""with {_SAID} select event_id, 'met on ' || d1 || ', on ' || d2 || ' or in ' || strftime(d3, '%Y-%m') || '; until week of ' || d4 as question,
+'met ' || p1 || ' [DATE: ' || d1 || '], ' || p2 || ' [DATE: ' || d2 || '] or in ' || p3 || ' [TIMESPAN: ' || strftime(d3, '%Y-%m') || ']; until ' || p4 || ' [TIMESPAN: week of ' || d4 || ']' as augmented from s""")
 def temporal_rewrite(spark, sf_dir):
-    return _phrases(spark, sf_dir).select("event_id", t.rewritten("text", "ref").alias("question"), t.augmented("text", "ref").alias("augmented"))
+    said = _said(spark, sf_dir)
+    return phrases.augmented(phrases.rewritten(said, "event_id", "text", "ref"), "event_id", "text", "ref").select("event_id", "question", "augmented")
 
 
-@query()
+@query(f"""with {_SAID} select event_id, lower(p1) as phrase, d1::text as display from s union all select event_id, p2, d2::text from s union all select event_id, lower(p3), strftime(d3, '%Y-%m') from s union all select event_id, p4, 'week of ' || d4 from s""")
 def temporal_hints(spark, sf_dir):
-    return t.hints(_phrases(spark, sf_dir), "event_id", "text", "ref")
+    return phrases.hints(_said(spark, sf_dir), "event_id", "text", "ref")
+
+
+@query(f"""with {_SAID} select event_id, true as has_time, 4 as n, p1 as phrase, d4::text || ' ' || (d4 + 6)::text as last from s""")
+def temporal_detect(spark, sf_dir):
+    e = F.col("expressions")
+    return phrases.detected(_said(spark, sf_dir), "event_id", "text", "ref").select("event_id", "has_time", F.size(e).alias("n"), e[0]["text"].alias("phrase"), F.concat_ws(" ", F.element_at(e, -1)["start"], F.element_at(e, -1)["end"]).alias("last"))

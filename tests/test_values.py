@@ -4,8 +4,7 @@ import json
 import random
 
 from colloquy.functions import models, parsing
-from colloquy.functions import temporal as t
-from colloquy.operators import diagnosis, evidence, graph, ingest, joins, provenance
+from colloquy.operators import diagnosis, evidence, graph, ingest, joins, phrases, provenance
 from colloquy.sources import cache, sinks, tables
 
 
@@ -67,12 +66,13 @@ def test_strict_records_of_broken_text(spark):
 def test_hints_and_rewritten_columns(spark):
     rows = [(1, "met last Tuesday and Last  Tuesday", "2023-03-09 15:47:00"), (2, None, "2023-03-09 15:47:00"), (3, "yesterday", None), (4, "before July 4, 2023 at 13 am", "2023-03-09 15:47:00")]
     df = spark.createDataFrame(rows, "k int, t string, r string").selectExpr("k", "t", "cast(r as timestamp) as r")
-    assert sorted(map(tuple, t.hints(df, "k", "t", "r").collect())) == [(1, "last  tuesday", "2023-03-07"), (1, "last tuesday", "2023-03-07"), (4, "before july 4, 2023", "before 2023-07-04")]
-    got = {r.k: (r.a, r.b) for r in df.select("k", t.rewritten("t", "r").alias("a"), t.augmented("t", "r").alias("b")).collect()}
+    assert sorted(map(tuple, phrases.hints(df, "k", "t", "r").collect())) == [(1, "last  tuesday", "2023-03-07"), (1, "last tuesday", "2023-03-07"), (4, "before july 4, 2023", "before 2023-07-04")]
+    got = {r.k: (r.question, r.augmented) for r in phrases.augmented(phrases.rewritten(df, "k", "t", "r"), "k", "t", "r").collect()}
     assert got[1][0] == "met on 2023-03-07 and on 2023-03-07" and got[2] == (None, None) and got[3] == ("yesterday", "yesterday")
     assert got[4][1] == "before July 4, 2023 [DATE: before 2023-07-04] at 13 am"
-    found = t.detect("from last week until 2023-02-30", __import__("datetime").datetime(2023, 3, 9))
-    assert found == {"has_time": True, "expressions": [{"text": "last week", "start": "2023-02-27", "end": "2023-03-05", "granularity": "week"}]}
+    one = spark.createDataFrame([(1, "from last week until 2023-02-30", "2023-03-09")], "k int, t string, r string").selectExpr("k", "t", "cast(r as timestamp) as r")
+    found = phrases.detected(one, "k", "t", "r").first()
+    assert found.has_time and [tuple(e) for e in found.expressions] == [("last week", "2023-02-27", "2023-03-05", "week")]
 
 
 def test_operators_used_by_no_query(spark):
