@@ -119,9 +119,11 @@ def flips_within(rows: DataFrame, key: str, before: str, after: str, a: int, b:
 
 
 def merged_runs(parts: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of per-sample files, each of a key once; a key that the merged file holds comes from there."""
+    """Rows of per-sample files, each of a key once; a key that the merged file holds comes from there. Of several rows of a key the one that is smallest by its columns counts, whatever order they come in."""
     columns = merged.columns
-    return merged.unionByName(parts.select(*columns).join(merged.select(*keys), keys, "left_anti")).dropDuplicates(keys)
+    rest = [c for c in columns if c not in keys]
+    both = merged.unionByName(parts.select(*columns).join(merged.select(*keys), keys, "left_anti"))
+    return both.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*(F.col(c) if c in keys else F.col(f"_row.{c}") for c in columns))
 
 
 def first_and_last(records: DataFrame, key: str, order: str, first: list[str], last: list[str]) -> DataFrame:
