@@ -80,6 +80,11 @@ def pattern(form: str) -> str:
 PATTERNS = [pattern(form) for _, _, form in FORMS]
 #: What a text without any phrase lacks.
 TRIGGER = r"(?i)[0-9]|" + "|".join(["last|this|next|tonight|today|yesterday|tomorrow|recently|lately|ago|other day|week", *ANCHORS, *MONTHS, *SHORT_MONTHS, *SEASONS, *NUMBERS])
+#: For each form, in the order of FORMS, pieces of which a text has to hold one; where that is too little to go by, a pattern.
+HOLDS = (
+    ["before", "after", "since"], ["week"], "[0-9]{4}", "[0-9]", ["last", "this", "next"], ["yesterday", "tomorrow", "night"], ["night", "morning", "afternoon", "evening"], ["this", "night", "today", "yesterday", "tomorrow"],
+    ["last"], ["hour"], ["ago"], ["week"], ["weekend"], "[0-9]{4}|(?i)month", list(SEASONS), ["year"], ["recently", "lately", "other", "ago"],
+)
 _PHRASE = "array<struct<size: int, priority: int, start: int, stop: int, kind: string>>"
 
 
@@ -87,7 +92,17 @@ def phrases(rows: DataFrame, text: str, into: str = "phrases") -> DataFrame:
     """rows with the phrases of their text that do not overlap: an array of start, stop (in characters) and kind, in order. A null text has none."""
     some = F.coalesce(F.col(text).rlike(TRIGGER), F.lit(False))
     none = F.array().cast("array<string>")
-    cut = rows.withColumns({f"_m{i}": F.when(some, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for i, p in enumerate(PATTERNS)})
+    low = rows.withColumn("_low", F.lower(text))
+
+    def may(i: int) -> Column:
+        if isinstance(HOLDS[i], str):
+            return some & F.col(text).rlike(HOLDS[i])
+        held = F.lit(False)
+        for piece in HOLDS[i]:
+            held = held | F.contains("_low", F.lit(piece))
+        return some & held
+
+    cut = low.withColumns({f"_m{i}": F.when(may(i), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for i, p in enumerate(PATTERNS)}).drop("_low")
     empty = F.array().cast(_PHRASE)
 
     def found(i: int) -> Column:
