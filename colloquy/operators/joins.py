@@ -15,10 +15,13 @@ def lookup(rows: DataFrame, texts: DataFrame, key: str, text: str, most: int = 3
 
 
 def first_match(asked: DataFrame, key: str, steps: list[tuple[DataFrame, list[str]]], value: str) -> DataFrame:
-    """value of the first step whose equality join finds one (the smallest of several), with the step's number; null if none does."""
+    """value of the first step whose equality join finds one (the smallest of several), with the step's number; null if none does.
+
+    A table has one row for what is joined on before it is joined, so a common one does not multiply the rows that ask."""
     found = None
     for n, (table, on) in enumerate(steps, 1):
-        hit = asked.join(table.select(*on, value), on).groupBy(key).agg(F.min(value).alias(value)).withColumn("step", F.lit(n))
+        least = table.groupBy(*on).agg(F.min(value).alias(value))
+        hit = asked.join(least, on).groupBy(key).agg(F.min(value).alias(value)).withColumn("step", F.lit(n))
         found = hit if found is None else found.union(hit)
     best = found.withColumn("_b", F.min("step").over(Window.partitionBy(key))).filter("step = _b").drop("_b")
     return asked.select(key).distinct().join(best, key, "left")
