@@ -6,7 +6,9 @@ one of the higher priority. Each phrase is a row, and what it means is date arit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names and numbers in phrases, hours of day parts, days of fuzzy phrases.
@@ -72,52 +74,68 @@ def _sequence(parts: list[str], inside: bool) -> str:
     return f"(?:{there}|{_sequence(parts[1:], inside)})" if name.endswith("?") else there
 
 
+def _begins(parts: list[str]) -> set[str]:
+    """The characters that a sequence of parts can begin with; 0 for all digits."""
+    name = parts[0].lstrip("_~").rstrip("?")
+    if name in BUILT:
+        first = set().union(*(_begins(f.split()) for f in BUILT[name]))
+    elif name in MARKS:
+        first = {"0"}
+    else:
+        first = {w[0] for w in NUMBERS} | {"0"} if name == "number" else {w[0] for w in KINDS.get(name, [name])}
+    return first | (_begins(parts[1:]) if parts[0].endswith("?") else set())
+
+
 def pattern(form: str) -> str:
-    """A pattern for a form, as a phrase of its own: no letter, digit or underscore goes on at either side."""
-    return r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(_sequence(x.split(), False) for x in form.split("|")) + r")(?![\p{L}\p{N}_])"
+    """A pattern for a form in a text whose letters A to Z are small, as a phrase of its own: no letter, digit or underscore goes on at either side.
+    Where no phrase can begin it fails at the first character."""
+    ways = [x.split() for x in form.split("|")]
+    first = "".join(sorted(set().union(*(_begins(x) for x in ways)))).replace("0", "0-9")
+    return f"(?=[{first}])" + r"(?<![\p{L}\p{N}_])(?:" + "|".join(_sequence(x, False) for x in ways) + r")(?![\p{L}\p{N}_])"
 
 
 PATTERNS = [pattern(form) for _, _, form in FORMS]
 #: What a text without any phrase lacks.
-TRIGGER = r"(?i)[0-9]|" + "|".join(["last|this|next|tonight|today|yesterday|tomorrow|recently|lately|ago|other day|week", *ANCHORS, *MONTHS, *SHORT_MONTHS, *SEASONS, *NUMBERS])
+TRIGGER = "[0-9]|" + "|".join(["last|this|next|tonight|today|yesterday|tomorrow|recently|lately|ago|other day|week", *ANCHORS, *MONTHS, *SHORT_MONTHS, *SEASONS, *NUMBERS])
 #: For each form, in the order of FORMS, pieces of which a text has to hold one; where that is too little to go by, a pattern.
 HOLDS = (
     ["before", "after", "since"], ["week"], "[0-9]{4}", "[0-9]", ["last", "this", "next"], ["yesterday", "tomorrow", "night"], ["night", "morning", "afternoon", "evening"], ["this", "night", "today", "yesterday", "tomorrow"],
-    ["last"], ["hour"], ["ago"], ["week"], ["weekend"], "[0-9]{4}|(?i)month", list(SEASONS), ["year"], ["recently", "lately", "other", "ago"],
+    ["last"], ["hour"], ["ago"], ["week"], ["weekend"], "[0-9]{4}|month", list(SEASONS), ["year"], ["recently", "lately", "other", "ago"],
 )
 _PHRASE = "array<struct<size: int, priority: int, start: int, stop: int, kind: string>>"
 
 
 def phrases(rows: DataFrame, text: str, into: str = "phrases") -> DataFrame:
     """rows with the phrases of their text that do not overlap: an array of start, stop (in characters) and kind, in order. A null text has none."""
-    some = F.coalesce(F.col(text).rlike(TRIGGER), F.lit(False))
     none = F.array().cast("array<string>")
-    low = rows.withColumn("_low", F.lower(text))
+    # small letters one for one, so that places stay what they are
+    low = rows.withColumn("_low", F.translate(text, ascii_uppercase, ascii_lowercase)).withColumn("_some", F.coalesce(F.col("_low").rlike(TRIGGER), F.lit(False)))
 
     def may(i: int) -> Column:
         if isinstance(HOLDS[i], str):
-            return some & F.col(text).rlike(HOLDS[i])
+            return F.col("_some") & F.col("_low").rlike(HOLDS[i])
         held = F.lit(False)
         for piece in HOLDS[i]:
             held = held | F.contains("_low", F.lit(piece))
-        return some & held
+        return F.col("_some") & held
 
-    cut = low.withColumns({f"_m{i}": F.when(may(i), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for i, p in enumerate(PATTERNS)}).drop("_low")
+    cut = low.withColumns({f"_m{i}": F.when(may(i), F.regexp_extract_all("_low", F.lit(p), F.lit(0))).otherwise(none) for i, p in enumerate(PATTERNS)}).drop("_some")
     empty = F.array().cast(_PHRASE)
 
     def found(i: int) -> Column:
+        """Matches with their places: what stands between them is split off once, and one pass adds up the lengths."""
         kind, priority, _ = FORMS[i]
-        m, gaps = F.col(f"_m{i}"), F.split(text, PATTERNS[i], -1)
-        total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.char_length(x))
+        steps = F.zip_with(F.split("_low", PATTERNS[i], -1), F.col(f"_m{i}"), lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("size")))
 
-        def one(n: Column) -> Column:
-            start = total(gaps, n) + total(m, n - 1)
-            size = F.char_length(F.get(m, n - 1))
-            return F.struct((-size).alias("size"), F.lit(-priority).alias("priority"), start.alias("start"), (start + size).alias("stop"), F.lit(kind).alias("kind"))
+        def one(so_far: Column, x: Column) -> Column:
+            start = so_far["at"] + x["gap"]
+            phrase = F.struct((-x["size"]).alias("size"), F.lit(-priority).alias("priority"), start.alias("start"), (start + x["size"]).alias("stop"), F.lit(kind).alias("kind"))
+            return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["size"].isNull(), so_far["list"]).otherwise(F.array_append(so_far["list"], phrase)).alias("list"))
 
-        return F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(1), F.size(m)), one)).otherwise(empty)
+        placed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("list")), one, lambda x: x["list"])
+        return F.when(F.size(f"_m{i}") > 0, placed).otherwise(empty)
 
-    every = cut.withColumn("_all", F.array_sort(F.concat(*(found(i) for i in range(len(FORMS)))))).drop(*(f"_m{i}" for i in range(len(FORMS))))
+    every = cut.withColumn("_all", F.array_sort(F.concat(*(found(i) for i in range(len(FORMS)))))).drop("_low", *(f"_m{i}" for i in range(len(FORMS))))
     apart = F.aggregate("_all", empty, lambda kept, s: F.when(F.exists(kept, lambda x: (s["start"] < x["stop"]) & (s["stop"] > x["start"])), kept).otherwise(F.array_append(kept, s)))
     chosen = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     return every.withColumn(into, F.when(F.size("_all") > 0, F.array_sort(chosen)).otherwise(F.array().cast("array<struct<start: int, stop: int, kind: string>>"))).drop("_all")
@@ -155,7 +173,9 @@ def spans(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     status: resolved, invalid (there is no such day or time) or partially_resolved (a bound whose phrase is neither). A bound has one open end. Rows without a text or a
     reference time have no phrases. Keys need not be unique here.
     """
-    each = phrases(rows.filter(F.col(ref).isNotNull()).select(key, F.col(text).alias("_text"), F.col(ref).cast("timestamp").alias("_ref")), "_text").select(key, "_text", "_ref", F.posexplode("phrases").alias("n", "_p"))
+    each = phrases(rows.filter(F.col(ref).isNotNull()).select(key, F.col(text).alias("_text"), F.col(ref).cast("timestamp").alias("_ref")), "_text")
+    # the outer form: before the other one Spark filters by the size of the array, with the whole search for phrases once more in that filter
+    each = each.select(key, "_text", "_ref", F.posexplode_outer("phrases").alias("n", "_p")).filter("n is not null")
     said = F.substr(F.col("_text"), F.col("_p.start") + 1, F.col("_p.stop") - F.col("_p.start"))
     each = each.select(key, "n", "_ref", said.alias("text"), "_p.start", "_p.stop", F.col("_p.kind").alias("category")).withColumn("_t", F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
     bound = F.col("category") == "boundary"
@@ -260,8 +280,9 @@ def _spliced(text: Column, parts: Column) -> Column:
 
 
 def _with_parts(rows: DataFrame, said: DataFrame, key: str, text: str, into: str) -> DataFrame:
-    parts = said.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "say"))).alias("_parts"))
-    return rows.join(parts, key, "left").withColumn(into, F.when(F.col("_parts").isNull(), F.col(text)).otherwise(_spliced(F.col(text), F.col("_parts")))).drop("_parts")
+    """said: start, stop, say; what says nothing (null) stays as it is. It is left out of the lists: as a filter it would be pushed below all that works out a phrase, and do that twice."""
+    parts = said.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("say").isNotNull(), F.struct("start", "stop", "say")))).alias("_parts"))
+    return rows.join(parts, key, "left").withColumn(into, F.when(F.size("_parts") > 0, _spliced(F.col(text), F.col("_parts"))).otherwise(F.col(text))).drop("_parts")
 
 
 #: Words after which a date needs none before it.
@@ -270,31 +291,33 @@ LEADS = "on in at by from until since before after during".split()
 
 def rewritten(rows: DataFrame, key: str, text: str, ref: str, into: str = "question") -> DataFrame:
     """rows (unique keys) with the text in which resolved relative phrases stand as dates, with "on", "in" or "during" before them unless such a word is there. Written dates and bounds stay."""
-    found = spans(rows, key, text, ref).filter("status = 'resolved' and category not in ('absolute_date', 'boundary')").join(rows.select(key, F.col(text).alias("_whole")), key)
+    found = spans(rows, key, text, ref).join(rows.select(key, F.col(text).alias("_whole")), key)
     led = F.substr(F.col("_whole"), F.lit(1), F.col("start")).rlike(rf"(?i)\b(?:{'|'.join(LEADS)})\s+$")
     lead = F.when(led, "").when(F.col("granularity") == "day", "on ").when(F.col("granularity").isin("month", "year", "season"), "in ").when(F.col("granularity").isin("week", "weekend"), "during ").otherwise("")
-    return _with_parts(rows, found.select(key, "start", "stop", F.concat(lead, "display").alias("say")), key, text, into)
+    counts = (F.col("status") == "resolved") & ~F.col("category").isin("absolute_date", "boundary")
+    return _with_parts(rows, found.select(key, "start", "stop", F.when(counts, F.concat(lead, "display")).alias("say")), key, text, into)
 
 
 def augmented(rows: DataFrame, key: str, text: str, ref: str, into: str = "augmented") -> DataFrame:
     """rows (unique keys) with the text and a typed marker after each resolved phrase."""
-    found = spans(rows, key, text, ref).filter("status = 'resolved'")
+    found = spans(rows, key, text, ref)
     kind = F.when(F.col("granularity") == "time", "TIME").when(F.col("granularity") == "day", "DATE").otherwise("TIMESPAN")
     marker = F.concat(F.lit(" ["), kind, F.lit(": "), F.col("display"), F.lit("]"))
-    return _with_parts(rows, found.select(key, F.col("stop").alias("start"), "stop", marker.alias("say")), key, text, into)
+    return _with_parts(rows, found.select(key, F.col("stop").alias("start"), "stop", F.when(F.col("status") == "resolved", marker).alias("say")), key, text, into)
 
 
 def hints(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     """key, phrase, display: the first resolved phrase of each lower-case form per key, with its date."""
-    found = spans(rows, key, text, ref).filter("status = 'resolved'").select(key, "n", F.lower("text").alias("phrase"), "display")
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy(key, "phrase").orderBy("n"))).filter("_n = 1").select(key, "phrase", "display")
+    first = F.min(F.when(F.col("status") == "resolved", F.struct("n", "display")))
+    found = spans(rows, key, text, ref).groupBy(key, F.lower("text").alias("phrase")).agg(first.alias("_first")).filter("_first is not null")
+    return found.select(key, "phrase", "_first.display")
 
 
 def detected(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     """The older form: key, has_time, expressions (text, first and last day, granularity of each resolved phrase, in order), for every row (unique keys)."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     one = F.struct("n", "text", day("since").alias("start"), day("until").alias("end"), "granularity")
-    found = spans(rows, key, text, ref).filter("status = 'resolved'").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), x["granularity"].alias("granularity"))).alias("expressions"))
+    found = spans(rows, key, text, ref).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == "resolved", one))), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), x["granularity"].alias("granularity"))).alias("expressions"))
     out = rows.select(key).join(found, key, "left")
     none = F.array().cast("array<struct<text: string, start: string, end: string, granularity: string>>")
-    return out.select(key, F.col("expressions").isNotNull().alias("has_time"), F.coalesce("expressions", none).alias("expressions"))
+    return out.select(key, (F.coalesce(F.size("expressions"), F.lit(0)) > 0).alias("has_time"), F.coalesce("expressions", none).alias("expressions"))

@@ -1,8 +1,10 @@
 """What a step passes on must not grow faster than its input: figures of the plan's nodes after a run."""
 
+from datetime import datetime
+
 import pytest
 
-from colloquy.operators import joins
+from colloquy.operators import joins, phrases
 
 
 @pytest.fixture
@@ -35,3 +37,24 @@ def test_common_keys_of_a_lookup_do_not_multiply_rows(plain):
     rows, sizes = figures(joins.first_match(asked, "k", [(one, ["a"]), (two, ["b"])], "v"), "numOutputRows")
     assert {r.k: (r.v, r.step) for r in rows} == {k: (40, 1) if k % 7 == 1 else (None, 1) if k % 7 == 2 else (900, 2) for k in range(300)}
     assert max(sizes) < 1000
+
+
+@pytest.mark.parametrize("form", ["spans", "rewritten", "augmented", "hints", "detected"])
+def test_phrases_are_sought_once(spark, form):
+    df = spark.createDataFrame([(1, "met last Monday, 3 weeks ago or in June 2024", datetime(2024, 7, 1))], "id int, text string, ref timestamp")
+    found = getattr(phrases, form)(df, "id", "text", "ref")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # found, split off and, behind a bound, told apart
+    assert all(plan.count(p) <= 3 for p in phrases.PATTERNS) and plan.count("Generate ") == 1
+    assert found.count()
+
+
+def test_phrases_in_texts_with_capitals_and_marks(spark):
+    texts = {1: "LAST MONDAY İ; 3 Weeks AGO 😀 the Week After 2024-06-03", 2: "last MONTH" * 2 + " TODAY today", 3: "today, " * 500}
+    df = spark.createDataFrame([(k, t, datetime(2024, 7, 3)) for k, t in texts.items()], "id int, text string, ref timestamp")
+    got = {}
+    for r in phrases.spans(df, "id", "text", "ref").orderBy("id", "n").collect():
+        assert texts[r.id][r.start : r.stop] == r.text
+        got.setdefault(r.id, []).append((r.text, r.display))
+    assert got[1] == [("LAST MONDAY", "2024-07-01"), ("3 Weeks AGO", "2024-06-12"), ("the Week After 2024-06-03", "week of 2024-06-10")]
+    assert got[2] == [("TODAY", "2024-07-03"), ("today", "2024-07-03")] and got[3] == [("today", "2024-07-03")] * 500
