@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.sources import store
+
 #: Queries that are sent to tasks at a time, and corpus rows that a task multiplies with them at a time.
 BLOCK, SLICE = 4096, 512
 
@@ -35,15 +37,13 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", ve
     """qid, id, score (cosine, six decimals), rank: the k nearest corpus rows of each query, ties by id.
 
     Up to `block` queries are sent to tasks: a task multiplies them with SLICE corpus rows at a time, keeps the k best of each query, and
-    passes those on at its end, so the shuffle holds k rows a query and task. More queries stay where they are and meet the
-    corpus through an index (see vector_index). The threshold is applied after the k are chosen.
+    passes those on at its end, so the shuffle holds k rows a query and task. More queries stay where they are, equal
+    ones ask once, and they meet the different vectors of the corpus through an index (see vector_index). The threshold is applied after the k are chosen.
     Null, zero and incomplete vectors, and those of another length, are nobody's neighbour.
     """
     asked = queries.select(F.col(key).cast("long").alias("qid"), F.col(vector).alias("v"))
     if asked.limit(block + 1).count() > block:
-        from colloquy.operators import vector_index
-
-        return vector_index.top_k(queries, corpus, k, key, vector, threshold, skip_self)
+        return _of_different(asked, corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), k, threshold, skip_self, block)
     rows = asked.orderBy("qid").toArrow()
     ok, q = _matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())))
     ids = rows.column("qid").to_numpy()[ok] if len(ok) else np.zeros(0, np.int64)
@@ -53,6 +53,28 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", ve
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 
+def _of_different(asked: DataFrame, corpus: DataFrame, k: int, threshold: float | None, skip_self: bool, block: int) -> DataFrame:
+    """top_k of many queries (qid, v) against corpus (id, v): equal vectors ask once, and only their smallest ids can be among the k nearest, as ties go by id."""
+    from colloquy.operators import vector_index
+
+    # one more, which is left out where it is the query itself
+    most = k + int(skip_self)
+    first = corpus.filter("v is not null and id is not null").withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("_n") <= most).select("id", "v")
+    known = asked.filter("v is not null and qid is not null")
+    of = store.written(known.join(known.groupBy("v").agg(F.min("qid").alias("like")), "v").select("qid", "like", "v"), "alike")
+    different = of.filter("qid = like").dropDuplicates(["like"]).select("like", "v")
+    if different.limit(block + 1).count() > block:
+        near = vector_index.top_k(different, first.withColumnRenamed("id", "like"), most, "like", "v", None, False)
+    else:
+        near = top_k(different, first.withColumnRenamed("id", "like"), most, "like", "v", None, False, block)
+    found = of.select("qid", "like").join(near.select(F.col("qid").alias("like"), "id", "score"), "like").drop("like")
+    if skip_self:
+        found = found.filter("qid <> id")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "id", "score", "rank")
+    return best if threshold is None else best.filter(F.col("score") >= threshold)
+
+
 def _nearest(ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the k best so far, by query: query, id, score

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import parsing as ps
 from colloquy.functions import text as tx
-from colloquy.operators import agent, bm25, evaluation, evidence, ingest, knn, ranking
+from colloquy.operators import agent, evaluation, evidence, ingest, knn, ranking
 from colloquy.plans.catalogue import query
 from colloquy.plans.retrieval import COSINE, _near, letters, sql_letters, sql_tokens
 from colloquy.sources import sinks, store
@@ -71,9 +71,7 @@ def resolution_candidates(spark, sf_dir):
     """Known parts for new names: those that share most words, then the nearest by vector that are not among them."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate"), "p_name")
     new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).join(p.withColumnRenamed("candidate", "id"), "id").select("id", F.concat(F.lit("old "), "p_name").alias("name"))
-    mine, theirs = new.select("id", F.explode(tx.content_terms(F.col("name"))).alias("w")), p.select("candidate", F.explode(tx.content_terms(F.col("p_name"))).alias("w"))
-    common = mine.join(theirs, "w").groupBy("id", "candidate").agg(F.count("*").cast("double").alias("score"))
-    lexical = bm25.top(common, "id", "candidate", 3)
+    lexical = ingest.most_shared(new.select("id", tx.content_terms(F.col("name")).alias("w")), p.select("candidate", tx.content_terms(F.col("p_name")).alias("w")), "w", 3)
     dense = knn.top_k(new.select(F.col("id").alias("vec_id"), letters(F.col("name")).alias("embedding")), p.select(F.col("candidate").alias("vec_id"), letters(F.col("p_name")).alias("embedding")), 4, skip_self=False)
     return ingest.similar_candidates(new, lexical, dense.select(F.col("qid").alias("id"), F.col("id").alias("candidate")))
 

@@ -1,10 +1,11 @@
 """What a step passes on must not grow faster than its input: figures of the plan's nodes after a run."""
 
+import random
 from datetime import datetime
 
 import pytest
 
-from colloquy.operators import joins, phrases
+from colloquy.operators import ingest, joins, knn, phrases
 
 
 @pytest.fixture
@@ -58,3 +59,37 @@ def test_phrases_in_texts_with_capitals_and_marks(spark):
         got.setdefault(r.id, []).append((r.text, r.display))
     assert got[1] == [("LAST MONDAY", "2024-07-01"), ("3 Weeks AGO", "2024-06-12"), ("the Week After 2024-06-03", "week of 2024-06-10")]
     assert got[2] == [("TODAY", "2024-07-03"), ("today", "2024-07-03")] and got[3] == [("today", "2024-07-03")] * 500
+
+
+def test_shared_words_against_all_pairs(plain):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    pick = lambda: rng.sample(words, rng.choice([0, 1, 2, 3, 3, 9, 11]))
+    new, known = {i: pick() for i in range(60)}, {i: pick() for i in range(200)}
+    a = plain.createDataFrame(list(new.items()), "id int, w array<string>")
+    b = plain.createDataFrame(list(known.items()), "candidate int, w array<string>")
+    want = set()
+    for i, w in new.items():
+        shared = sorted((-len({*w} & {*v}), c) for c, v in known.items() if {*w} & {*v})
+        want |= {(i, c, float(-n)) for n, c in shared[:3]}
+    assert {tuple(r) for r in ingest.most_shared(a, b, "w", 3).collect()} == want
+
+
+def test_common_words_do_not_multiply_candidates(plain):
+    a = plain.range(500).selectExpr("id", "array('old', 'plate', concat('x', id % 2)) as w")
+    b = plain.range(500).selectExpr("id as candidate", "array('plate', 'old', concat('y', id % 2)) as w")
+    rows, sizes = figures(ingest.most_shared(a, b, "w", 3), "numOutputRows")
+    assert sorted(map(tuple, rows)) == [(i, c, 2.0) for i in range(500) for c in range(3)]
+    assert max(sizes) <= 2000
+
+
+def test_equal_vectors_of_many_queries(spark):
+    rng = random.Random(4)
+    vectors = [[float(rng.randint(0, 2)) for _ in range(3)] for _ in range(12)] + [None, [0.0, 0.0, 0.0]]
+    rows = [(i, vectors[rng.randrange(14)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for skip_self in (True, False):
+        whole = knn.top_k(df, df, 4, skip_self=skip_self, threshold=0.5).collect()
+        for block in (4, 100):
+            many = knn.top_k(df, df, 4, skip_self=skip_self, threshold=0.5, block=block).collect()
+            assert sorted(map(tuple, many)) == sorted(map(tuple, whole)) and many
