@@ -5,8 +5,10 @@ The text is read and split once; postings are written, and everything after read
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from colloquy.sources import store
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Most asked terms that are sent to tasks; more are joined.
 SENT_TERMS = 200_000
+#: Asked terms beyond which scores are summed where the postings of a document lie; sums that a task then holds at a time; most blocks of queries made for that.
+FEW_TERMS, SUMS, BLOCKS = 10_000, 3_000_000, 16
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -65,14 +69,36 @@ class Index:
     def scores(self, queries: DataFrame, query_key: str, query_text: str, split: Callable[[Column], Column] = tx.tokens) -> DataFrame:
         """query_key, key, score of all pairs that share a term; a repeated query term counts each time. Only postings of asked terms leave their task."""
         asked = queries.select(query_key, F.explode(split(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+        n_asked = asked.count()
+        if n_asked > FEW_TERMS:
+            return self._scores_of_many(asked, query_key, n_asked)
         terms = asked.select("term").distinct()
-        small = asked.count() <= SENT_TERMS
+        small = n_asked <= SENT_TERMS
         hit = self.posted.join(F.broadcast(terms) if small else terms, "term", "left_semi")
         stored = self.df.join(F.broadcast(terms) if small else terms, "term", "left_semi") if self.df is not None else document_frequency(hit)
         idf = stored.select("term", self.weight(F.col("df")).alias("idf"))
         wanted = asked.join(idf, "term")
+        return self._summed(hit.join(F.broadcast(wanted) if small else wanted, "term"), query_key)
+
+    def _summed(self, met: DataFrame, query_key: str) -> DataFrame:
         gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
-        return hit.join(F.broadcast(wanted) if small else wanted, "term").groupBy(query_key, self.key).agg(F.round(F.sum(gain), 6).alias("score"))
+        return met.groupBy(query_key, self.key).agg(F.round(F.sum(gain), 6).alias("score"))
+
+    def _scores_of_many(self, asked: DataFrame, query_key: str, n_asked: int) -> DataFrame:
+        """scores of many queries, whose pairs with documents are far more than the postings. Only these are shuffled, by document, and blocks of queries are sent to them:
+        a pair is summed in the task that holds its document, and top leaves k rows a query and task before anything else is shuffled."""
+        asked = store.written(asked, "asked")
+        terms = asked.groupBy("term").agg(F.count("*").alias("qf"))
+        sent = terms.select("term")
+        hit = self.posted.join(F.broadcast(sent) if n_asked <= SENT_TERMS else sent, "term", "left_semi").select(self.key, "dl", "term", "tf")
+        stored = self.df if self.df is not None else document_frequency(hit)
+        known = store.written(terms.join(stored, "term").select("term", (F.col("qf") * F.col("df")).alias("pairs"), self.weight(F.col("df")).alias("idf")), "weights")
+        pairs = known.agg(F.sum("pairs").alias("n")).first().n or 0
+        cores = asked.sparkSession.sparkContext.defaultParallelism
+        blocks = max(math.ceil(n_asked / SENT_TERMS), min(BLOCKS, math.ceil(pairs / SUMS / cores)), 1)
+        rows = hit.repartition(max(cores, math.ceil(pairs / SUMS / blocks)), self.key)
+        wanted = store.written(asked.join(known.select("term", "idf"), "term").withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(blocks))), "wanted")
+        return reduce(DataFrame.union, (self._summed(rows.join(F.broadcast(wanted.filter(F.col("_b") == b)), "term"), query_key) for b in range(blocks)))
 
 
 def opened(posted: DataFrame, key: str) -> Index:

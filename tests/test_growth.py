@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from colloquy.operators import ingest, joins, knn, phrases
+from colloquy.operators import bm25, ingest, joins, knn, phrases
 
 
 @pytest.fixture
@@ -93,3 +93,21 @@ def test_equal_vectors_of_many_queries(spark):
         for block in (4, 100):
             many = knn.top_k(df, df, 4, skip_self=skip_self, threshold=0.5, block=block).collect()
             assert sorted(map(tuple, many)) == sorted(map(tuple, whole)) and many
+
+
+def test_scores_of_many_queries_are_summed_in_place(plain, tmp_path, monkeypatch):
+    plain.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plain.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(5)
+    df = plain.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"word{chr(97 + i % 7)}"]) for _ in range(6))) for i in range(120)], "id long, text string")
+    index, asked = bm25.build(df, "id", "text"), df.withColumnRenamed("id", "q")
+    want = sorted(map(tuple, index.scores(asked, "q", "text").collect()))
+    monkeypatch.setattr(bm25, "FEW_TERMS", 0)
+    for sums, sent in ((3_000_000, 200_000), (500, 100)):
+        monkeypatch.setattr(bm25, "SUMS", sums)
+        monkeypatch.setattr(bm25, "SENT_TERMS", sent)
+        found = index.scores(asked, "q", "text")
+        assert sorted(map(tuple, found.collect())) == want and want
+        rows, moved = figures(bm25.top(found, "q", "id", 2), "shuffleRecordsWritten")
+        assert len(rows) == 240 and max(moved) < len(want) / 2
+    plain.conf.unset("spark.sql.autoBroadcastJoinThreshold")
