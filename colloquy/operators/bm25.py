@@ -36,14 +36,16 @@ def postings(docs: DataFrame, key: str, text: str, split: Callable[[Column], Col
 
 def _posted(docs: DataFrame, key: str, fields: list[str], split: Callable[[Column], Column], lengths: bool) -> DataFrame:
     """key, field, dl, term, tf of each field in one pass over docs; lengths: and one row a document and field without a term."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.array_sort(split(F.col(f))).alias("terms")) for f in fields)))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.sort_array(split(F.col(f))).alias("terms")) for f in fields)))
     rows = spread(docs.select(key, *fields)).select(key, each.alias("_f")).select(key, "_f.field", "_f.terms", F.size("_f.terms").alias("dl"))
-    # where a run of equal words begins, counted from 1
-    begins = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
-    runs = rows.withColumn("begins", F.when(F.col("dl") > 0, begins).otherwise(F.array().cast("array<int>")))
-    counted = F.transform("begins", lambda s, n: F.struct(F.get("terms", s - 1).alias("term"), (F.coalesce(F.get("begins", n + 1), F.col("dl") + 1) - s).cast("long").alias("tf")))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")))
-    return runs.select(key, "field", "dl", F.inline(F.concat(none, counted) if lengths else counted))
+    # where a run of equal words begins, and where the next one does
+    begins = F.filter(F.transform("terms", lambda x, i: F.when((i == 0) | (F.get("terms", i - 1) != x), i)), lambda i: i.isNotNull())
+    runs = rows.withColumn("begins", begins)
+    every = F.arrays_zip(F.col("begins").alias("start"), F.slice("begins", 2, 1 << 30).alias("next"))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("next")))
+    each_run = runs.select(key, "field", "dl", "terms", F.explode(F.concat(none, every) if lengths else every).alias("_r"))
+    tf = F.when(F.col("_r.start").isNotNull(), F.coalesce("_r.next", "dl") - F.col("_r.start")).cast("long")
+    return each_run.select(key, "field", "dl", F.get("terms", "_r.start").alias("term"), tf.alias("tf"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -52,14 +54,16 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Stored postings (key, dl, term, tf; one row a document without a term), the number of documents, their mean length, and the mean raw frequency weight of all terms."""
+    """Stored postings (key, dl, term, tf; one row a document without a term), the number of documents, their mean length, the mean raw frequency weight of all terms,
+    and the documents that each term is in. gone: keys whose postings of generations before `_gone` do not count."""
 
     posted: DataFrame
     key: str
     n: int
     avgdl: float
     mean: float
-    df: DataFrame | None = None  # term, df, where it is stored
+    df: DataFrame  # term, df, stored
+    gone: DataFrame | None = None  # key, _gone; the postings have gen then
 
     def weight(self, df: Column) -> Column:
         """Inverse frequency; a negative one becomes EPSILON times the mean over the vocabulary."""
@@ -74,12 +78,16 @@ class Index:
             return self._scores_of_many(asked, query_key, n_asked)
         terms = asked.select("term").distinct()
         small = n_asked <= SENT_TERMS
-        hit = self.posted.join(F.broadcast(terms) if small else terms, "term", "left_semi")
-        stored = self.df.join(F.broadcast(terms) if small else terms, "term", "left_semi") if self.df is not None else document_frequency(hit)
-        idf = stored.select("term", self.weight(F.col("df")).alias("idf"))
-        wanted = asked.join(idf, "term")
+        stored = self.df.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+        wanted = asked.join(stored.select("term", self.weight(F.col("df")).alias("idf")), "term")
+        hit = self.posted if self.gone is None else self._counting(F.broadcast(terms) if small else terms)
         return self._summed(hit.join(F.broadcast(wanted) if small else wanted, "term"), query_key)
 
+    def _counting(self, terms: DataFrame) -> DataFrame:
+        """The postings of these terms that count; only they meet the keys that are gone."""
+        hit = self.posted.join(terms, "term", "left_semi")
+        return hit if self.gone is None else standing(hit, self.gone, self.key)
+
     def _summed(self, met: DataFrame, query_key: str) -> DataFrame:
         gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
         return met.groupBy(query_key, self.key).agg(F.round(F.sum(gain), 6).alias("score"))
@@ -90,9 +98,8 @@ class Index:
         asked = store.written(asked, "asked")
         terms = asked.groupBy("term").agg(F.count("*").alias("qf"))
         sent = terms.select("term")
-        hit = self.posted.join(F.broadcast(sent) if n_asked <= SENT_TERMS else sent, "term", "left_semi").select(self.key, "dl", "term", "tf")
-        stored = self.df if self.df is not None else document_frequency(hit)
-        known = store.written(terms.join(stored, "term").select("term", (F.col("qf") * F.col("df")).alias("pairs"), self.weight(F.col("df")).alias("idf")), "weights")
+        hit = self._counting(F.broadcast(sent) if n_asked <= SENT_TERMS else sent).select(self.key, "dl", "term", "tf")
+        known = store.written(terms.join(self.df, "term").select("term", (F.col("qf") * F.col("df")).alias("pairs"), self.weight(F.col("df")).alias("idf")), "weights")
         pairs = known.agg(F.sum("pairs").alias("n")).first().n or 0
         cores = asked.sparkSession.sparkContext.defaultParallelism
         blocks = max(math.ceil(n_asked / SENT_TERMS), min(BLOCKS, math.ceil(pairs / SUMS / cores)), 1)
@@ -101,12 +108,25 @@ class Index:
         return reduce(DataFrame.union, (self._summed(rows.join(F.broadcast(wanted.filter(F.col("_b") == b)), "term"), query_key) for b in range(blocks)))
 
 
+def standing(posted: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Postings with gen, without those of generations before the one that their key is gone from (key, _gone)."""
+    return posted.join(gone, key, "left").filter(F.col("_gone").isNull() | (F.col("gen") >= F.col("_gone"))).drop("_gone")
+
+
+def counted(posted: DataFrame) -> DataFrame:
+    """term, df, length: of the row without a term, the number of documents and their length."""
+    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+
+
 def opened(posted: DataFrame, key: str) -> Index:
-    """An index over stored postings: what is not stored is computed anew from them."""
-    whole = posted.filter("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    raw = F.log(F.lit(whole.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = document_frequency(posted).agg(F.avg(raw).alias("mean")).first().mean if whole.n else None
-    return Index(posted, key, whole.n, whole.avgdl or 1.0, mean or 0.0)
+    """An index over stored postings: what is not stored is computed anew, in one pass over them, and stored."""
+    terms = store.written(counted(posted), "postings-terms")
+    whole, df = terms.filter("term is null").first(), terms.filter("term is not null").select("term", "df")
+    if whole is None:
+        return Index(posted, key, 0, 1.0, 0.0, df)
+    raw = F.log(F.lit(whole.df) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = df.agg(F.avg(raw).alias("mean")).first().mean
+    return Index(posted, key, whole.df, whole.length / whole.df or 1.0, mean or 0.0, df)
 
 
 def build(docs: DataFrame, key: str, text: str, split: Callable[[Column], Column] = tx.tokens) -> Index:

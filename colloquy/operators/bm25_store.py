@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.operators import bm25
+from colloquy.sources import store
 
 #: Most changed keys that are sent to tasks to find their older postings; more are joined.
 SENT_KEYS = 200_000
@@ -29,6 +30,7 @@ class Stored:
         self.spark, self.path, self.key, self.split = spark, path.rstrip("/"), key, split
         self.schemas = {
             "postings": f"{key} {kind}, dl int, term string, tf long, gen int",
+            "documents": f"{key} {kind}, dl int, gen int",
             "gone": f"{key} {kind}, gen int",
             "frequencies": "term string, df long, gen int",
             "figures": "n long, length long, gen int",
@@ -49,14 +51,18 @@ class Stored:
         last = self.spark.read.schema(self.schemas["figures"]).parquet(f"{self.path}/figures").agg(F.max("gen")).first()[0]
         return -1 if last is None else last
 
+    def _gone(self, upto: int) -> DataFrame | None:
+        """key, _gone: the latest generation that took a key out or anew; None where none did."""
+        gone = self._read("gone", upto)
+        return gone.groupBy(self.key).agg(F.max("gen").alias("_gone")) if gone.limit(1).count() else None
+
+    def _standing(self, name: str, upto: int) -> DataFrame:
+        gone = self._gone(upto)
+        return self._read(name, upto) if gone is None else bm25.standing(self._read(name, upto), gone, self.key)
+
     def live(self) -> DataFrame:
         """The postings that count: those of each key's latest generation, if it was not removed."""
-        upto = self.generation()
-        last = self._read("gone", upto).groupBy(self.key).agg(F.max("gen").alias("_gone"))
-        rows = self._read("postings", upto)
-        if not self._read("gone", upto).limit(1).count():
-            return rows.drop("gen")
-        return rows.join(last, self.key, "left").filter(F.col("_gone").isNull() | (F.col("gen") >= F.col("_gone"))).drop("_gone", "gen")
+        return self._standing("postings", self.generation()).drop("gen")
 
     def put(self, docs: DataFrame, text: str) -> None:
         """Index new documents, and anew those whose key is there already. Of several rows of a key in docs that with the greatest text counts; those with a null key are passed over, a null text has no words."""
@@ -72,18 +78,27 @@ class Stored:
         upto = self.generation()
         gen = upto + 1
         self._write(posted, "postings", gen)
-        new = self.spark.read.schema(self.schemas["postings"]).parquet(f"{self.path}/postings").filter(F.col("gen") == gen)
-        keys = removed if removed is not None else new.filter("term is null").select(self.key)
-        old = new.limit(0)
+        at = lambda name: self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}").filter(F.col("gen") == gen)
+        new = at("postings")
+        self._write(new.filter("term is null"), "documents", gen)
+        keys = removed if removed is not None else at("documents").select(self.key)
+        counts = bm25.counted(new)
+        old = at("documents").limit(0)
         if upto >= 0:
+            # documents, not postings, tell which keys are there already
             few = keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS
-            old = self.live().join(F.broadcast(keys) if few else keys, self.key, "left_semi")
-        delta = lambda rows, by: rows.filter("term is not null").groupBy("term").agg((F.count("*") * by).alias("df"))
-        both = delta(new, 1).union(delta(old, -1)).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
-        size = lambda rows, by: rows.filter("term is null").agg((F.count("*") * by).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * by).alias("length"))
-        self._write(both, "frequencies", gen)
-        figures = size(new, 1).union(size(old, -1)).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
-        self._write(old.select(self.key).distinct(), "gone", gen)
+            old = self._standing("documents", upto).join(F.broadcast(keys) if few else keys, self.key, "left_semi")
+        old = old.select(self.key, F.col("gen").alias("_old"))
+        self._write(old.select(self.key), "gone", gen)
+        n_old = at("gone").count()
+        if n_old:
+            old = store.written(old, "replaced")
+            lost = self._read("postings", upto).join(F.broadcast(old) if n_old <= SENT_KEYS else old, self.key).filter("gen = _old")
+            less = bm25.counted(lost).select("term", (-F.col("df")).alias("df"), (-F.col("length")).alias("length"))
+            counts = counts.union(less).groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+        counts = store.written(counts, "changes")
+        self._write(counts.filter("term is not null and df <> 0"), "frequencies", gen)
+        figures = counts.filter("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
         self._write(self.spark.createDataFrame([(figures.n, figures.length)], "n long, length long"), "figures", gen)
 
     def index(self) -> bm25.Index:
@@ -91,10 +106,10 @@ class Stored:
         upto = self.generation()
         total = self._read("figures", upto).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
         n = total.n or 0
-        df = self._read("frequencies", upto).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        df = store.written(self._read("frequencies", upto).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"), "postings-terms")
         raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         mean = df.agg(F.avg(raw).alias("mean")).first().mean if n else None
-        return bm25.Index(self.live(), self.key, n, total.length / n if n and total.length else 1.0, mean or 0.0, df)
+        return bm25.Index(self._read("postings", upto), self.key, n, total.length / n if n and total.length else 1.0, mean or 0.0, df, self._gone(upto))
 
     def merged(self, path: str) -> Stored:
         """The same index below another path, in one generation: what scores read then is no more than what counts."""
