@@ -213,7 +213,7 @@ gold as (select distinct item_id, doc_id from ranked where rank % 3 = 1 and rank
 select k::int as k, count(g.doc_id) as hits, count(*) as kept, count(g.doc_id) / (select count(*) from gold) as recall, count(g.doc_id) / count(*) as precision
 from ranked r join k on r.rank <= k left join gold g on g.item_id = r.item_id and g.doc_id = r.doc_id group by k""")
 def topk_sweep(spark, sf_dir):
-    ranked = bm25.top(_scored(spark, sf_dir), "item_id", "doc_id", 32).select("item_id", "doc_id", "rank")
+    ranked = store.written(bm25.top(_scored(spark, sf_dir), "item_id", "doc_id", 32).select("item_id", "doc_id", "rank"), "ranked")
     return ranking.sweep_k(ranked, ranked.filter("rank % 3 = 1 and rank <= 12").select("item_id", "doc_id"), "item_id", "doc_id", "rank", [8, 12, 16, 24, 32])
 
 

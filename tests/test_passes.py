@@ -3,9 +3,12 @@
 from pyspark.sql import functions as F
 
 from colloquy.operators import bm25, bm25_store
+from colloquy.plans import retrieval
 from colloquy.sources import store
 from test_growth import figures, plain  # noqa: F401
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_only_postings_of_asked_terms_meet_the_keys_that_are_gone(plain, tmp_path, monkeypatch):  # noqa: F811
     plain.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -41,3 +44,7 @@ def test_frequencies_are_stored_once(spark):
     index = bm25.build(spark.createDataFrame([(1, "aword bword aword"), (2, None), (3, "bword")], "id long, body string"), "id", "body")
     assert index.df.inputFiles() and sorted(map(tuple, index.df.collect())) == [("aword", 1), ("bword", 2)]
     assert (index.n, round(index.avgdl, 9)) == (3, round(4 / 3, 9))
+
+
+def test_ranks_that_are_read_twice_are_stored(spark):
+    assert not any("postings-" in f for f in retrieval.topk_sweep(spark, SF).inputFiles())
