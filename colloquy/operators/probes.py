@@ -12,34 +12,38 @@ STEPS = {
 }
 
 
-def targets_by_step(gold: DataFrame, summaries: DataFrame, extracted: DataFrame, searched: DataFrame, filtered: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
-    """What is left of a case's targets after each step, each step a semi-join on what the one before has left.
+def targets(summed: DataFrame, extracted: DataFrame, searched: DataFrame, filtered: DataFrame, evidence: DataFrame, recovered: DataFrame) -> DataFrame:
+    """case, id of every target (what was extracted from a case's summed turns), with what the logs say of it: searched, above, within, evidence, recovered.
 
-    gold: case, sid; summaries: case, sid; extracted: case, sid, id; searched: case, id; filtered: case, id, above (threshold), within (top-k);
-    evidence: case, id. An id that no filter has judged was not cut.
+    All logs are grouped at once, so each is read once and its rows are moved once. An id that no filter has judged has null in above and within, as has one without an id.
     """
-    summed = gold.select("case", "sid").distinct().join(summaries, ["case", "sid"], "left_semi")
-    targets = extracted.join(summed, ["case", "sid"], "left_semi").select("case", "id").distinct()
-    pooled = targets.join(searched, ["case", "id"], "left_semi")
-    judged = filtered.groupBy("case", "id").agg(F.bool_and("above").alias("above"), F.bool_and("within").alias("within"))
-    cut = pooled.join(judged.filter(~(F.col("above") & F.col("within"))), ["case", "id"])
-    uncut = pooled.join(cut.select("case", "id"), ["case", "id"], "left_anti")
-    return {"gold": gold, "summary": summed, "extraction": targets, "pool": pooled, "cut": cut, "evidence": uncut.join(evidence, ["case", "id"], "left_semi")}
+    none, columns = F.lit(None).cast("boolean"), ("target", "searched", "above", "within", "evidence", "recovered")
+    told = lambda rows, **has: rows.select("case", "id", *(has.get(c, none).alias(c) for c in columns))
+    known = lambda rows: rows.filter(F.col("id").isNotNull())
+    every = told(extracted.join(summed, ["case", "sid"], "left_semi"), target=F.lit(True)).union(told(known(filtered), above=F.col("above"), within=F.col("within")))
+    for name, rows in (("searched", searched), ("evidence", evidence), ("recovered", recovered)):
+        every = every.union(told(known(rows), **{name: F.lit(True)}))
+    return every.groupBy("case", "id").agg(*(F.bool_and(c).alias(c) for c in columns)).filter("target").drop("target")
 
 
 def first_failing(cases: DataFrame, ingested: DataFrame, gold: DataFrame, summaries: DataFrame, extracted: DataFrame, searched: DataFrame, filtered: DataFrame, evidence: DataFrame, recovered: DataFrame) -> DataFrame:
     """case, step, cause of every case: the first step that fails it.
 
     ingested: case of those that went in; recovered: case, id of targets that came back after a cut. A case fails at the filter if any of its targets was cut there,
-    by threshold, top-k or both, and its cause says whether one of them was recovered. A log that lacks a case fails it at that step; see targets_by_step for the rest.
+    by threshold, top-k or both, and its cause says whether one of them was recovered. A log that lacks a case fails it at that step; see targets for the rest.
     """
-    left = targets_by_step(gold, summaries, extracted, searched, filtered, evidence)
-    back = left["cut"].join(recovered.select("case", "id").distinct().withColumn("back", F.lit(1)), ["case", "id"], "left")
-    cut = back.groupBy("case").agg(F.bool_or(~F.col("above")).alias("low"), F.bool_or(~F.col("within")).alias("late"), F.count("back").alias("back"))
+    summed = gold.select("case", "sid").distinct().join(summaries, ["case", "sid"], "left_semi")
+    gone = F.coalesce(F.col("searched") & ~(F.col("above") & F.col("within")), F.lit(False))
+    some = lambda x: F.bool_or(F.coalesce(x, F.lit(False)))
+    met = targets(summed, extracted, searched, filtered, evidence, recovered).withColumn("cut", gone)
+    steps = met.groupBy("case").agg(
+        F.lit(True).alias("_extraction"), F.bool_or("searched").alias("_pool"), F.when(some(F.col("searched") & ~F.col("cut") & F.col("evidence")), True).alias("_evidence"),
+        some(F.col("cut") & ~F.col("above")).alias("low"), some(F.col("cut") & ~F.col("within")).alias("late"), F.when(F.bool_or("cut"), F.count_if(F.col("cut") & F.col("recovered"))).alias("back"),
+    )
     told = cases.select("case").distinct().join(ingested.select("case").distinct().withColumn("_ingest", F.lit(True)), "case", "left")
-    for step in ("gold", "summary", "extraction", "pool", "evidence"):
-        told = told.join(left[step].select("case").distinct().withColumn(f"_{step}", F.lit(True)), "case", "left")
-    told = told.join(cut, "case", "left")
+    for step, rows in (("gold", gold), ("summary", summed)):
+        told = told.join(rows.select("case").distinct().withColumn(f"_{step}", F.lit(True)), "case", "left")
+    told = told.join(steps, "case", "left")
     first = F.when(F.col("_ingest").isNull(), "ingest")
     for step in ("gold", "summary", "extraction", "pool"):
         first = first.when(F.col(f"_{step}").isNull(), step)

@@ -27,7 +27,8 @@ select s.c as "case", step, case step when 'ingest' then 'ingest failed' when 'g
 def case_probes(spark, sf_dir):
     """Customers are cases, their urgent orders gold turns, what they sent back targets, and figures of the lines the logs."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case"), F.col("o_orderkey").alias("sid"), "o_orderpriority", "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "sid").withColumnRenamed("l_partkey", "id").join(o, "sid")
+    said = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sid"), F.col("l_partkey").alias("id"), "l_returnflag", "l_linestatus", "l_discount", "l_quantity", "l_tax")
+    lines = store.written(said.join(o.select("case", "sid"), "sid"), "lines")
     return probes.first_failing(
         c.select(F.col("c_custkey").alias("case")), c.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("case")), o.filter("o_orderpriority like '1%' or o_orderpriority like '2%'"), o.filter("o_orderstatus <> 'P'"),
         lines.filter("l_returnflag = 'R'").select("case", "sid", "id"), lines.filter("l_linestatus = 'F'").select("case", "id"),
