@@ -24,7 +24,7 @@ class Knowledge:
 
     entities: DataFrame  # id, name, type, description, mentioned_at, embedding
     names: bm25.Index  # over the entities, by id
-    relations: DataFrame  # id, src, dst, label, weight (0 to 1), embedding
+    relations: DataFrame  # id, src, dst, label, weight (0 to 1), embedding (equal labels have equal ones)
     sources: DataFrame  # id (of an entity), sid
     summaries: DataFrame  # sid, at, text, embedding
 
@@ -78,7 +78,10 @@ def related(asked: DataFrame, chosen: DataFrame, kb: Knowledge, plan: Plan, embe
         return by_node
     words = asked.select("question", F.explode(tx.content_terms(F.col("text"))).alias("word"))
     each = words.select("word").distinct().select(F.xxhash64("word").alias("vec_id"), embed(F.col("word")).alias("embedding"))
-    hits = knn.top_k(each, kb.relations.select(F.col("id").alias("vec_id"), "embedding"), plan.search.relation_topk, threshold=plan.search.relation_threshold, skip_self=False)
+    # of relations with one label only those with the smallest ids can be among the nearest, as ties go by id
+    place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+    first = kb.relations.filter("id is not null").select("id", "label", "embedding").withColumn("_n", place).filter(F.col("_n") <= plan.search.relation_topk)
+    hits = knn.top_k(each, first.select(F.col("id").alias("vec_id"), "embedding"), plan.search.relation_topk, threshold=plan.search.relation_threshold, skip_self=False)
     by_word = words.withColumn("qid", F.xxhash64("word")).join(hits, "qid").select("question", "id").distinct()
     both = by_node.join(by_word, ["question", "id"], "left_semi")
     return both.union(by_node.join(by_word.select("question").distinct(), "question", "left_anti"))

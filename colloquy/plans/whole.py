@@ -9,6 +9,7 @@ from colloquy.operators import bm25, contexts
 from colloquy.plans.catalogue import query
 from colloquy.plans.expanding import _bm25_sql
 from colloquy.plans.retrieval import letters, sql_letters, sql_tokens
+from colloquy.sources import store
 from colloquy.sources.tables import table
 
 PLAN = contexts.Plan(settings.Search(entity_topk=8, relation_topk=5), settings.Activation(hops=1), settings.Evidence(summary_topk=12, direct_topn=6, direct_least=0.5))
@@ -20,9 +21,10 @@ def knowledge(spark, sf_dir) -> contexts.Knowledge:
     none = F.lit(None).cast("string")
     entities = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("description"), none.alias("mentioned_at"), letters(F.col("p_name")).alias("embedding"))
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg((F.max("l_quantity") / 50).alias("weight"))
-    named = sold.join(p.select(F.col("p_partkey").alias("src"), F.col("p_name").alias("label")), "src")
-    relations = named.select((F.col("src") * 1_000_000 + F.col("dst")).alias("id"), "src", "dst", "label", "weight", letters(F.col("label")).alias("embedding"))
-    summaries = d.select(F.col("doc_id").alias("sid"), F.col("lang").alias("at"), "text", letters(F.col("text")).alias("embedding"))
+    named = sold.join(p.select(F.col("p_partkey").alias("src"), F.col("p_name").alias("label"), letters(F.col("p_name")).alias("embedding")), "src")
+    # several steps read the relations and the vectors of the documents, which are made once
+    relations = store.written(named.select((F.col("src") * 1_000_000 + F.col("dst")).alias("id"), "src", "dst", "label", "weight", "embedding"), "relations")
+    summaries = store.written(bm25.spread(d.select("doc_id", "lang", "text")).select(F.col("doc_id").alias("sid"), F.col("lang").alias("at"), "text", letters(F.col("text")).alias("embedding")), "summaries")
     return contexts.Knowledge(entities, bm25.build(p.select(F.col("p_partkey").alias("id"), "p_name"), "id", "p_name"), relations, p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("sid")), summaries)
 
 
