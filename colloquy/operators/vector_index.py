@@ -169,8 +169,8 @@ def build(corpus: DataFrame, path: str, key: str = "vec_id", vector: str = "embe
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(s[np.arange(len(s)), cell] if len(c) else np.full(len(s), -1.0))], names=["id", "v", "cell", "near"])
 
     placed = units.mapInArrow(assign, "id long, v binary, cell long, near double")
-    placed.select("id", "v", "cell").write.parquet(f"{path}/rows")
-    facts = placed.groupBy("cell").agg(F.min("near").alias("reach"), F.count("*").alias("size"))
+    placed.write.parquet(f"{path}/rows")
+    facts = spark.read.schema("cell long, near double").parquet(f"{path}/rows").groupBy("cell").agg(F.min("near").alias("reach"), F.count("*").alias("size"))
     made = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(c if len(c) else np.eye(1, width))], "cell long, centre binary")
     made.join(facts, "cell", "left").select("cell", "centre", F.coalesce("reach", F.lit(1.0)).alias("reach"), F.coalesce("size", F.lit(0)).cast("long").alias("size")).write.parquet(f"{path}/cells")
     return opened(spark, path)

@@ -235,7 +235,8 @@ LETTERS = [chr(c) for c in range(97, 123)]
 
 
 def letters(text):
-    return F.transform(F.array(*(F.lit(c) for c in LETTERS)), lambda c: (F.length(text) - F.length(F.replace(F.lower(text), c, F.lit("")))).cast("double"))
+    # without a lambda, so that a text is lowered once and not for each letter
+    return F.array(*((F.length(text) - F.length(F.replace(F.lower(text), F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
 
 
 def sql_letters(col: str) -> str:
@@ -249,6 +250,7 @@ r as (select *, row_number() over (partition by keyword order by score desc, id)
 select item_id, keyword, id, score, rank from w join r using (keyword) where rank <= 5 and score >= 0.5""")
 def keyword_vector_search(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), letters(F.col("p_name")).alias("embedding"))
+    p = store.written(bm25.spread(p), "letters")
     asked = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("keywords"))
     return vector_index.by_keyword(asked, vector_index.build(p, store.shared_dir(spark, "index")), "item_id", "keywords", letters, 5, 0.5)
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import bm25, bm25_store, probes
+from colloquy import settings
+from colloquy.operators import bm25, bm25_store, contexts, probes, vector_index
 from colloquy.plans import probing, retrieval
 from colloquy.sources import store
 from test_growth import figures, plain  # noqa: F401
@@ -63,3 +64,34 @@ def test_logs_of_probes_are_read_once_and_moved_once(spark):
     assert not any("lineitem" in f for f in plan.inputFiles())
     # one grouping of all logs by case and id
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [case#") <= 8
+
+
+def test_vectors_of_an_index_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embed(i):
+        made.add(1)
+        return [float(i % 7 + 1), float(i % 5)]
+
+    corpus = store.written(spark.range(300).select(F.col("id").alias("vec_id"), embed("id").alias("embedding")), "letters")
+    index = vector_index.build(corpus, store.shared_dir(spark, "index"))
+    assert made.value == 300 and index.size.sum() == 300
+    # a text is lowered once, not for each letter
+    seen = spark.createDataFrame([("Aab z",), ("",), (None,)], "t string").select(retrieval.letters(F.col("t")).alias("v"))
+    assert "lambda" not in seen._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.v for r in seen.collect()]
+    assert (got[0][:2], got[0][25], sum(got[0])) == ([2.0, 1.0], 1.0, 4.0) and got[1:] == [[0.0] * 26, [None] * 26]
+
+
+def test_relations_of_one_label_are_not_all_compared(spark, monkeypatch):
+    none, seen = F.lit(None).cast("string"), []
+    relations = spark.range(400).select("id", (F.col("id") + 1).alias("src"), (F.col("id") + 2).alias("dst"), F.concat(F.lit("car "), F.col("id") % 2).alias("label"), F.lit(1.0).alias("weight")).withColumn("embedding", retrieval.letters(F.col("label")))
+    kb = contexts.Knowledge(spark.range(0).select("id", none.alias("name")), None, relations, spark.range(0), spark.range(0))
+    plan = contexts.Plan(settings.Search(relation_topk=3))
+    asked = spark.createDataFrame([(1, "car")], "question long, text string")
+    chosen = spark.range(402).select(F.lit(1).cast("long").alias("question"), "id")
+    top_k = contexts.knn.top_k
+    monkeypatch.setattr(contexts.knn, "top_k", lambda q, corpus, *a, **k: seen.append(corpus.count()) or top_k(q, corpus, *a, **k))
+    assert sorted(r.id for r in contexts.related(asked, chosen, kb, plan, retrieval.letters).collect()) == [0, 1, 2]
+    assert seen == [6]
