@@ -1,5 +1,8 @@
 import datetime as dt
 import random
+import types
+
+import pandas as pd
 
 from colloquy.streaming import logs, ordered
 
@@ -69,3 +72,95 @@ def test_late_and_missing_partners(spark, tmp_path):
     whole = logs.partnered(spark.createDataFrame(sum(asks, []), REQUEST), spark.createDataFrame(sum(says, []), ANSWER), "request_id")
     on_a_table = [*(r for r in got if r[0] != "q3"), ("q3", "dropped as late"), ("q6", None)]
     assert sorted(((r.what, r.answer_said) for r in whole.collect()), key=str) == sorted(on_a_table, key=str)
+
+
+class Kept(dict):
+    """State of one key that counts what is asked of it."""
+
+    calls = 0
+    due: set = set()  # timers
+
+    def __init__(self):
+        Kept.calls, Kept.due = 0, set()
+
+    def _counted(self, value=None):
+        Kept.calls += 1
+        return value
+
+    exists = lambda self: self._counted("v" in self)
+    getValueState = getMapState = lambda self, *_: Kept()
+    registerTimer = lambda self, ms: self._counted(Kept.due.add(ms))
+    get = lambda self, *_: self._counted(self["v"])
+    update = lambda self, v: self._counted(self.__setitem__("v", v))
+    containsKey = lambda self, k: self._counted(k in self)
+    getValue = lambda self, k: self._counted(self[k])
+    updateValue = lambda self, k, v: self._counted(self.__setitem__(k, v))
+    removeKey = lambda self, k: self._counted(self.__delitem__(k))
+    iterator = lambda self: self._counted(iter(list(self.items())))
+
+
+def kept():
+    p = ordered.Ingest(86_400_000)
+    p.init(Kept())
+    return p
+
+
+def plain(frames):
+    return [tuple(None if pd.isna(v) else v for v in r) for f in frames for r in f.itertuples(index=False)]
+
+
+def came(p, *turns):
+    rows = pd.DataFrame([(c, t, T0 + dt.timedelta(seconds=s), names) for c, t, s, names in turns], columns=["conv_id", "turn", "ts", "names"])
+    return plain(p.handleInputRows((1,), iter([rows]), None))
+
+
+def expired(p, s):
+    now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: int((T0 + dt.timedelta(seconds=s)).replace(tzinfo=dt.UTC).timestamp() * 1000))
+    return plain(p.handleExpiredTimer((1,), now, None))
+
+
+def by_hand(turns):
+    seen, out = {}, []
+    for c, t, _, names in turns:
+        for n in names or []:
+            first, last, k = seen.get(n, (t, None, 0))
+            seen[n] = (first, t, k + 1)
+            out.append((c, t, n, "UPDATE" if k else "ADD", k + 1, first, last))
+    return out
+
+
+def test_state_is_asked_by_conversation_not_by_mention():
+    calls = {}
+    for per_turn in (5, 50):
+        p, asked = kept(), []
+        given = [(1, t, t, [f"n{(7 * t + i) % 90}" for i in range(per_turn)]) for t in range(120)]
+        for part in (given[:60], given[60:][::-1]):
+            Kept.calls = 0
+            assert came(p, *part) == by_hand(given)[len(asked) :][: 60 * per_turn]
+            asked += [0] * 60 * per_turn
+            calls[per_turn, len(asked) // per_turn] = Kept.calls
+        assert len(Kept.due) == 2 and len(p.waiting) == 0
+    assert max(calls.values()) <= 8 and calls[5, 60] == calls[50, 60] and calls[5, 120] == calls[50, 120]
+
+
+def test_many_entities_are_split_into_blocks_that_are_asked_once():
+    p, rng = kept(), random.Random(5)
+    given = [(1, t, t, sorted(rng.sample([f"n{i}" for i in range(5_000)], 40)) if t % 9 else None) for t in range(400)]
+    got = [r for n in range(0, 400, 50) for r in came(p, *given[n : n + 50])]
+    assert got == by_hand(given)
+    size = p.place["v"][-1]
+    assert size == len({n for *_, names in given for n in names or []}) > 4_000 and len(p.entities) == 32
+    Kept.calls = 0
+    assert came(p, (1, 400, 400, ["n1"])) == by_hand([*given, (1, 400, 400, ["n1"])])[-1:]
+    assert Kept.calls <= 6  # one block of 32
+
+
+def test_turns_that_wait_are_taken_before_a_later_one_that_is_due():
+    p = kept()
+    assert came(p, (1, 0, 0, ["a"]), (1, 2, 500, ["a"]), (1, 3, 20, ["b"]), (1, 6, 30, ["a"]), (1, 9, 900, ["a"])) == [(1, 0, "a", "ADD", 1, 0, None)]
+    assert came(p, (1, 2, 1, ["again"])) == [] and expired(p, 10) == []
+    due = [(1, 2, "a", "UPDATE", 2, 0, 0), (1, 3, "b", "ADD", 1, 3, None), (1, 6, "a", "UPDATE", 3, 0, 2)]
+    assert expired(p, 40) == due and sorted(p.waiting) == [(9,)] and p.place["v"][2] == 1
+    assert expired(p, 40) == [] and came(p, (1, 1, 50, ["late"])) == []
+    assert came(p, (1, 8, 60, ["b"]), (1, 7, 60, ["b"])) == [(1, 7, "b", "UPDATE", 2, 3, 3), (1, 8, "b", "UPDATE", 3, 3, 7), (1, 9, "a", "UPDATE", 4, 0, 6)]
+    assert not p.waiting and p.place["v"][2] == 0
