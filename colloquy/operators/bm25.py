@@ -10,8 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions import text as tx
 from colloquy.sources import store
@@ -21,6 +25,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SENT_TERMS = 200_000
 #: Asked terms beyond which scores are summed where the postings of a document lie; sums that a task then holds at a time; most blocks of queries made for that.
 FEW_TERMS, SUMS, BLOCKS = 10_000, 3_000_000, 16
+#: Postings and asked terms that a task holds where only the best of many queries are sought.
+HELD_POSTINGS, HELD_ASKED = 3_000_000, 2_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -72,10 +78,40 @@ class Index:
 
     def scores(self, queries: DataFrame, query_key: str, query_text: str, split: Callable[[Column], Column] = tx.tokens) -> DataFrame:
         """query_key, key, score of all pairs that share a term; a repeated query term counts each time. Only postings of asked terms leave their task."""
-        asked = queries.select(query_key, F.explode(split(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+        asked = _asked(queries, query_key, query_text, split)
         n_asked = asked.count()
         if n_asked > FEW_TERMS:
             return self._scores_of_many(asked, query_key, n_asked)
+        return self._scores_of_few(asked, query_key, n_asked)
+
+    def best(self, queries: DataFrame, query_key: str, query_text: str, k: int, split: Callable[[Column], Column] = tx.tokens) -> DataFrame:
+        """query_key, key, score, rank: the k best of each query, ties by key, as top of the scores. The pairs of many queries are no rows: documents and queries meet in blocks,
+        a task sums one query at a time over its documents, and k rows a query and block leave it."""
+        asked = _asked(queries, query_key, query_text, split)
+        n_asked = asked.count()
+        if n_asked <= FEW_TERMS:
+            return top(self._scores_of_few(asked, query_key, n_asked), query_key, self.key, k)
+        asked = store.written(asked, "asked")
+        terms = self.df.join(asked.select("term").distinct(), "term", "left_semi")
+        known = store.written(terms.select("term", "df", self.weight(F.col("df")).alias("idf"), F.monotonically_increasing_id().alias("no")), "weights")
+        size = known.agg(F.count("*").alias("terms"), F.sum("df").alias("postings")).first()
+        blocks = max(2 * asked.sparkSession.sparkContext.defaultParallelism, math.ceil((size.postings or 0) / HELD_POSTINGS))
+        parts = math.ceil(n_asked / HELD_ASKED)
+        sent = F.broadcast(known) if size.terms <= SENT_TERMS else known
+        hit = self.posted.join(sent, "term")
+        hit = hit if self.gone is None else standing(hit, self.gone, self.key)
+        block, part = F.pmod(F.xxhash64(self.key), F.lit(blocks)), F.pmod(F.xxhash64(query_key), F.lit(parts))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        cell = (F.col("_block") * parts + F.col("_part")).alias("cell")
+        docs = hit.select(F.col(self.key).alias("key"), "no", self._gain().alias("gain"), block.alias("_block"), every(parts).alias("_part")).select(cell, "key", "no", "gain")
+        wanted = asked.join(sent, "term").select(F.col(query_key).alias("query"), F.col("no").alias("term"), F.col("qtf").cast("double").alias("qtf"), part.alias("_part"), every(blocks).alias("_block")).select(cell, "query", "term", "qtf")
+        out = T.StructType([T.StructField(query_key, wanted.schema["query"].dataType), T.StructField(self.key, docs.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+        # by number, or Spark would join cells that are small in bytes, though long in work
+        met = (x.repartition(2 * blocks * parts, "cell").groupBy("cell") for x in (docs, wanted))
+        found = next(met).cogroup(next(met)).applyInArrow(_best_of(k, out.fieldNames()), out)
+        return top(found.withColumn("score", F.round("score", 6)), query_key, self.key, k)
+
+    def _scores_of_few(self, asked: DataFrame, query_key: str, n_asked: int) -> DataFrame:
         terms = asked.select("term").distinct()
         small = n_asked <= SENT_TERMS
         stored = self.df.join(F.broadcast(terms) if small else terms, "term", "left_semi")
@@ -88,9 +124,12 @@ class Index:
         hit = self.posted.join(terms, "term", "left_semi")
         return hit if self.gone is None else standing(hit, self.gone, self.key)
 
+    def _gain(self) -> Column:
+        """What a term that is asked once adds to the score of a document."""
+        return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
+
     def _summed(self, met: DataFrame, query_key: str) -> DataFrame:
-        gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
-        return met.groupBy(query_key, self.key).agg(F.round(F.sum(gain), 6).alias("score"))
+        return met.groupBy(query_key, self.key).agg(F.round(F.sum(F.col("qtf") * self._gain()), 6).alias("score"))
 
     def _scores_of_many(self, asked: DataFrame, query_key: str, n_asked: int) -> DataFrame:
         """scores of many queries, whose pairs with documents are far more than the postings. Only these are shuffled, by document, and blocks of queries are sent to them:
@@ -108,6 +147,65 @@ class Index:
         return reduce(DataFrame.union, (self._summed(rows.join(F.broadcast(wanted.filter(F.col("_b") == b)), "term"), query_key) for b in range(blocks)))
 
 
+def _asked(queries: DataFrame, query_key: str, query_text: str, split: Callable[[Column], Column]) -> DataFrame:
+    return queries.select(query_key, F.explode(split(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+
+
+def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """For each value its place among the different ones in order, and these; a null comes first, as in Spark."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary, null_placement="at_start")
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return place[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _best_of(k: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of postings (key, no, gain) and one of asked terms (query, term, qtf) of one cell: the k best documents of each query, ties as the rounded scores have them."""
+
+    def best(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        doc, keys = _numbered(docs["key"])
+        query, queries = _numbered(asked["query"])
+        no, gain = docs["no"].to_numpy(), docs["gain"].to_numpy()
+        order = np.lexsort((doc, no))
+        doc, no, gain = doc[order], no[order], gain[order]
+        once = np.flatnonzero(np.concatenate([[True], (no[1:] != no[:-1]) | (doc[1:] != doc[:-1])])[: len(no)])
+        if len(once) < len(no):  # a key that several documents have
+            doc, no, gain = doc[once], no[once], np.add.reduceat(gain, once)
+        terms, starts = np.unique(no, return_index=True)
+        stops = np.append(starts[1:], len(no))
+        term = np.searchsorted(terms, asked["term"].to_numpy())
+        here = np.flatnonzero(np.append(terms, -1)[term] == asked["term"].to_numpy())
+        here = here[np.lexsort((term[here], query[here]))]
+        query, term, qtf = query[here], term[here], asked["qtf"].to_numpy()[here]
+        begins = np.flatnonzero(np.diff(query, prepend=-1))
+        plain = bool((gain > 0).all())
+        score = np.zeros(-(-max(len(keys), 1) // 64) * 64)
+        groups = score.reshape(64, -1)
+        found = []
+        for a, z in zip(begins, np.append(begins[1:], len(query)), strict=True):
+            score[:] = 0
+            places = [slice(starts[t], stops[t]) for t in term[a:z]]
+            for p, n in zip(places, qtf[a:z], strict=True):
+                score[doc[p]] += gain[p] * n
+            if not plain:  # a score may be 0 or less
+                met = np.zeros(len(score), bool)
+                for p in places:
+                    met[doc[p]] = True
+                score[~met] = -np.inf
+            # k groups have a document as good as the k-th best of their maxima
+            tops = groups.max(axis=0)
+            least = np.partition(tops, -k)[-k] if len(tops) >= k else -np.inf
+            near = np.flatnonzero(score >= least - 2e-6)
+            near = near[score[near] > (0 if plain else -np.inf)]
+            near = near[np.argsort(-np.round(score[near], 6), kind="stable")[:k]]
+            found.append((np.full(len(near), query[a]), near, score[near]))
+        q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table([queries.take(pa.array(q)), keys.take(pa.array(d)), pa.array(s)], names=names)
+
+    return best
+
+
 def standing(posted: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Postings with gen, without those of generations before the one that their key is gone from (key, _gone)."""
     return posted.join(gone, key, "left").filter(F.col("_gone").isNull() | (F.col("gen") >= F.col("_gone"))).drop("_gone")

@@ -153,7 +153,7 @@ def bm25_two_fields(spark, sf_dir):
 @query(f"with asked as (select q, term, count(*) as qtf from (select conv_id as q, unnest({sql_tokens('text')}) as term from conversations where turn = 0) group by all), {_bm25_sql('a', 'conv_id * 1000 + turn', 'text', 'conversations', 'asked')} select q, id, score, rank from (select *, row_number() over (partition by q order by score desc, id) as rank from a_sc) where rank <= 5")
 def bm25_over_turns(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("q"), "turn", "text")
-    return bm25.top(bm25.scores(t.filter("turn = 0"), "q", "text", t, "id", "text"), "q", "id", 5)
+    return bm25.build(t, "id", "text").best(t.filter("turn = 0"), "q", "text", 5)
 
 
 @query(f"with {BM25} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored) where rank <= 5")

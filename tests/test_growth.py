@@ -111,3 +111,30 @@ def test_scores_of_many_queries_are_summed_in_place(plain, tmp_path, monkeypatch
         rows, moved = figures(bm25.top(found, "q", "id", 2), "shuffleRecordsWritten")
         assert len(rows) == 240 and max(moved) < len(want) / 2
     plain.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_best_of_many_queries_make_no_pairs(plain, tmp_path, monkeypatch):
+    plain.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plain.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = [" ".join(rng.choice([*words, f"word{chr(97 + i % 7)}"]) for _ in range(6)) for i in range(200)]
+    # copies, keys that several documents have, no key, no text, and a word in half of the documents and one in more, whose weights are 0 and less than others
+    rows = [(i // 2 if i > 190 else i, t + " half" * (i % 2) + " most" * (i % 3 > 0)) for i, t in enumerate([*texts, *texts[:40]])] + [(None, "alpha beta"), (500, None), (501, "half"), (502, "")]
+    df = plain.createDataFrame(rows, "id long, text string")
+    index, asked = bm25.build(df, "id", "text"), df.filter("id is null or id % 2 = 0 or id > 498").withColumnRenamed("id", "q")
+    for k in (3, 90):
+        monkeypatch.setattr(bm25, "FEW_TERMS", 10_000)
+        want = sorted(map(tuple, bm25.top(index.scores(asked, "q", "text"), "q", "id", k).collect()), key=str)
+        monkeypatch.setattr(bm25, "FEW_TERMS", 0)
+        for held in (3_000_000, 150):
+            monkeypatch.setattr(bm25, "HELD_POSTINGS", held)
+            monkeypatch.setattr(bm25, "HELD_ASKED", held)
+            found = index.best(asked, "q", "text", k)
+            assert sorted(map(tuple, found.collect()), key=str) == want and want
+    pairs = index.scores(asked, "q", "text").count()
+    monkeypatch.setattr(bm25, "HELD_POSTINGS", 3_000_000)
+    monkeypatch.setattr(bm25, "HELD_ASKED", 2_000_000)
+    _, sizes = figures(index.best(asked, "q", "text", 1), "numOutputRows")
+    assert max(sizes) < pairs
+    plain.conf.unset("spark.sql.autoBroadcastJoinThreshold")
