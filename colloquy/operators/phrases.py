@@ -1,7 +1,8 @@
 """Phrases of time in texts: found, resolved at a reference time, rewritten and marked, in expressions.
 
 Rules are a table of forms; each becomes one pattern that Spark runs over the texts. Of overlapping phrases the longest stays, then the
-one of the higher priority. Each phrase is a row, and what it means is date arithmetic on that row.
+one of the higher priority. Each phrase is a row, and what it means is date arithmetic on that row. A text that many rows have is worked out once
+a reference day (a reference time, if it speaks of hours), and its rows join what it means.
 """
 
 from __future__ import annotations
@@ -102,14 +103,15 @@ HOLDS = (
     ["before", "after", "since"], ["week"], "[0-9]{4}", "[0-9]", ["last", "this", "next"], ["yesterday", "tomorrow", "night"], ["night", "morning", "afternoon", "evening"], ["this", "night", "today", "yesterday", "tomorrow"],
     ["last"], ["hour"], ["ago"], ["week"], ["weekend"], "[0-9]{4}|month", list(SEASONS), ["year"], ["recently", "lately", "other", "ago"],
 )
+#: What matches are set apart by, and what stands in its place in texts: characters of private use, alike to all patterns.
+APART, ALIKE = "\ue000", "\ue001"
 _PHRASE = "array<struct<size: int, priority: int, start: int, stop: int, kind: string>>"
 
 
 def phrases(rows: DataFrame, text: str, into: str = "phrases") -> DataFrame:
     """rows with the phrases of their text that do not overlap: an array of start, stop (in characters) and kind, in order. A null text has none."""
-    none = F.array().cast("array<string>")
     # small letters one for one, so that places stay what they are
-    low = rows.withColumn("_low", F.translate(text, ascii_uppercase, ascii_lowercase)).withColumn("_some", F.coalesce(F.col("_low").rlike(TRIGGER), F.lit(False)))
+    low = rows.withColumn("_low", F.translate(text, ascii_uppercase + APART, ascii_lowercase + ALIKE)).withColumn("_some", F.coalesce(F.col("_low").rlike(TRIGGER), F.lit(False)))
 
     def may(i: int) -> Column:
         if isinstance(HOLDS[i], str):
@@ -119,21 +121,22 @@ def phrases(rows: DataFrame, text: str, into: str = "phrases") -> DataFrame:
             held = held | F.contains("_low", F.lit(piece))
         return F.col("_some") & held
 
-    cut = low.withColumns({f"_m{i}": F.when(may(i), F.regexp_extract_all("_low", F.lit(p), F.lit(0))).otherwise(none) for i, p in enumerate(PATTERNS)}).drop("_some")
     empty = F.array().cast(_PHRASE)
+    # a pattern runs once over a text; split by a pattern would compile it for every row
+    cut = low.withColumns({f"_m{i}": F.when(may(i), F.regexp_replace("_low", F.lit(p), F.lit(f"{APART}$0{APART}"))) for i, p in enumerate(PATTERNS)}).drop("_some")
 
     def found(i: int) -> Column:
-        """Matches with their places: what stands between them is split off once, and one pass adds up the lengths."""
+        """Matches with their places: every second piece is one, and one pass adds up the lengths."""
         kind, priority, _ = FORMS[i]
-        steps = F.zip_with(F.split("_low", PATTERNS[i], -1), F.col(f"_m{i}"), lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("size")))
+        pieces = F.transform(F.split(f"_m{i}", APART, -1), lambda x, j: F.struct(F.char_length(x).alias("size"), (j % 2 == 1).alias("is")))
 
         def one(so_far: Column, x: Column) -> Column:
-            start = so_far["at"] + x["gap"]
-            phrase = F.struct((-x["size"]).alias("size"), F.lit(-priority).alias("priority"), start.alias("start"), (start + x["size"]).alias("stop"), F.lit(kind).alias("kind"))
-            return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["size"].isNull(), so_far["list"]).otherwise(F.array_append(so_far["list"], phrase)).alias("list"))
+            start, stop = so_far["at"], so_far["at"] + x["size"]
+            phrase = F.struct((-x["size"]).alias("size"), F.lit(-priority).alias("priority"), start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"))
+            return F.struct(stop.alias("at"), F.when(x["is"], F.array_append(so_far["list"], phrase)).otherwise(so_far["list"]).alias("list"))
 
-        placed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("list")), one, lambda x: x["list"])
-        return F.when(F.size(f"_m{i}") > 0, placed).otherwise(empty)
+        placed = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("list")), one, lambda x: x["list"])
+        return F.when(F.contains(f"_m{i}", F.lit(APART)), placed).otherwise(empty)
 
     every = cut.withColumn("_all", F.array_sort(F.concat(*(found(i) for i in range(len(FORMS)))))).drop("_low", *(f"_m{i}" for i in range(len(FORMS))))
     apart = F.aggregate("_all", empty, lambda kept, s: F.when(F.exists(kept, lambda x: (s["start"] < x["stop"]) & (s["stop"] > x["start"])), kept).otherwise(F.array_append(kept, s)))
@@ -167,17 +170,34 @@ def written_date(t: Column) -> Column:
     )
 
 
+#: What the phrases of a text depend on.
+SAME = ["_text", "_at"]
+
+
+def _marked(rows: DataFrame, text: str, ref: str) -> DataFrame:
+    """rows with their text and the time that its phrases go by: the day of the reference time, or that itself where hours are spoken of."""
+    at = F.col(ref).cast("timestamp")
+    return rows.withColumns({"_text": F.col(text), "_at": F.when(F.contains(F.lower(text), F.lit("hour")), at).otherwise(F.date_trunc("day", at))})
+
+
 def spans(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     """key, n, text, start, stop, category, status, granularity, since, until, operator, display: a row a phrase, resolved at the reference time of its row; n counts them.
 
     status: resolved, invalid (there is no such day or time) or partially_resolved (a bound whose phrase is neither). A bound has one open end. Rows without a text or a
     reference time have no phrases. Keys need not be unique here.
     """
-    each = phrases(rows.filter(F.col(ref).isNotNull()).select(key, F.col(text).alias("_text"), F.col(ref).cast("timestamp").alias("_ref")), "_text")
+    marked = _marked(rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(ref).alias("_at")), "_text", "_at")
+    found = marked.join(_said_in(marked), SAME)
+    return found.select(F.col("_key").alias(key), "n", "text", "start", "stop", "category", "status", "granularity", "since", "until", "operator", "display")
+
+
+def _said_in(marked: DataFrame) -> DataFrame:
+    """The phrases of each different text and time, as in spans, with these in place of a key."""
+    each = phrases(marked.select(*SAME).filter(F.col("_text").isNotNull() & F.col("_at").isNotNull()).distinct(), "_text")
     # the outer form: before the other one Spark filters by the size of the array, with the whole search for phrases once more in that filter
-    each = each.select(key, "_text", "_ref", F.posexplode_outer("phrases").alias("n", "_p")).filter("n is not null")
+    each = each.select(*SAME, F.posexplode_outer("phrases").alias("n", "_p")).filter("n is not null")
     said = F.substr(F.col("_text"), F.col("_p.start") + 1, F.col("_p.stop") - F.col("_p.start"))
-    each = each.select(key, "n", "_ref", said.alias("text"), "_p.start", "_p.stop", F.col("_p.kind").alias("category")).withColumn("_t", F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
+    each = each.select(*SAME, "n", said.alias("text"), "_p.start", "_p.stop", F.col("_p.kind").alias("category")).withColumn("_t", F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
     bound = F.col("category") == "boundary"
     each = each.withColumn("operator", F.when(bound, F.substring_index("_t", " ", 1))).withColumn("_t", F.when(bound, F.regexp_replace("_t", "^[a-z]+ ", "")).otherwise(F.col("_t")))
     inner = F.lit(None).cast("string")
@@ -185,7 +205,7 @@ def spans(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
         inner = F.when(F.col("_t").rlike(f"^{p}$"), kind).otherwise(inner)
     each = each.withColumn("_kind", F.when(bound, inner).otherwise(F.col("category")))
 
-    t, kind, at, words = F.col("_t"), F.col("_kind"), F.col("_ref"), F.split("_t", " ")
+    t, kind, at, words = F.col("_t"), F.col("_kind"), F.col("_at"), F.split("_t", " ")
     today = at.cast("date")
     monday = F.date_sub(today, F.weekday(today))
     which, word = words[0], lambda i: F.get(words, F.lit(i))
@@ -251,10 +271,10 @@ def spans(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     granularity = granularity.when(kind == "weekend", "weekend").when(kind == "month_point", "month").when(kind == "season_point", "season").when(kind == "year_point", "year").when(kind.isin("absolute_time", "relative_hour"), "time").otherwise("range")
     plain = F.when(F.col("_a") == F.col("_b"), iso("_a")).otherwise(F.concat(iso("_a"), F.lit(" to "), iso("_b")))
     display = F.when(kind == "week_point", F.concat(F.lit("week of "), iso("_a"))).when(kind == "weekend", F.concat(F.lit("weekend of "), iso("_a"))).when(kind == "month_point", F.date_format("_a", "yyyy-MM")).when(kind == "season_point", F.concat_ws(" ", season_name, seasons["y"].cast("string")))
-    display = display.when(kind == "year_point", F.date_format("_a", "yyyy")).when(day_parts, F.concat(part, F.lit(" of "), iso("_at"))).when(kind.isin("absolute_time", "relative_hour"), F.date_format("_at", "yyyy-MM-dd HH:mm")).otherwise(plain)
-    done = each.withColumn("_a", first).withColumn("_b", F.coalesce(until, F.col("_a"))).withColumn("_at", moment)
-    begin = F.coalesce("_at", midnight(F.col("_a")))
-    end = F.coalesce("_at", midnight(F.date_add("_b", 1)) - F.expr("interval 1 microsecond"))
+    display = display.when(kind == "year_point", F.date_format("_a", "yyyy")).when(day_parts, F.concat(part, F.lit(" of "), iso("_moment"))).when(kind.isin("absolute_time", "relative_hour"), F.date_format("_moment", "yyyy-MM-dd HH:mm")).otherwise(plain)
+    done = each.withColumn("_a", first).withColumn("_b", F.coalesce(until, F.col("_a"))).withColumn("_moment", moment)
+    begin = F.coalesce("_moment", midnight(F.col("_a")))
+    end = F.coalesce("_moment", midnight(F.date_add("_b", 1)) - F.expr("interval 1 microsecond"))
     good = begin.isNotNull()
     micro = F.expr("interval 1 microsecond")
     since = F.when(F.col("operator") == "after", end + micro).when(F.col("operator") == "before", F.lit(None).cast("timestamp")).otherwise(begin)
@@ -262,7 +282,7 @@ def spans(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     status = F.when(good, "resolved").when(F.col("operator").isNotNull(), "partially_resolved").otherwise("invalid")
     shown = F.when(F.col("operator").isNotNull(), F.concat_ws(" ", "operator", display)).otherwise(display)
     out = done.withColumns({"status": status, "granularity": F.when(good, granularity), "since": F.when(good, since), "until": F.when(good, stop), "display": F.when(good, shown)})
-    return out.select(key, "n", "text", "start", "stop", "category", "status", "granularity", "since", "until", "operator", "display")
+    return out.select(*SAME, "n", "text", "start", "stop", "category", "status", "granularity", "since", "until", "operator", "display")
 
 
 def _cascade(kind: Column, by: dict[str, Column]) -> Column:
@@ -279,10 +299,12 @@ def _spliced(text: Column, parts: Column) -> Column:
     return F.concat(F.array_join(pieces, ""), F.substr(text, F.coalesce(F.element_at(parts, -1)["stop"], F.lit(0)) + 1))
 
 
-def _with_parts(rows: DataFrame, said: DataFrame, key: str, text: str, into: str) -> DataFrame:
-    """said: start, stop, say; what says nothing (null) stays as it is. It is left out of the lists: as a filter it would be pushed below all that works out a phrase, and do that twice."""
-    parts = said.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("say").isNotNull(), F.struct("start", "stop", "say")))).alias("_parts"))
-    return rows.join(parts, key, "left").withColumn(into, F.when(F.size("_parts") > 0, _spliced(F.col(text), F.col("_parts"))).otherwise(F.col(text))).drop("_parts")
+def _with_parts(rows: DataFrame, marked: DataFrame, said: DataFrame, text: str, into: str) -> DataFrame:
+    """said: a text and its time, start, stop, say; what says nothing (null) stays as it is. It is left out of the lists: as a filter it would be pushed below all that works out a phrase, and do that twice."""
+    parts = said.groupBy(*SAME).agg(F.sort_array(F.collect_list(F.when(F.col("say").isNotNull(), F.struct("start", "stop", "say")))).alias("_parts"))
+    new = parts.select(*SAME, F.when(F.size("_parts") > 0, _spliced(F.col("_text"), F.col("_parts"))).alias("_new"))
+    out = marked.join(new, SAME, "left").withColumn("_new", F.coalesce("_new", F.col(text)))
+    return out.select(*(F.col(c) for c in rows.columns if c != into), F.col("_new").alias(into))
 
 
 #: Words after which a date needs none before it.
@@ -291,25 +313,27 @@ LEADS = "on in at by from until since before after during".split()
 
 def rewritten(rows: DataFrame, key: str, text: str, ref: str, into: str = "question") -> DataFrame:
     """rows (unique keys) with the text in which resolved relative phrases stand as dates, with "on", "in" or "during" before them unless such a word is there. Written dates and bounds stay."""
-    found = spans(rows, key, text, ref).join(rows.select(key, F.col(text).alias("_whole")), key)
-    led = F.substr(F.col("_whole"), F.lit(1), F.col("start")).rlike(rf"(?i)\b(?:{'|'.join(LEADS)})\s+$")
+    marked = _marked(rows, text, ref)
+    led = F.substr(F.col("_text"), F.lit(1), F.col("start")).rlike(rf"(?i)\b(?:{'|'.join(LEADS)})\s+$")
     lead = F.when(led, "").when(F.col("granularity") == "day", "on ").when(F.col("granularity").isin("month", "year", "season"), "in ").when(F.col("granularity").isin("week", "weekend"), "during ").otherwise("")
     counts = (F.col("status") == "resolved") & ~F.col("category").isin("absolute_date", "boundary")
-    return _with_parts(rows, found.select(key, "start", "stop", F.when(counts, F.concat(lead, "display")).alias("say")), key, text, into)
+    return _with_parts(rows, marked, _said_in(marked).select(*SAME, "start", "stop", F.when(counts, F.concat(lead, "display")).alias("say")), text, into)
 
 
 def augmented(rows: DataFrame, key: str, text: str, ref: str, into: str = "augmented") -> DataFrame:
     """rows (unique keys) with the text and a typed marker after each resolved phrase."""
-    found = spans(rows, key, text, ref)
+    marked = _marked(rows, text, ref)
     kind = F.when(F.col("granularity") == "time", "TIME").when(F.col("granularity") == "day", "DATE").otherwise("TIMESPAN")
     marker = F.concat(F.lit(" ["), kind, F.lit(": "), F.col("display"), F.lit("]"))
-    return _with_parts(rows, found.select(key, F.col("stop").alias("start"), "stop", F.when(F.col("status") == "resolved", marker).alias("say")), key, text, into)
+    return _with_parts(rows, marked, _said_in(marked).select(*SAME, F.col("stop").alias("start"), "stop", F.when(F.col("status") == "resolved", marker).alias("say")), text, into)
 
 
 def hints(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     """key, phrase, display: the first resolved phrase of each lower-case form per key, with its date."""
     first = F.min(F.when(F.col("status") == "resolved", F.struct("n", "display")))
-    found = spans(rows, key, text, ref).groupBy(key, F.lower("text").alias("phrase")).agg(first.alias("_first")).filter("_first is not null")
+    marked = _marked(rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(ref).alias("_at")), "_text", "_at")
+    said = _said_in(marked).groupBy(*SAME, F.lower("text").alias("phrase")).agg(first.alias("_first"))
+    found = marked.join(said, SAME).groupBy(F.col("_key").alias(key), "phrase").agg(F.min("_first").alias("_first")).filter("_first is not null")
     return found.select(key, "phrase", "_first.display")
 
 
@@ -317,7 +341,8 @@ def detected(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
     """The older form: key, has_time, expressions (text, first and last day, granularity of each resolved phrase, in order), for every row (unique keys)."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     one = F.struct("n", "text", day("since").alias("start"), day("until").alias("end"), "granularity")
-    found = spans(rows, key, text, ref).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == "resolved", one))), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), x["granularity"].alias("granularity"))).alias("expressions"))
-    out = rows.select(key).join(found, key, "left")
+    marked = _marked(rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(ref).alias("_at")), "_text", "_at")
+    found = _said_in(marked).groupBy(*SAME).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == "resolved", one))), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), x["granularity"].alias("granularity"))).alias("expressions"))
+    out = marked.join(found, SAME, "left")
     none = F.array().cast("array<struct<text: string, start: string, end: string, granularity: string>>")
-    return out.select(key, (F.coalesce(F.size("expressions"), F.lit(0)) > 0).alias("has_time"), F.coalesce("expressions", none).alias("expressions"))
+    return out.select(F.col("_key").alias(key), (F.coalesce(F.size("expressions"), F.lit(0)) > 0).alias("has_time"), F.coalesce("expressions", none).alias("expressions"))

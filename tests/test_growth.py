@@ -138,3 +138,19 @@ def test_best_of_many_queries_make_no_pairs(plain, tmp_path, monkeypatch):
     _, sizes = figures(index.best(asked, "q", "text", 1), "numOutputRows")
     assert max(sizes) < pairs
     plain.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("form", ["detected"])
+def test_equal_texts_are_worked_out_once(plain, form):
+    texts, refs = ["met LAST Monday \ue000 or today", "in 3 Hours", "nothing", None], [datetime(2024, 7, 1, 8, 30), datetime(2024, 7, 1, 21), datetime(2024, 7, 2, 8, 30)]
+    rows = [(i, texts[i % 4], refs[i % 3]) for i in range(600)] + [(601, "today", None)]
+    df = plain.createDataFrame(rows, "id int, text string, ref timestamp")
+    found, sizes = figures(getattr(phrases, form)(df, "id", "text", "ref"), "numOutputRows", "Generate")
+    assert sizes and max(sizes) <= 12
+    by = {}
+    for r in found:
+        by.setdefault(r.id, []).append(str(tuple(r)[1:]))
+    said = {i for i in by if i < 600}
+    assert all(sorted(by[i]) == sorted(by[i % 12]) for i in said) and len(said) == (600 if form not in ("spans", "hints") else 300)
+    # hours go by the time, days by the day
+    assert "2024-07-02" in by[1][0] and "2024-07-01" in by[9][0] and "2024-06-24" in "".join(by[0]) + "".join(by[4])
