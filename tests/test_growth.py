@@ -140,7 +140,7 @@ def test_best_of_many_queries_make_no_pairs(plain, tmp_path, monkeypatch):
     plain.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("form", ["detected", "spans", "hints"])
+@pytest.mark.parametrize("form", ["detected", "spans", "hints", "rewritten", "augmented"])
 def test_equal_texts_are_worked_out_once(plain, form):
     texts, refs = ["met LAST Monday \ue000 or today", "in 3 Hours", "nothing", None], [datetime(2024, 7, 1, 8, 30), datetime(2024, 7, 1, 21), datetime(2024, 7, 2, 8, 30)]
     rows = [(i, texts[i % 4], refs[i % 3]) for i in range(600)] + [(601, "today", None)]
