@@ -193,7 +193,10 @@ def spans(rows: DataFrame, key: str, text: str, ref: str) -> DataFrame:
 
 def _said_in(marked: DataFrame) -> DataFrame:
     """The phrases of each different text and time, as in spans, with these in place of a key."""
-    each = phrases(marked.select(*SAME).filter(F.col("_text").isNotNull() & F.col("_at").isNotNull()).distinct(), "_text")
+    spark = marked.sparkSession
+    different = marked.select(*SAME).filter(F.col("_text").isNotNull() & F.col("_at").isNotNull()).distinct()
+    # by number, or Spark would leave few tasks to texts that are small in bytes, though long in work
+    each = phrases(different.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), "_text")
     # the outer form: before the other one Spark filters by the size of the array, with the whole search for phrases once more in that filter
     each = each.select(*SAME, F.posexplode_outer("phrases").alias("n", "_p")).filter("n is not null")
     said = F.substr(F.col("_text"), F.col("_p.start") + 1, F.col("_p.stop") - F.col("_p.start"))
